@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, pii, secrets
+from . import bpe, chat, decontaminate, pii, secrets, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.with_digests(found.drop("text"), "secrets", secrets.BASE)
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.with_verdict(decontaminate.find_overlap(docs, table(spark, sf_dir, "benchmark")).drop("text"))
@@ -43,5 +47,5 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.with_digests(found.drop("text"), "personal", pii.BASE)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_secrets, op7_decontamination, op8_byte_bpe, op9_chat, op10_personal_data)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_secrets, op4_simhash, op7_decontamination, op8_byte_bpe, op9_chat, op10_personal_data)}
 SQL: dict[str, str] = {"op7_decontamination": decontaminate.SQL, "op9_chat": chat.SQL}
