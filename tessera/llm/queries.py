@@ -8,13 +8,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, pii, secrets, simhash
+from . import bpe, chat, decontaminate, pii, secrets, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    net = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, net).drop("text")
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return secrets.with_digests(found.drop("text"), "secrets", secrets.BASE)
@@ -47,5 +54,5 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.with_digests(found.drop("text"), "personal", pii.BASE)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_secrets, op4_simhash, op7_decontamination, op8_byte_bpe, op9_chat, op10_personal_data)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op3_secrets, op4_simhash, op7_decontamination, op8_byte_bpe, op9_chat, op10_personal_data)}
 SQL: dict[str, str] = {"op7_decontamination": decontaminate.SQL, "op9_chat": chat.SQL}
