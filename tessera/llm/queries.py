@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, pii, secrets, simhash, suffix, toxicity
+from . import bpe, chat, decontaminate, neighbours, pii, secrets, simhash, suffix, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0)
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.with_digests(suffix.remove_repeats(table(spark, sf_dir, "documents")))
 
@@ -58,5 +62,5 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.with_digests(found.drop("text"), "personal", pii.BASE)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op3_secrets, op4_simhash, op6_suffix_dedup, op7_decontamination, op8_byte_bpe, op9_chat, op10_personal_data)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op3_secrets, op4_simhash, op5_neighbours, op6_suffix_dedup, op7_decontamination, op8_byte_bpe, op9_chat, op10_personal_data)}
 SQL: dict[str, str] = {"op7_decontamination": decontaminate.SQL, "op9_chat": chat.SQL}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -33,3 +34,9 @@ def dropped(df: DataFrame) -> None:
     jvm = spark._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of rounds that are over: it does so when the driver has forgotten them."""
+    gc.collect()
+    spark._jvm.System.gc()
