@@ -36,7 +36,7 @@ CHAR_STATE, STATE, ATTENTION = 12, 12, 12
 #: Words with a vector of their own, at most, and the documents that one must be in.
 VOCABULARY, SEEN = 20_000, 4
 #: Words whose projections a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 100_000
+REMEMBERED = 200_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -49,7 +49,11 @@ def window_starts(n: int) -> list[int]:
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+    x = x * x.dtype.type(0.5)
+    np.tanh(x, out=x)
+    x *= x.dtype.type(0.5)
+    x += x.dtype.type(0.5)
+    return x
 
 
 class Gated:
@@ -65,8 +69,12 @@ class Gated:
             x, hu = inputs(t), h @ u
             gates = sigmoid(x[:, : 2 * n] + hu[:, : 2 * n])
             z, r = gates[:, :n], gates[:, n:]
-            c = np.tanh(x[:, 2 * n :] + r * hu[:, 2 * n :])
-            new = c + z * (h - c)
+            c = r * hu[:, 2 * n :]
+            c += x[:, 2 * n :]
+            np.tanh(c, out=c)
+            new = h - c
+            new *= z
+            new += c
             m = masks(t)
             if keep is not None:
                 keep.append((t, h, z, r, c, hu[:, 2 * n :], m))
@@ -136,15 +144,14 @@ class Network:
             kept.update(chars=chars, kf=kf, kb=kb, h=h, ids=ids)
         return h @ w["join"] + w["bias"] + w["word"][ids]
 
-    def pool(self, projected: np.ndarray, index: np.ndarray, kept: dict | None = None) -> np.ndarray:
-        """Logits of windows; ``index`` (words, windows) points into the projections, -1 where a window has ended."""
-        w, n = self.w, STATE
+    def pool(self, forward: np.ndarray, backward: np.ndarray, index: np.ndarray, kept: dict | None = None) -> np.ndarray:
+        """Logits of windows; ``index`` (words, windows) points into the projections for each direction, -1 where a window has ended."""
+        w = self.w
         steps, rows = index.shape
         some = index >= 0
         whole = bool(some.all())
         mask = (lambda t: None) if whole else (lambda t: some[t])
         kf, kb = ([], []) if kept is not None else (None, None)
-        forward, backward = np.ascontiguousarray(projected[:, : 3 * n]), np.ascontiguousarray(projected[:, 3 * n :])
         _, sf = Gated.run(lambda t: forward[index[t]], w["u_f"], mask, range(steps), rows, kf)
         _, sb = Gated.run(lambda t: backward[index[t]], w["u_b"], mask, range(steps - 1, -1, -1), rows, kb)
         h = np.concatenate([np.stack(sf), np.stack(sb)], 2)
@@ -166,7 +173,7 @@ class Network:
             index[: len(win), b] = [at[x] for x in win]
         ck, wk = {}, {}
         projected = self.read(distinct, ck, rng.random(len(distinct)) < 0.5)
-        p = sigmoid(self.pool(projected, index, wk).astype(np.float64))
+        p = sigmoid(self.pool(projected[:, : 3 * n], projected[:, 3 * n :], index, wk).astype(np.float64))
         loss = -np.mean(np.log(np.where(labels > 0.5, p, 1 - p) + 1e-9))
         g: dict[str, np.ndarray] = {}
         d = ((p - labels) / len(labels)).astype(np.float32)
@@ -226,7 +233,8 @@ class Scorer:
 
     def __init__(self, net: Network):
         self.net, self.at = net, {}
-        self.table = np.zeros((1024, 6 * STATE), np.float32)
+        # By direction, so that a step gathers from one stretch of memory.
+        self.tables = [np.zeros((1024, 3 * STATE), np.float32) for _ in range(2)]
 
     def indices(self, texts: list[list[str]]) -> list[np.ndarray]:
         fresh = list({x for words in texts for x in words if x not in self.at})
@@ -234,13 +242,14 @@ class Scorer:
             self.at = {}
             fresh = list({x for words in texts for x in words})
         need = len(self.at) + len(fresh)
-        if need > len(self.table):
-            self.table = np.concatenate([self.table[: len(self.at)], np.zeros((2 * need - len(self.at), 6 * STATE), np.float32)])
+        if need > len(self.tables[0]):
+            self.tables = [np.concatenate([x[: len(self.at)], np.zeros((2 * need - len(self.at), 3 * STATE), np.float32)]) for x in self.tables]
         fresh.sort(key=len)
         for i in range(0, len(fresh), 4096):
             part = fresh[i : i + 4096]
             first = len(self.at)
-            self.table[first : first + len(part)] = self.net.read(part)
+            made = self.net.read(part)
+            self.tables[0][first : first + len(part)], self.tables[1][first : first + len(part)] = made[:, : 3 * STATE], made[:, 3 * STATE :]
             self.at.update(zip(part, range(first, first + len(part)), strict=True))
         get = self.at.__getitem__
         return [np.fromiter(map(get, words), np.int64, len(words)) for words in texts]
@@ -262,7 +271,7 @@ class Scorer:
             if index:
                 index, owner = np.concatenate(index, 1), np.concatenate(owner)
                 for at in range(0, index.shape[1], 2048):
-                    logits.append(self.net.pool(self.table, np.ascontiguousarray(index[:, at : at + 2048])))
+                    logits.append(self.net.pool(*self.tables, np.ascontiguousarray(index[:, at : at + 2048])))
                 owners.append(owner)
         return (np.concatenate(logits), np.concatenate(owners)) if logits else (np.zeros(0), np.zeros(0, int))
 
@@ -282,7 +291,8 @@ class Scorer:
                 group = []
             group.append(words)
         out += self.highest(group).tolist() if group else []
-        return [0.0 if x == -np.inf else float(sigmoid(np.float64(self.net.logit(x)))) for x in out]
+        top = np.array(out, np.float64)
+        return np.where(top == -np.inf, 0.0, sigmoid(self.net.logit(top))).tolist()
 
 
 def marks_of(words: list[str]) -> set[str]:
