@@ -5,7 +5,7 @@ word itself, if the training sample had it often enough. A second bidirectional
 window, attention pools its states, and a line gives the window's logit. All overlapping windows of a whole text
 are scored; the highest one counts, through a logistic curve fitted on the training documents.
 
-Training uses a bounded sample of labelled documents (``DOCS`` for each label, chosen by a hash of doc_id) of which
+Training uses a bounded sample of labelled documents (``DOCS`` toxic and ``CLEAN_DOCS`` clean ones, chosen by a hash of doc_id) of which
 the hold-out never is a part. Labels belong to documents, not to windows: a toxic document's training windows are
 first those with the words that set toxic documents apart, later those that the network itself rates highest,
 beside the clean windows that it rates highest.
@@ -25,8 +25,10 @@ from pyspark.sql.types import DoubleType
 
 from .arrow import fields, map_columns
 
-#: Labelled documents of each label to learn from, at most.
-DOCS = 1500
+#: Labelled documents to learn from, at most: toxic ones and clean ones.
+DOCS, CLEAN_DOCS = 1500, 4500
+#: How much an error on a clean document weighs against one on a toxic document, for the sample has fewer of them than a corpus.
+CLEAN_WEIGHT = 2
 #: Words in a window, and between the starts of neighbours.
 WINDOW, STRIDE = 24, 12
 #: A longer run of letters is read as several words.
@@ -359,7 +361,7 @@ def curve(net: Network, top: np.ndarray, y: np.ndarray) -> None:
     """The cut between the labels' highest windows that errs least (its middle, where several do), and a slope."""
     order = np.argsort(top)
     sorted_top, sorted_y = top[order], y[order]
-    wrong = np.concatenate([[0], np.cumsum(sorted_y)]) + np.concatenate([np.cumsum(~sorted_y[::-1])[::-1], [0]])
+    wrong = np.concatenate([[0], np.cumsum(sorted_y)]) + CLEAN_WEIGHT * np.concatenate([np.cumsum(~sorted_y[::-1])[::-1], [0]])
     best = np.flatnonzero(wrong == wrong.min())
     edges = np.concatenate([[sorted_top[0] - 1], sorted_top, [sorted_top[-1] + 1]])
     middle = (edges[best] + edges[best + 1]) / 2
@@ -373,12 +375,12 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def fit(docs: DataFrame, labels: DataFrame, limit: int = DOCS) -> Network:
-    """Learns from at most ``limit`` labelled documents of each label, the first by a hash of their ids."""
+def fit(docs: DataFrame, labels: DataFrame, toxic: int = DOCS, clean: int = CLEAN_DOCS) -> Network:
+    """Learns from at most so many labelled documents of each label, the first by a hash of their ids."""
     known = labels.where("toxic is not null and doc_id is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    parts = [known.where((F.col("toxic") > 0) == side).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit) for side in (True, False)]
+    parts = [known.where((F.col("toxic") > 0) == side).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for side, n in ((True, toxic), (False, clean))]
     chosen = parts[0].unionByName(parts[1])
-    # 2 * limit ids at most.
+    # No more ids than the two bounds.
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", F.coalesce("text", F.lit("")).alias("text")).collect()
     rows = sorted({(r["doc_id"], int(r["toxic"] > 0), r["text"]) for r in rows})
     return learn([r[2] for r in rows], [r[1] for r in rows])
