@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, neighbours, pii, secrets, simhash, suffix, toxicity
+from . import bpe, chat, decontaminate, html, neighbours, pii, secrets, simhash, suffix, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages")).select("page_id", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return secrets.with_digests(found.drop("text"), "secrets", secrets.BASE)
@@ -62,5 +66,5 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.with_digests(found.drop("text"), "personal", pii.BASE)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op3_secrets, op4_simhash, op5_neighbours, op6_suffix_dedup, op7_decontamination, op8_byte_bpe, op9_chat, op10_personal_data)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_html, op3_secrets, op4_simhash, op5_neighbours, op6_suffix_dedup, op7_decontamination, op8_byte_bpe, op9_chat, op10_personal_data)}
 SQL: dict[str, str] = {"op7_decontamination": decontaminate.SQL, "op9_chat": chat.SQL}
