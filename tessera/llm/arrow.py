@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -49,3 +50,30 @@ def quoted(df: DataFrame, name: str):
 
 def fields(**kinds) -> StructType:
     return StructType([StructField(k, v, True) for k, v in kinds.items()])
+
+
+def grouped(batches: Iterable[pa.RecordBatch], key: str, f: Callable[[pa.Table, np.ndarray], pa.RecordBatch | None], least: int = 20_000) -> Iterator[pa.RecordBatch]:
+    """Hands rows sorted by a key to ``f`` in tables of whole groups, with the starts of the groups."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+
+    def give(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        if t.num_rows:
+            k = t[key].to_numpy()
+            out = f(t, np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])))
+            if out is not None and out.num_rows:
+                yield out
+
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= least:
+            t = pa.Table.from_batches(held).combine_chunks()
+            k = t[key].to_numpy()
+            cut = int(np.searchsorted(k, k[-1]))
+            if cut:
+                yield from give(t.slice(0, cut))
+                rest = t.slice(cut).combine_chunks().to_batches()
+                held, n = rest, sum(b.num_rows for b in rest)
+    if held:
+        yield from give(pa.Table.from_batches(held).combine_chunks())

@@ -14,13 +14,14 @@ that repeat an id and its vector count once. Other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrow import grouped
 from .store import dropped, release, saved
 
 #: Neighbours in a list; reverse neighbours that meet at a node; rounds; candidates that a group gives a member.
@@ -46,33 +47,6 @@ def matrix(column: pa.Array, kind: type) -> np.ndarray:
     return np.frombuffer(data, kind).reshape(len(column), -1) if len(column) else np.zeros((0, 0), kind)
 
 
-def grouped(batches: Iterable[pa.RecordBatch], key: str, f: Callable[[pa.Table, np.ndarray], pa.RecordBatch | None], least: int = 20_000) -> Iterator[pa.RecordBatch]:
-    """Hands rows sorted by a key to ``f`` in tables of whole groups, with the starts of the groups."""
-    held: list[pa.RecordBatch] = []
-    n = 0
-
-    def give(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        if t.num_rows:
-            k = t[key].to_numpy()
-            out = f(t, np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])))
-            if out is not None and out.num_rows:
-                yield out
-
-    for batch in batches:
-        held.append(batch)
-        n += batch.num_rows
-        if n >= least:
-            t = pa.Table.from_batches(held).combine_chunks()
-            k = t[key].to_numpy()
-            cut = int(np.searchsorted(k, k[-1]))
-            if cut:
-                yield from give(t.slice(0, cut))
-                rest = t.slice(cut).combine_chunks().to_batches()
-                held, n = rest, sum(b.num_rows for b in rest)
-    if held:
-        yield from give(pa.Table.from_batches(held).combine_chunks())
-
-
 def nodes_of(df: DataFrame, vec_id: str, embedding: str, kept: int) -> DataFrame:
     """(node, embedding, members): distinct usable vectors with the ``kept`` smallest ids of each."""
     clean = df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("embedding")).where("vec_id is not null and embedding is not null")

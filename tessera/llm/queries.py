@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,5 +67,9 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.with_digests(found.drop("text"), "personal", pii.BASE)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_html, op3_secrets, op4_simhash, op5_neighbours, op6_suffix_dedup, op7_decontamination, op8_byte_bpe, op9_chat, op10_personal_data)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_html, op3_secrets, op4_simhash, op5_neighbours, op6_suffix_dedup, op7_decontamination, op8_byte_bpe, op9_chat, op10_personal_data, pipeline)}
 SQL: dict[str, str] = {"op7_decontamination": decontaminate.SQL, "op9_chat": chat.SQL}

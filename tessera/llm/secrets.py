@@ -215,6 +215,25 @@ def find_secrets(df: DataFrame, text: str = "text", out: str = "secrets") -> Dat
     return map_columns(df, [text], StructType([StructField(out, ArrayType(SPAN))]), lambda _, texts: [(span_rows(secret_spans(x)),) for x in texts])
 
 
+#: What stands in place of a secret.
+MASK = "[secret]"
+
+
+def masked(text: str | None) -> str | None:
+    """The text with each stretch that spans cover, however many, replaced by one mask; null stays null."""
+    out, at = [], 0
+    for _, a, b in sorted(secret_spans(text), key=lambda x: x[1:]):
+        if a >= at:
+            out += [text[at:a], MASK]
+        at = max(at, b)
+    return "".join(out) + text[at:] if out else text
+
+
+def mask_secrets(df: DataFrame, text: str = "text") -> DataFrame:
+    """Replaces the text column by the masked text."""
+    return map_columns(df, [text], StructType([StructField(text, StringType())]), lambda _, texts: [(masked(x),) for x in texts])
+
+
 def spelled(spans: Column) -> Column:
     """kind:start:end of each span, comma-joined."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
