@@ -47,7 +47,7 @@ def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     rows = docs.select("doc_id", "lang", "source", "text", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("sha256"))
     ids = bpe.encode(rows, path, public_tokenizers.PATTERN).drop("text")
-    decoded = bpe.decode(ids, path, public_tokenizers.PATTERN)
+    decoded = bpe.decode(ids, path)
     return decoded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.sha2("decoded", 256) == F.col("sha256")).alias("round_trips"))
 
 

@@ -20,10 +20,11 @@ def pieces(batches: Iterable[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.R
             yield batch.slice(at, rows)
 
 
-def map_columns(df: DataFrame, used: list[str], made: StructType, f: Callable[..., list], state: Callable[[], object] | None = None, rows: int = ROWS) -> DataFrame:
+def map_columns(df: DataFrame, used: list[str], made: StructType, f: Callable[..., list], state: Callable[[], object] | None = None, rows: int = ROWS, arrow_out: bool = False) -> DataFrame:
     """Appends columns: ``f(state, *lists)`` gets the used columns as Python lists and returns a list of tuples in ``made``'s order.
 
-    A made column replaces one of the same name, whatever its case.
+    With ``arrow_out``, it gets Arrow arrays and returns one for each made column. A made column replaces one of the
+    same name, whatever its case.
     """
     taken = {x.name.lower() for x in made.fields}
     kept = [x for x in df.schema.fields if x.name.lower() not in taken]
@@ -37,8 +38,12 @@ def map_columns(df: DataFrame, used: list[str], made: StructType, f: Callable[..
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = state() if state else None
         for part in pieces(batches, rows):
-            got = f(held, *[part.column(part.schema.get_field_index(x)).to_pylist() for x in inputs])
-            new = [pa.array([row[i] for row in got], type=arrow.field(i).type) for i in range(len(arrow))]
+            columns = [part.column(part.schema.get_field_index(x)) for x in inputs]
+            if arrow_out:
+                new = [x.cast(arrow.field(i).type) for i, x in enumerate(f(held, *columns))]
+            else:
+                got = f(held, *[x.to_pylist() for x in columns])
+                new = [pa.array([row[i] for row in got], type=arrow.field(i).type) for i in range(len(arrow))]
             yield pa.RecordBatch.from_arrays([*part.columns[:n], *new], names=[*part.schema.names[:n], *arrow.names])
 
     return source.mapInArrow(run, schema)

@@ -11,8 +11,10 @@ from __future__ import annotations
 
 import base64
 import struct
-from itertools import chain
+from array import array
 
+import numpy as np
+import pyarrow as pa
 import regex
 import sentencepiece
 from pyspark.sql import DataFrame
@@ -65,15 +67,16 @@ def model_bytes(vocabulary: list[bytes]) -> bytes:
     return b"".join(out) + field(2, 2, trainer) + field(3, 2, normal)
 
 
-class Codec:
-    """Encodes and decodes single texts; one for each worker."""
+class Encoder:
+    """One for each worker."""
 
     def __init__(self, path: str, pattern: str):
-        self.vocabulary = read_ranks(path)
-        self.whole = {piece: rank for rank, piece in enumerate(self.vocabulary)}
-        self.model = sentencepiece.SentencePieceProcessor(model_proto=model_bytes(self.vocabulary))
+        vocabulary = read_ranks(path)
+        self.whole = {piece: rank for rank, piece in enumerate(vocabulary)}
+        self.model = sentencepiece.SentencePieceProcessor(model_proto=model_bytes(vocabulary))
         self.pattern = regex.compile(pattern)
-        self.known: dict[str, list[int]] = {}
+        #: Pre-token -> its ids, four bytes each, so that a text's ids are these bytes joined.
+        self.known: dict[str, bytes] = {}
 
     def learn(self, tokens: list[str]) -> None:
         raw = [t.encode() for t in tokens]
@@ -81,17 +84,31 @@ class Codec:
         for token, data, ids in zip(tokens, raw, self.model.encode(mapped, num_threads=1), strict=True):
             # A ranked string stands for itself even where no merge leads to it.
             exact = self.whole.get(data)
-            self.known[token] = ids if exact is None else [exact]
+            self.known[token] = array("i", ids if exact is None else [exact]).tobytes()
+
+    def packed(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text, four bytes each."""
+        out = []
+        for text in texts:
+            tokens = self.pattern.findall(text or "")
+            distinct = set(tokens)
+            if missing := distinct.difference(self.known):
+                if len(self.known) + len(missing) > REMEMBERED:
+                    self.known.clear()
+                    missing = distinct
+                missing = list(missing)
+                for at in range(0, len(missing), 10_000):
+                    self.learn(missing[at : at + 10_000])
+            out.append(b"".join(map(self.known.__getitem__, tokens)))
+        return out
 
     def encode(self, text: str | None) -> list[int]:
-        tokens = self.pattern.findall(text or "")
-        if missing := [t for t in set(tokens) if t not in self.known]:
-            if len(self.known) + len(missing) > REMEMBERED:
-                self.known.clear()
-                missing = list(set(tokens))
-            for at in range(0, len(missing), 10_000):
-                self.learn(missing[at : at + 10_000])
-        return list(chain.from_iterable(map(self.known.__getitem__, tokens)))
+        return np.frombuffer(self.packed([text])[0], np.int32).tolist()
+
+
+class Decoder:
+    def __init__(self, path: str):
+        self.vocabulary = read_ranks(path)
 
     def decode(self, ids: list[int] | None) -> bytes:
         return b"".join(map(self.vocabulary.__getitem__, ids or ()))
@@ -99,12 +116,24 @@ class Codec:
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Adds the token ids of a text column. ``path`` is the rank file, which every executor must have there."""
-    return map_columns(df, [text], fields(**{ids: ArrayType(IntegerType(), False)}), lambda codec, texts: [(codec.encode(x),) for x in texts], lambda: Codec(path, pattern))
 
+    def f(encoder: Encoder, texts: pa.Array) -> list[pa.Array]:
+        packed = encoder.packed(texts.to_pylist())
+        offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in packed])]).astype(np.int32)
+        return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), np.int32)))]
+
+    return map_columns(df, [text], fields(**{ids: ArrayType(IntegerType(), False)}), f, lambda: Encoder(path, pattern), arrow_out=True)
+
+
+def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """Adds the bytes that a column of token ids stands for; null for null."""
+
+    def f(decoder: Decoder, rows: pa.Array) -> list[pa.Array]:
+        ends, flat = rows.offsets.to_pylist(), rows.values
+        made = [decoder.decode(flat.slice(a, b - a).to_numpy().tolist()) for a, b in zip(ends, ends[1:], strict=False)]
+        return [pa.array(made, pa.binary(), mask=rows.is_null().to_numpy(zero_copy_only=False) if rows.null_count else None)]
 
-def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """Adds the bytes that a column of token ids stands for."""
-    return map_columns(df, [ids], fields(**{out: BinaryType()}), lambda codec, rows: [(codec.decode(x),) for x in rows], lambda: Codec(path, pattern))
+    return map_columns(df, [ids], fields(**{out: BinaryType()}), f, lambda: Decoder(path), arrow_out=True)
 
 
 def with_digests(df: DataFrame, ids: str = "ids", decoded: str = "decoded") -> DataFrame:

@@ -52,7 +52,7 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     ids = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN).drop("text")
-    return bpe.with_digests(bpe.decode(ids, path, public_tokenizers.PATTERN))
+    return bpe.with_digests(bpe.decode(ids, path))
 
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
