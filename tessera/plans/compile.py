@@ -7,9 +7,6 @@ alternative or inside a lambda it is made false.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -175,18 +172,9 @@ class Compiler:
             return known(node.test(lambda path: self.values(path).first()))
         if self.root is not None:
             raise ValueError("Python tests can't look into elements; give a test of columns")
-        return known(python_test(node.test)(F.struct(*[F.col("`" + n.replace("`", "``") + "`") for n in self.schema.names])))
-
+        from .python_test import python_test  # needs pandas, which other queries don't
 
-def python_test(test: Callable[[dict], bool]):
-    """A Python test of rows, in batches."""
-
-    @F.pandas_udf("boolean")
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
-        for rows in batches:
-            yield pd.Series([bool(test(r)) for r in rows.to_dict("records")], dtype=bool)
-
-    return run
+        return known(python_test(node.test)(F.struct(*[F.col("`" + n.replace("`", "``") + "`") for n in self.schema.names])))
 
 
 def has_python(node: Node) -> bool:

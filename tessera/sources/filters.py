@@ -13,7 +13,7 @@ def quoted(name: str) -> str:
 
 def as_sql(f: Filter) -> tuple[str, list] | None:
     """A condition with parameters that keeps the same rows, or None. Texts compare by case, unlike LIKE."""
-    if len(f.attribute) != 1:
+    if len(getattr(f, "attribute", ())) != 1:
         return None
     c = quoted(f.attribute[0])
     value = getattr(f, "value", None)

@@ -18,7 +18,7 @@ _names = itertools.count()
 BATCH = 500
 
 
-def registered(spark: SparkSession, schema: T.StructType, reader: Callable[[], DataSourceReader]) -> DataFrame:
+def registered(spark: SparkSession, wanted: T.StructType, made: Callable[[], DataSourceReader]) -> DataFrame:
     name = f"tessera_store_{next(_names)}"
 
     class Source(DataSource):
@@ -27,10 +27,10 @@ def registered(spark: SparkSession, schema: T.StructType, reader: Callable[[], D
             return name
 
         def schema(self) -> T.StructType:
-            return schema
+            return wanted
 
-        def reader(self, _: T.StructType) -> DataSourceReader:
-            return reader()
+        def reader(self, schema: T.StructType) -> DataSourceReader:
+            return made()
 
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(Source)
@@ -72,7 +72,7 @@ def redis_sorted_rows(spark: SparkSession, client: Callable, key: str, score_fie
         def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
             for f in filters:
                 value = getattr(f, "value", None)
-                if f.attribute == (score_field,) and isinstance(value, (int, float)) and not isinstance(value, bool):
+                if getattr(f, "attribute", None) == (score_field,) and isinstance(value, (int, float)) and not isinstance(value, bool):
                     # Bounds only narrow; Spark tests the rows again, as members and scores may differ.
                     if isinstance(f, (GreaterThan, GreaterThanOrEqual, EqualTo)):
                         self.low = str(max(float(self.low), float(value)))
