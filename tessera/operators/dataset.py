@@ -56,9 +56,12 @@ class Dataset:
     def is_empty(self) -> bool:
         return self.df.isEmpty()
 
-    def numbered(self) -> DataFrame:
-        """The rows with something to order them by: the key, or a number that follows the order of reading."""
-        return self.df if self.unique_key or ROW in self.df.columns else self.df.withColumn(ROW, F.monotonically_increasing_id())
+    def numbered(self, kept: DataFrame) -> DataFrame:
+        """Rows kept from the dataset with something to order them by: the key, or a number that follows the order of reading.
+
+        Filters come before, for they can't pass a numbering on their way to the scan.
+        """
+        return kept if self.unique_key or ROW in kept.columns else kept.withColumn(ROW, F.monotonically_increasing_id())
 
     def order(self) -> list[Column]:
         return [F.col(f"`{c}`").asc_nulls_first() for c in (self.unique_key or (ROW,))]

@@ -83,8 +83,7 @@ class Egress:
         """The rows that the predicates keep, with score and tags where a search asks for them."""
         node, diagnostics = self.query.plan()
         telemetry.record("plan", plan_id=diagnostics.plan_id, ordered=diagnostics.ordered, contradictions=diagnostics.contradictions)
-        streaming = self.data.df.isStreaming
-        df = self.data.df if streaming else self.data.numbered()
+        df = self.data.df
         compiler = Compiler(self.data.schema)
         for x in conjuncts(node):
             df = df.where(compiler.column(x, strict=False))
@@ -105,7 +104,7 @@ class Egress:
                 df = df.where(bits.bitwiseAND(F.lit(asked.has_any).cast("long")) != 0)
             if asked.none_of:
                 df = df.where(bits.bitwiseAND(F.lit(asked.none_of).cast("long")) == 0)
-        return df
+        return df if df.isStreaming else self.data.numbered(df)
 
     def sort_columns(self) -> list[Column]:
         """The orders asked for, then the score, then the order of reading."""

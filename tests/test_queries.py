@@ -46,6 +46,7 @@ def plan(df) -> str:
 def test_predicates_reach_the_scan(spark):
     from tessera import Query
 
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
     q = Query.over(spark.read.parquet(f"{DATA}/orders.parquet"))
     text = plan(q.in_("o_orderstatus", ["F", "O"]).greater_than("o_totalprice", 1e5).date_after("o_orderdate", "1996-01-01").not_equals("o_orderpriority", "1-URGENT").out().to_df().select("o_orderkey"))
     pushed = text[text.index("PushedFilters") :]
