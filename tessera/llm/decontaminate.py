@@ -27,7 +27,8 @@ from .arrow import fields, map_columns, quoted
 
 WINDOW = 13
 SHINGLE = 3
-BLOCK_BYTES = 16 << 20
+#: A block's windows take some fifty times its bytes in each worker.
+BLOCK_BYTES = 2 << 20
 
 #: Upper case becomes lower case, other ASCII outside letters and digits becomes a space; bytes beyond ASCII stay.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))

@@ -8,7 +8,8 @@ lists are approximate by design, but every row is indexed and can be found. Quer
 their best unexpanded nodes each round, and keep a bounded pool; the pool's head is ranked again on the original
 vectors in double precision.
 
-Vectors that are null, zero, or hold null or non-finite components take no part, nor do rows without an id. Rows
+Vectors that are null, zero, of another length than most, or hold null or non-finite components take no part, nor
+do rows without an id. Rows
 that repeat an id and its vector count once. Other columns are ignored.
 """
 
@@ -48,9 +49,15 @@ def matrix(column: pa.Array, kind: type) -> np.ndarray:
 
 
 def nodes_of(df: DataFrame, vec_id: str, embedding: str, kept: int) -> DataFrame:
-    """(node, embedding, members): distinct usable vectors with the ``kept`` smallest ids of each."""
+    """(node, embedding, members): distinct usable vectors with the ``kept`` smallest ids of each.
+
+    Vectors of another length than most have take no part.
+    """
     clean = df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("embedding")).where("vec_id is not null and embedding is not null")
     usable = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("embedding", lambda x: x != 0)
+    clean = clean.where(usable)
+    lengths = clean.groupBy(F.size("embedding").alias("length")).count().orderBy(F.desc("count"), "length").limit(1).collect()
+    clean = clean.where(F.size("embedding") == (lengths[0]["length"] if lengths else 0))
 
     def summed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Before the shuffle, a batch's copies of a vector are one row with the smallest ids.
@@ -60,7 +67,7 @@ def nodes_of(df: DataFrame, vec_id: str, embedding: str, kept: int) -> DataFrame
                 ids.setdefault(tuple(e), []).append(v)
             yield pa.RecordBatch.from_arrays([pa.array([list(e) for e in ids], pa.list_(pa.float64())), pa.array([sorted(set(v))[:kept] for v in ids.values()], pa.list_(pa.int64()))], names=["embedding", "members"])
 
-    parts = clean.where(usable).mapInArrow(summed, "embedding array<double>, members array<long>")
+    parts = clean.mapInArrow(summed, "embedding array<double>, members array<long>")
     merged = parts.groupBy("embedding").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("members")))), 1, kept).alias("members"))
     return merged.select(F.xxhash64("embedding").alias("node"), "embedding", "members")
 

@@ -76,6 +76,8 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|[^\w\s]|_|\n")
 TRIGGER = re.compile(r"[0-9@]")
 LONGEST = 28
+#: Tokens of a long stretch that are decoded together, besides those that spans beginning in them reach.
+PIECE = 512
 #: Tokens of context on either side of a stretch.
 AROUND = 4
 #: A stretch holds at most this many characters without white space in a token; longer digit runs are no personal data.
@@ -365,12 +367,18 @@ def stretches(text: str) -> list[tuple[int, int]]:
 
 
 def field_spans(text: str, field: Field) -> list[tuple[str, int, int]]:
-    found = []
+    """Long stretches are decoded piece by piece, each with the tokens that a span beginning in it can reach."""
+    found: list[tuple[str, int, int]] = []
     for a, b in stretches(text):
-        tokens = tokens_of(text, a, b)
-        segments = field.segments(text, tokens)
-        if segments:
-            found += [(TYPES[y], tokens[i][1], tokens[j - 1][2]) for i, j, y in field.decode(len(tokens), segments)]
+        every = tokens_of(text, a, b)
+        for at in range(0, len(every), PIECE):
+            tokens = every[at : at + PIECE + LONGEST]
+            segments = field.segments(text, tokens)
+            if segments:
+                for i, j, y in field.decode(len(tokens), segments):
+                    start, end = tokens[i][1], tokens[j - 1][2]
+                    if i < PIECE and (not found or start >= found[-1][2]):
+                        found.append((TYPES[y], start, end))
     return found
 
 

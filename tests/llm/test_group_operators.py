@@ -190,7 +190,7 @@ def test_neighbours(spark):
     x[200:500] = x[0]  # a third of the rows share a vector
     x[500:560] = x[1] + 0.01 * rng.standard_normal((60, 16)).astype(np.float32)
     rows = [(i, [float(v) for v in x[i]]) for i in range(900)]
-    rows += [(950, None), (1000, [0.0] * 16), (1050, [float("nan")] * 16), (1100, [None] * 16), (None, [1.0] * 16), (0, rows[0][1])]
+    rows += [(950, None), (1000, [0.0] * 16), (1050, [float("nan")] * 16), (1100, [None] * 16), (None, [1.0] * 16), (0, rows[0][1]), (1150, [1.0, 2.0]), (1200, [])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = collections.defaultdict(list)
     for r in neighbours.nearest(df, lambda v: v % 50 == 0).collect():
