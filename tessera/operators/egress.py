@@ -240,12 +240,12 @@ class Groups:
         return F.when(~F.isnan(c), c) if isinstance(t, (T.FloatType, T.DoubleType)) else c
 
     def long_form(self) -> DataFrame:
-        """(_key, the row's columns): one row for each group that a row is in."""
+        """(_key, _pos, the row's columns): one row for each group that a row is in, with the value's place in its path."""
         df = self.egress.windowed()
         if self.values.many or self.values.nothing:
-            keyed = df.withColumn("_key", F.explode(F.transform(self.values.listed(), self.key)))
+            keyed = df.select("*", F.posexplode(F.transform(self.values.listed(), self.key)).alias("_pos", "_key"))
         else:
-            keyed = df.withColumn("_key", self.key(self.values.col))
+            keyed = df.select("*", F.lit(0).alias("_pos"), self.key(self.values.col).alias("_key"))
         return keyed.where("_key is not null")
 
     def rows(self) -> DataFrame:
@@ -255,12 +255,18 @@ class Groups:
     def counts(self) -> DataFrame:
         return self.long_form().groupBy("_key").agg(F.count("*").alias("_count"))
 
-    def collected(self) -> DataFrame:
-        """(_key, _rows): the rows of each group, in order of the key columns. A group must fit into one task; ``rows`` has no such bound."""
+    def _items(self) -> DataFrame:
         key = self.egress.data.unique_key or (ROW,)
         row = F.struct(*[F.col(f"`{c}`") for c in self.egress.data.df.columns])
-        item = F.struct(F.struct(*[F.col(f"`{c}`") for c in key]).alias("at"), row.alias("row"))
-        return self.long_form().groupBy("_key").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["row"]).alias("_rows"))
+        item = F.struct(F.struct(*[F.col(f"`{c}`") for c in key]).alias("at"), F.col("_pos").alias("pos"), row.alias("row"))
+        return self.long_form().groupBy("_key").agg(F.array_sort(F.collect_list(item)).alias("_items"))
+
+    def collected(self) -> DataFrame:
+        """(_key, _rows): the rows of each group, in order of the key columns. A group must fit into one task; ``rows`` has no such bound."""
+        return self._items().select("_key", F.transform("_items", lambda x: x["row"]).alias("_rows"))
 
     def collect(self) -> dict[Any, list[Row]]:
-        return {r["_key"]: r["_rows"] for r in self.collected().collect()}
+        """The groups in the order in which their first rows come."""
+        first = F.get("_items", F.lit(0))
+        ordered = self._items().orderBy(first["at"], first["pos"]).select("_key", F.transform("_items", lambda x: x["row"]).alias("_rows"))
+        return {r["_key"]: r["_rows"] for r in ordered.collect()}
