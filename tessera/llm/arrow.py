@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -44,11 +46,24 @@ def map_columns(df: DataFrame, used: list[str], made: StructType, f: Callable[..
             else:
                 got = f(held, *[x.to_pylist() for x in columns])
                 new = [pa.array([row[i] for row in got], type=arrow.field(i).type) for i in range(len(arrow))]
+                del got
             yield pa.RecordBatch.from_arrays([*part.columns[:n], *new], names=[*part.schema.names[:n], *arrow.names])
+            del columns, new
+        del held
+        give_back()
 
     return source.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: a worker lives on for later stages, with other needs."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def quoted(df: DataFrame, name: str):
     return df["`" + name.replace("`", "``") + "`"]
 

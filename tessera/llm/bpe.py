@@ -19,7 +19,7 @@ import regex
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, IntegerType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, IntegerType
 
 from .arrow import fields, map_columns
 
@@ -125,6 +125,20 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
     return map_columns(df, [text], fields(**{ids: ArrayType(IntegerType(), False)}), f, lambda: Encoder(path, pattern), arrow_out=True)
 
 
+def encode_checked(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", same: str = "round_trips") -> DataFrame:
+    """Adds the token ids, and whether they decode to the text's bytes; both in one pass."""
+
+    def f(codec: tuple[Encoder, Decoder], texts: pa.Array) -> list[pa.Array]:
+        values = texts.to_pylist()
+        packed = codec[0].packed(values)
+        offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in packed])]).astype(np.int32)
+        equal = [codec[1].decode(np.frombuffer(p, np.int32).tolist()) == (x or "").encode() for p, x in zip(packed, values, strict=True)]
+        return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), np.int32))), pa.array(equal)]
+
+    made = fields(**{ids: ArrayType(IntegerType(), False), same: BooleanType()})
+    return map_columns(df, [text], made, f, lambda: (Encoder(path, pattern), Decoder(path)), arrow_out=True)
+
+
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Adds the bytes that a column of token ids stands for; null for null."""
 

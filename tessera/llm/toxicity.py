@@ -38,7 +38,7 @@ CHAR_STATE, STATE, ATTENTION = 12, 12, 12
 #: Words with a vector of their own, at most, and the documents that one must be in.
 VOCABULARY, SEEN = 20_000, 4
 #: Words whose projections a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -305,7 +305,10 @@ def marks_of(words: list[str]) -> set[str]:
 def learn(texts: list[str], labels: list[int], seed: int = 7, passes: int = 6, batch: int = 64) -> Network:
     """Fits a network to labelled texts."""
     rng = np.random.default_rng(seed)
-    docs = [words_of(t) for t in texts]
+    # One string for each distinct word, however often it occurs.
+    distinct: dict[str, str] = {}
+    docs = [[distinct.setdefault(w, w) for w in words_of(t)] for t in texts]
+    del distinct
     y = np.array(labels, bool)
     counts = Counter(w for words in docs for w in set(words))
     net = Network([w for w, n in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:VOCABULARY] if n >= SEEN], seed)
@@ -383,7 +386,9 @@ def fit(docs: DataFrame, labels: DataFrame, toxic: int = DOCS, clean: int = CLEA
     # No more ids than the two bounds.
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", F.coalesce("text", F.lit("")).alias("text")).collect()
     rows = sorted({(r["doc_id"], int(r["toxic"] > 0), r["text"]) for r in rows})
-    return learn([r[2] for r in rows], [r[1] for r in rows])
+    texts, marks = [r[2] for r in rows], [r[1] for r in rows]
+    del rows
+    return learn(texts, marks)
 
 
 def score(df: DataFrame, net: Network, text: str = "text", out: str = "score") -> DataFrame:
