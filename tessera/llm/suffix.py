@@ -309,10 +309,12 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """(doc_id, n_bytes, removed, kept): the byte spans that repeats cover, and the bytes that remain."""
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
     blocks = saved(all_blocks(docs))
-    # Anchors that begin alike anywhere else; counted in part before the shuffle.
-    shared = blocks.groupBy("h").count().where("count > 1").select("h")
+    # Anchors that begin alike anywhere else; counted in part before the shuffle. Written first, so that the join
+    # deals out both sides anew and Spark can split a hot anchor's rows.
+    shared = saved(blocks.groupBy("h").count().where("count > 1").select("h"))
     met = saved(blocks.join(shared, "h"))
     dropped(blocks)
+    dropped(shared)
     kinds = met.groupBy("h", "bh").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "place")).alias("first"))
     covered = saved(sorted_groups(with_contents(docs, kinds)))
 
