@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 import json
 import sqlite3
 from collections.abc import Iterable, Iterator
@@ -15,8 +14,6 @@ from .files import as_struct
 from .filters import as_sql, quoted
 from .rows import fitted
 
-_names = itertools.count()
-
 
 def connected(path: str) -> sqlite3.Connection:
     return sqlite3.connect(f"file:{path}?mode=ro", uri=True)
