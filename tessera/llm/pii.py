@@ -80,7 +80,7 @@ LONGEST = 28
 PIECE = 512
 #: Tokens of context on either side of a stretch.
 AROUND = 4
-#: A stretch holds at most this many characters without white space in a token; longer digit runs are no personal data.
+#: No span holds a token of more characters; longer runs of digits are no personal data.
 LONGEST_TOKEN = 40
 OUTSIDE = len(TYPES)
 
@@ -214,7 +214,6 @@ class Field:
         z = lse(forward[n])
         step = np.zeros_like(self.step)
         likelihood = -z
-        path: list[tuple[int, int]] = []
         for j in range(1, n + 1):
             for i, s, k in ends[j]:
                 p = np.exp(forward[i][:, None] + self.step + (s + backward[j])[None, :] - z)
