@@ -11,7 +11,7 @@ import re
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -156,11 +156,18 @@ def subsequence_score(text: Column, query: Column, characters: Column) -> Column
     return F.when(F.rlike(text, query), scored).otherwise(0)
 
 
+def normalised(query: str, normalize: Callable[[Column], Column]) -> str:
+    """The query as the texts are normalised, for which Spark is asked."""
+    return SparkSession.active().range(1).select(normalize(F.lit(query)).alias("q")).first()["q"] or ""
+
+
 def score(fuzzy: Fuzzy, query: str, schema: T.StructType) -> Column:
     """The best weighted score over fields and candidates; 0 where nothing matches."""
     if not query:
         return F.lit(0.0)
-    asked = query if fuzzy.normalize is not F.lower else query.lower()
+    asked = query.lower() if fuzzy.normalize is F.lower else normalised(query, fuzzy.normalize)
+    if not asked:
+        return F.lit(0.0)
     pattern, characters = F.lit(subsequence_pattern(asked)), F.array(*[F.lit(c) for c in asked])
     best = [F.lit(0.0)]
     for x in fuzzy.fields:

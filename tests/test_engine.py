@@ -150,6 +150,7 @@ def test_search(spark):
     assert ids(fuzzy.search("gam").search("al")) == [2, 1, 3]
     assert ids(fuzzy.search("al").out().limit(2)) == [2, 1]
     assert ids(q.configure_fuzzy(["tags"]).search("rd")) == [1, 3]
+    assert ids(q.configure_fuzzy(["name"], normalize=lambda c: F.translate(F.lower(c), "_", "")).search("A_L")) == [1, 2, 3]
     tagged = q.configure_tagger(["x", "y"], [{"tag": "x", "path": "name", "contains": "AL"}, {"tag": "y", "path": "tags", "equals": "blue"}])
     assert ids(tagged.search(["x"])) == [1, 3]
     assert ids(tagged.tags(has=["x", "y"])) == [3]
