@@ -68,19 +68,19 @@ simple("false_group", "orders", ORDERS, lambda q: q.not_(lambda g: g.equals("o_o
 simple("and_group", "orders", ORDERS, lambda q: q.equals("o_orderstatus", "F").and_(lambda g: g.greater_than("o_totalprice", 1e5).less_than("o_totalprice", 2e5)), "o_orderstatus = 'F' and o_totalprice > 1e5 and o_totalprice < 2e5")
 simple("or_group", "orders", ORDERS, lambda q: q.equals("o_orderstatus", "P").or_(lambda g: g.greater_than("o_totalprice", 3e5).equals("o_orderstatus", "F")), "o_orderstatus = 'P' or (o_totalprice > 3e5 and o_orderstatus = 'F')")
 simple("not_group", "orders", ORDERS, lambda q: q.not_(lambda g: g.equals("o_orderstatus", "F").greater_than("o_totalprice", 1e5)), "not (o_orderstatus = 'F' and o_totalprice > 1e5)")
-simple("custom", "orders", ORDERS, lambda q: q.custom(lambda c: c("o_orderkey") % 7 == 3), "o_orderkey % 7 = 3")
-simple("custom_python", "part", "p_partkey, p_size", lambda q: q.custom(lambda r: r["p_size"] % 5 == 1 and r["p_brand"].endswith("2"), python=True), "p_size % 5 = 1 and suffix(p_brand, '2')")
+simple("custom", "orders", ORDERS, lambda q: q.custom(lambda c: c("o_totalprice") > 200 * c("o_custkey")), "o_totalprice > 200 * o_custkey")
+simple("custom_python", "part", "p_partkey, p_size", lambda q: q.custom(lambda r: r["p_size"] > len(r["p_name"]) and r["p_brand"].endswith("2"), python=True), "p_size > length(p_name) and suffix(p_brand, '2')")
 
 
 # Values that may be missing.
 
 
 def sparse(spark: SparkSession, d: str) -> Query:
-    df = parquet(spark, f"{d}/events.parquet").select("event_id", F.nullif("event_type", F.lit("view")).alias("kind"), F.when(F.col("event_id") % 3 == 0, float("nan")).when(F.col("event_id") % 3 == 1, F.col("value")).alias("number"))
+    df = parquet(spark, f"{d}/events.parquet").select("event_id", F.nullif("event_type", F.lit("view")).alias("kind"), F.when(F.col("event_type") == "click", float("nan")).when(F.col("event_type") != "error", F.col("value")).alias("number"))
     return Query.over(Dataset(df, ("event_id",)))
 
 
-SPARSE = "(select event_id, nullif(event_type, 'view') as kind, case event_id % 3 when 0 then 'NaN'::double when 1 then value end as number from events)"
+SPARSE = "(select event_id, nullif(event_type, 'view') as kind, case when event_type = 'click' then 'NaN'::double when event_type <> 'error' then value end as number from events)"
 
 
 def sparse_case(name: str, build: Callable[[Query], Query], where: str) -> None:
@@ -97,11 +97,11 @@ sparse_case("nan_in_negation", lambda q: q.not_(lambda g: g.greater_than("number
 sparse_case("equals_null", lambda q: q.equals("number", None), "number is null")
 
 
-@case("string_dates", "select event_id from (select event_id, case event_id % 4 when 0 then strftime(ts, '%Y-%m-%dT%H:%M:%SZ') when 1 then strftime(ts, '%Y-%m-%d') when 2 then 'not-a-date' else strftime(ts, '%Y/%m/%d') end as day from events) where regexp_matches(day, '^\\d{4}-\\d{2}-\\d{2}') and try_cast(replace(day, 'Z', '') as timestamp) >= (select min(date_trunc('day', ts)) + interval 3 day from events)")
+@case("string_dates", "select event_id from (select event_id, case event_type when 'signup' then strftime(ts, '%Y-%m-%dT%H:%M:%SZ') when 'view' then strftime(ts, '%Y-%m-%d') when 'error' then 'not-a-date' else strftime(ts, '%Y/%m/%d') end as day from events) where regexp_matches(day, '^\\d{4}-\\d{2}-\\d{2}') and try_cast(replace(day, 'Z', '') as timestamp) >= (select min(date_trunc('day', ts)) + interval 3 day from events)")
 def string_dates(spark: SparkSession, d: str) -> DataFrame:
     events = parquet(spark, f"{d}/events.parquet")
-    n, ts = F.col("event_id") % 4, F.col("ts")
-    day = F.when(n == 0, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(n == 1, F.date_format(ts, "yyyy-MM-dd")).when(n == 2, "not-a-date").otherwise(F.date_format(ts, "yyyy/MM/dd"))
+    kind, ts = F.col("event_type"), F.col("ts")
+    day = F.when(kind == "signup", F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(kind == "view", F.date_format(ts, "yyyy-MM-dd")).when(kind == "error", "not-a-date").otherwise(F.date_format(ts, "yyyy/MM/dd"))
     start = events.select((F.min(F.date_trunc("day", "ts")) + F.expr("interval 3 day")).alias("s")).first()["s"]
     return Query.over(Dataset(events.select("event_id", day.alias("day")), ("event_id",))).date_after_or_equal("day", start).out().to_df().select("event_id")
 
