@@ -6,9 +6,15 @@ are the code words of two Golay blocks; a document is at home at the nearest one
 the home of a point within two steps. Pairs that differ by more than that in one table meet in another: all
 sixteen miss a pair of similarity 0.8 in about 2 % of cases, one of 0.9 in about 0.01 %.
 
-Who meets at an anchor is compared over 128 bits, and who has a partner there, over all 768. The cut is the number
-of bits in which a pair at the given similarity differs on average; its spread there amounts to 0.017 of
-similarity. A meeting of any size gives a spanning forest of its links, never its pairs.
+Those at home at the same anchor are linked first; most near-duplicates are connected by that. Then homes and visits
+are looked at only for what crosses from one component to another: over 128 bits, who comes close to which other
+component, each counted once however many anchors show it; and over all 768, whether a link to a member is there.
+The cut is the number of bits in which a pair at the given similarity differs on average; its spread there amounts
+to 0.017 of similarity. No step lists the pairs of a group.
+
+Meetings of more than ``CROWD`` are split: chunks of bounded size are linked by themselves, then their components'
+first members, and whoever is left outside the largest component is compared with every chunk. That loses no link
+that one comparison of all would find.
 
 Equal sketches are one document before all that. Texts without words are alike. Rows without a doc_id aren't
 compared with others.
@@ -29,13 +35,15 @@ from pyspark.sql.types import BinaryType
 from .arrow import fields, grouped, map_columns
 from .components import components
 from .simhash import FREE, LENGTH, SEED, THRESHOLD, homes, remainder, visits
-from .store import saved
+from .store import dropped, saved
 
 SHINGLE, SIMILARITY = 5, 0.8
 WORDS, TABLES = 12, 16
 BITS, BYTES = 64 * WORDS, 8 * WORDS
 #: Bits of the first comparison, and how many standard deviations beyond the average it lets pass.
 CHECK_BITS, DEVIATIONS = 128, 4
+#: Meetings of more than so many are split into chunks of about so many.
+CROWD = 20_000
 #: One bit for each table and anchor, folded into this many.
 MAP_BITS = 1 << 28
 
@@ -126,9 +134,29 @@ def occupied(sketches: DataFrame) -> np.ndarray:
     return out
 
 
-def meetings(sketches: DataFrame, taken: np.ndarray, threshold: int) -> DataFrame:
-    """(anchor, id, check): a row for everyone at home or visiting where someone is at home."""
-    held = sketches.sparkSession.sparkContext.broadcast(taken)
+def first_bits():
+    return F.substring("sketch", 1, CHECK_BITS // 8).alias("check")
+
+
+def at_home(sketches: DataFrame) -> DataFrame:
+    """(anchor, id, check): a row for each table."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                bits = bit_rows(part["sketch"])
+                anchors = np.concatenate([anchors_at_home(bits, t) for t in range(TABLES)])
+                row = pa.array(np.tile(np.arange(len(bits)), TABLES))
+                yield pa.RecordBatch.from_arrays([pa.array(anchors), part["id"].take(row), part["check"].take(row)], names=["anchor", "id", "check"])
+
+    return sketches.select("id", "sketch", first_bits()).mapInArrow(run, "anchor long, id long, check binary")
+
+
+def meetings(labelled: DataFrame, taken: np.ndarray, threshold: int) -> DataFrame:
+    """(anchor, id, check, root, size): a row for everyone at home or visiting where someone is at home."""
+    held = labelled.sparkSession.sparkContext.broadcast(taken)
+    kept = ["id", "check", "root", "size"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         there = held.value
@@ -144,10 +172,10 @@ def meetings(sketches: DataFrame, taken: np.ndarray, threshold: int) -> DataFram
                         rows.append(r[keep])
                         anchors.append(a[keep])
                     row = pa.array(np.concatenate(rows))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(anchors)), part["id"].take(row), part["check"].take(row)], names=["anchor", "id", "check"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(anchors)), *[part[c].take(row) for c in kept]], names=["anchor", *kept])
 
-    with_check = sketches.select("id", "sketch", F.substring("sketch", 1, CHECK_BITS // 8).alias("check"))
-    return with_check.mapInArrow(run, "anchor long, id long, check binary")
+    with_check = labelled.select("sketch", "id", first_bits(), "root", "size")
+    return with_check.mapInArrow(run, "anchor long, id long, check binary, root long, size int")
 
 
 def forest(bits: np.ndarray, most: int) -> list[tuple[int, int]]:
@@ -194,26 +222,199 @@ def partnered(met: DataFrame, most: int) -> DataFrame:
 
 def linked(partners: DataFrame, sketches: DataFrame, most: int) -> DataFrame:
     """(a, b): links over all bits, a spanning forest for each meeting."""
+    return forests(partners.join(sketches, "id").select("anchor", "id", "sketch"), most)
+
 
+def forests(rows: DataFrame, most: int) -> DataFrame:
     def f(t: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
         ids, bits = t["id"].to_numpy(), wide(t["sketch"], t.num_rows)
         pairs = [(a + i, a + j) for a, b in zip(starts.tolist(), [*starts[1:].tolist(), t.num_rows], strict=True) for i, j in forest(bits[a:b], most)]
         k = np.array(pairs, np.int64).reshape(-1, 2)
         return pa.RecordBatch.from_arrays([pa.array(ids[k[:, 0]]), pa.array(ids[k[:, 1]])], names=["a", "b"])
 
-    rows = partners.join(sketches, "id").select("anchor", "id", "sketch")
     return rows.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(lambda batches: grouped(batches, "anchor", f, 4096), "a long, b long")
 
 
+MEMBERS = "cell long, anchor long, id long, sketch binary, first long"
+
+
+def crowd_links(crowd: DataFrame, sketches: DataFrame, most: int) -> DataFrame:
+    """The same links for meetings of any size; ``crowd`` has anchor, id and the number of chunks."""
+    rows = crowd.join(sketches, "id").select("anchor", "id", "sketch", "chunks", F.pmod(F.xxhash64("id"), F.col("chunks")).alias("chunk"))
+    # A cell is a chunk of a meeting, as one number to sort by; meetings whose numbers collide are told apart below.
+    cells = rows.withColumn("cell", F.xxhash64("anchor", "chunk"))
+
+    def f(t: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        ids, anchors, bits = t["id"].to_numpy(), t["anchor"].to_numpy(), wide(t["sketch"], t.num_rows)
+        first = ids.copy()
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), t.num_rows], strict=True):
+            for anchor in np.unique(anchors[a:b]):
+                at = a + np.flatnonzero(anchors[a:b] == anchor)
+                at = at[np.argsort(ids[at])]
+                # The forest walks from the first row of a component, which is its least id.
+                for i, j in forest(bits[at], most):
+                    first[at[j]] = first[at[i]]
+        return pa.RecordBatch.from_arrays([t["cell"].combine_chunks(), t["anchor"].combine_chunks(), t["id"].combine_chunks(), t["sketch"].combine_chunks(), pa.array(first)], names=["cell", "anchor", "id", "sketch", "first"])
+
+    dealt = cells.select("cell", "anchor", "id", "sketch").repartition("cell").sortWithinPartitions("cell")
+    members = saved(dealt.mapInArrow(lambda batches: grouped(batches, "cell", f, 4096), MEMBERS))
+    within = members.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
+    firsts = members.where("id = first").select("anchor", "id", "sketch")
+    across = saved(forests(firsts, most))
+    # Whom the links so far leave outside a meeting's largest component meets every chunk once more.
+    stars = components(across)
+    rooted = members.join(stars, members["first"] == stars["a"], "left").select("cell", "anchor", "id", "sketch", F.coalesce("b", "first").alias("root"))
+    sizes = rooted.groupBy("anchor", "root").count()
+    largest = sizes.groupBy("anchor").agg(F.max_by("root", F.struct("count", "root")).alias("largest"))
+    outside = saved(rooted.join(largest, "anchor").where("root <> largest").select("anchor", "id", "sketch", "root"))
+    places = members.select("anchor", "cell").distinct()
+    probes = outside.join(places, "anchor").select("cell", "anchor", "id", "sketch", "root", F.lit(True).alias("probe"))
+    both = rooted.withColumn("probe", F.lit(False)).unionByName(probes)
+
+    def g(t: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        ids, anchors, roots, probe, bits = t["id"].to_numpy(), t["anchor"].to_numpy(), t["root"].to_numpy(), t["probe"].to_numpy(), wide(t["sketch"], t.num_rows)
+        out: set[tuple[int, int]] = set()
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), t.num_rows], strict=True):
+            there = a + np.flatnonzero(~probe[a:b])
+            for i in a + np.flatnonzero(probe[a:b]):
+                rest = there[(roots[there] != roots[i]) & (anchors[there] == anchors[i])]
+                near = rest[np.bitwise_count(bits[rest] ^ bits[i]).sum(1) <= most]
+                # One link for each component that the probe touches.
+                _, one = np.unique(roots[near], return_index=True)
+                out.update((int(ids[i]), int(ids[j])) for j in near[one])
+        k = np.array(sorted(out), np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(k[:, 0]), pa.array(k[:, 1])], names=["a", "b"])
+
+    met_again = both.repartition("cell").sortWithinPartitions("cell").mapInArrow(lambda batches: grouped(batches, "cell", g, 4096), "a long, b long")
+    return within.unionByName(across).unionByName(met_again)
+
+
+CROSSING = "id long, target long"
+
+
+def crossings(ids: np.ndarray, roots: np.ndarray, sizes: np.ndarray, bits: np.ndarray, probes: np.ndarray, base: np.ndarray, most: int) -> set[tuple[int, int]]:
+    """(id, root of another component that it comes close to): the member of the smaller component asks."""
+    out: set[tuple[int, int]] = set()
+    for i in probes.tolist():
+        rest = base[roots[base] != roots[i]]
+        near = rest[np.bitwise_count(bits[rest] ^ bits[i]).sum(1) <= most]
+        for j in near.tolist():
+            if (sizes[i], roots[i]) <= (sizes[j], roots[j]):
+                out.add((int(ids[i]), int(roots[j])))
+            else:
+                out.add((int(ids[j]), int(roots[i])))
+    return out
+
+
+def as_crossings(found: set[tuple[int, int]]) -> pa.RecordBatch:
+    k = np.array(sorted(found), np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(k[:, 0]), pa.array(k[:, 1])], names=["id", "target"])
+
+
+def crossing(met: DataFrame, most: int) -> DataFrame:
+    """Who comes close to which other component, over the check bits."""
+
+    def f(t: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        ids, roots, sizes, bits = t["id"].to_numpy(), t["root"].to_numpy(), t["size"].to_numpy(), wide(t["check"], t.num_rows)
+        ends = np.concatenate([starts[1:], [t.num_rows]])
+        found: set[tuple[int, int]] = set()
+        two = starts[ends - starts == 2]
+        near = (roots[two] != roots[two + 1]) & (np.bitwise_count(bits[two] ^ bits[two + 1]).sum(1) <= most)
+        for a in two[near].tolist():
+            found |= crossings(ids, roots, sizes, bits, np.array([a]), np.array([a + 1]), most)
+        for a, b in zip(starts[ends - starts > 2].tolist(), ends[ends - starts > 2].tolist(), strict=True):
+            own, place, n = np.unique(roots[a:b], return_inverse=True, return_counts=True)
+            if len(own) > 1:
+                outside = a + np.flatnonzero(place != n.argmax())
+                found |= crossings(ids, roots, sizes, bits, outside, np.arange(a, b), most)
+        return as_crossings(found)
+
+    return met.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(lambda batches: grouped(batches, "anchor", f), CROSSING)
+
+
+def crowd_crossing(crowd: DataFrame, most: int) -> DataFrame:
+    """The same for meetings of any size: whoever isn't of the largest component there meets all chunks."""
+    rows = crowd.withColumn("cell", F.xxhash64("anchor", F.pmod(F.xxhash64("id"), F.col("chunks"))))
+    largest = rows.groupBy("anchor", "root").count().groupBy("anchor").agg(F.max_by("root", F.struct("count", "root")).alias("largest"))
+    columns = ["cell", "anchor", "id", "check", "root", "size"]
+    outside = rows.join(largest, "anchor").where("root <> largest")
+    probes = outside.withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), lambda c: F.xxhash64("anchor", c))))
+    both = rows.select(*columns, F.lit(False).alias("probe")).unionByName(probes.select(*columns, F.lit(True).alias("probe")))
+
+    def f(t: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        ids, anchors, roots, sizes, probe = (t[c].to_numpy() for c in ("id", "anchor", "root", "size", "probe"))
+        bits, found = wide(t["check"], t.num_rows), set()
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), t.num_rows], strict=True):
+            for anchor in np.unique(anchors[a:b]):
+                at = a + np.flatnonzero(anchors[a:b] == anchor)
+                found |= crossings(ids, roots, sizes, bits, at[probe[at]], at[~probe[at]], most)
+        return as_crossings(found)
+
+    return both.repartition("cell").sortWithinPartitions("cell").mapInArrow(lambda batches: grouped(batches, "cell", f, 4096), CROSSING)
+
+
+def confirmed(asked: DataFrame, labelled: DataFrame, most: int) -> DataFrame:
+    """(a, b): for each id and component asked for, a link over all bits to a member of each of its chunks, where there is one."""
+    chunks = F.ceil(F.col("size") / CROWD).cast("long")
+    members = labelled.join(asked.select(F.col("target").alias("root")).distinct(), "root", "left_semi")
+    members = members.select("root", "id", "sketch", F.xxhash64("root", F.pmod(F.xxhash64("id"), chunks)).alias("cell"), F.lit(False).alias("probe"))
+    sizes = labelled.where("id = root").select(F.col("root").alias("target"), "size")
+    asking = asked.join(sizes, "target").join(labelled.select("id", "sketch"), "id")
+    cells = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), chunks - 1), lambda c: F.xxhash64("target", c)))
+    probes = asking.select(F.col("target").alias("root"), "id", "sketch", cells.alias("cell"), F.lit(True).alias("probe"))
+
+    def f(t: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        ids, roots, probe, bits = t["id"].to_numpy(), t["root"].to_numpy(), t["probe"].to_numpy(), wide(t["sketch"], t.num_rows)
+        out = []
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), t.num_rows], strict=True):
+            there = a + np.flatnonzero(~probe[a:b])
+            for i in a + np.flatnonzero(probe[a:b]):
+                near = np.flatnonzero((np.bitwise_count(bits[there] ^ bits[i]).sum(1) <= most) & (roots[there] == roots[i]))
+                if len(near):
+                    out.append((ids[i], ids[there[near[0]]]))
+        k = np.array(out, np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(k[:, 0]), pa.array(k[:, 1])], names=["a", "b"])
+
+    dealt = members.unionByName(probes).repartition("cell").sortWithinPartitions("cell")
+    return dealt.mapInArrow(lambda batches: grouped(batches, "cell", f, 4096), "a long, b long")
+
+
+def split_crowds(met: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The meetings that one task can hold, and the rows of the others with their number of chunks, if there are any."""
+    crowds = saved(met.groupBy("anchor").count().where(F.col("count") > CROWD).select("anchor", F.ceil(F.col("count") / CROWD).alias("chunks")))
+    if crowds.isEmpty():
+        return met, None
+    return met.join(crowds, "anchor", "left_anti"), met.join(crowds, "anchor")
+
+
+def label(sketches: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, sketch, root, size) by the components of the links, and these as stars."""
+    stars = components(links)
+    rooted = sketches.join(stars, sketches["id"] == stars["a"], "left").select("id", "sketch", F.coalesce("b", "id").alias("root"))
+    sizes = stars.groupBy(F.col("b").alias("r")).agg((F.count("*") + 1).cast("int").alias("size"))
+    return saved(rooted.join(sizes, rooted["root"] == sizes["r"], "left").select("id", "sketch", "root", F.coalesce("size", F.lit(1)).alias("size"))), stars
+
+
 def duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, similarity: float = SIMILARITY, threshold: int = THRESHOLD) -> DataFrame:
     """(doc_id, component_id) of all documents that aren't the one with the least doc_id in their group."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
     marked = saved(map_columns(rows, ["text"], fields(sketch=BinaryType()), lambda _, texts: [(sketch(x, size),) for x in texts]).drop("text"))
     firsts = saved(marked.groupBy("sketch").agg(F.min("doc_id").alias("id")))
-    met = meetings(firsts, occupied(firsts), threshold)
-    partners = partnered(met, differing(similarity, CHECK_BITS, DEVIATIONS))
-    stars = components(linked(partners, firsts, differing(similarity, BITS)))
-    roots = firsts.join(stars, firsts["id"] == stars["a"], "left").select("sketch", F.coalesce("b", "id").alias("component_id"))
+    close, most = differing(similarity, CHECK_BITS, DEVIATIONS), differing(similarity, BITS)
+    homely, crowd = split_crowds(saved(at_home(firsts)))
+    found = linked(partnered(homely, close), firsts, most)
+    if crowd is not None:
+        found = found.unionByName(crowd_links(crowd.select("anchor", "id", "chunks"), firsts, most))
+    labelled, stars = label(firsts, found)
+    met = saved(meetings(labelled, occupied(firsts), threshold))
+    some, crowd = split_crowds(met)
+    asked = crossing(some, close)
+    if crowd is not None:
+        asked = asked.unionByName(crowd_crossing(crowd, close))
+    asked = saved(asked.distinct())
+    dropped(met)
+    labelled, _ = label(firsts, stars.unionByName(confirmed(asked, labelled, most)))
+    roots = labelled.select("sketch", F.col("root").alias("component_id"))
     return marked.join(roots, "sketch").where("doc_id <> component_id").select("doc_id", "component_id").distinct()
 
 

@@ -126,6 +126,23 @@ def test_near_duplicates_at_a_similarity(spark, clashing):
     assert neardup.keep_one(frame(spark, [])).count() == 0
 
 
+def test_crowds_lose_no_link(spark, monkeypatch):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    texts = []
+    for _ in range(3):
+        w = [word() for _ in range(200)]
+        for _ in range(120):  # a walk away from where it began: neighbours are alike, the ends aren't
+            if rng.random() < 0.5:
+                w[rng.randrange(200)] = word()
+            texts.append(" ".join(w))
+    df = frame(spark, texts)
+    got = lambda: sorted(map(tuple, neardup.duplicates(df).collect()))
+    plain = got()
+    monkeypatch.setattr(neardup, "CROWD", 7)
+    assert got() == plain and len(plain) > 300
+
+
 # Suffix sorting.
 
 
