@@ -8,7 +8,7 @@ sixteen miss a pair of similarity 0.8 in about 2 % of cases, one of 0.9 in about
 
 Those at home at the same anchor are linked first; most near-duplicates are connected by that. Then homes and visits
 are looked at only for what crosses from one component to another: over 128 bits, who comes close to which other
-component, each counted once however many anchors show it; and over all 768, whether a link to a member is there.
+component where one of the two is at home; and over all 768, whether a link to a member is there.
 The cut is the number of bits in which a pair at the given similarity differs on average; its spread there amounts
 to 0.017 of similarity. No step lists the pairs of a group.
 
@@ -41,7 +41,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 WORDS, TABLES = 12, 16
 BITS, BYTES = 64 * WORDS, 8 * WORDS
 #: Bits of the first comparison, and how many standard deviations beyond the average it lets pass.
-CHECK_BITS, DEVIATIONS = 128, 4
+CHECK_BITS, DEVIATIONS = 128, 2.5
 #: Meetings of more than so many are split into chunks of about so many.
 CROWD = 20_000
 #: One bit for each table and anchor, folded into this many.
@@ -154,7 +154,7 @@ def at_home(sketches: DataFrame) -> DataFrame:
 
 
 def meetings(labelled: DataFrame, taken: np.ndarray, threshold: int) -> DataFrame:
-    """(anchor, id, check, root, size): a row for everyone at home or visiting where someone is at home."""
+    """(anchor, id, check, root, size, home): a row for everyone at home or visiting where someone is at home."""
     held = labelled.sparkSession.sparkContext.broadcast(taken)
     kept = ["id", "check", "root", "size"]
 
@@ -172,10 +172,11 @@ def meetings(labelled: DataFrame, taken: np.ndarray, threshold: int) -> DataFram
                         rows.append(r[keep])
                         anchors.append(a[keep])
                     row = pa.array(np.concatenate(rows))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(anchors)), *[part[c].take(row) for c in kept]], names=["anchor", *kept])
+                    home = pa.array(np.arange(len(row)) < len(bits))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(anchors)), *[part[c].take(row) for c in kept], home], names=["anchor", *kept, "home"])
 
     with_check = labelled.select("sketch", "id", first_bits(), "root", "size")
-    return with_check.mapInArrow(run, "anchor long, id long, check binary, root long, size int")
+    return with_check.mapInArrow(run, "anchor long, id long, check binary, root long, size int, home boolean")
 
 
 def forest(bits: np.ndarray, most: int) -> list[tuple[int, int]]:
@@ -292,11 +293,11 @@ def crowd_links(crowd: DataFrame, sketches: DataFrame, most: int) -> DataFrame:
 CROSSING = "id long, target long"
 
 
-def crossings(ids: np.ndarray, roots: np.ndarray, sizes: np.ndarray, bits: np.ndarray, probes: np.ndarray, base: np.ndarray, most: int) -> set[tuple[int, int]]:
-    """(id, root of another component that it comes close to): the member of the smaller component asks."""
+def crossings(ids: np.ndarray, roots: np.ndarray, sizes: np.ndarray, home: np.ndarray, bits: np.ndarray, probes: np.ndarray, base: np.ndarray, most: int) -> set[tuple[int, int]]:
+    """(id, root of another component that it comes close to), one of the two being at home: the member of the smaller component asks."""
     out: set[tuple[int, int]] = set()
     for i in probes.tolist():
-        rest = base[roots[base] != roots[i]]
+        rest = base[(roots[base] != roots[i]) & (home[base] | home[i])]
         near = rest[np.bitwise_count(bits[rest] ^ bits[i]).sum(1) <= most]
         for j in near.tolist():
             if (sizes[i], roots[i]) <= (sizes[j], roots[j]):
@@ -315,18 +316,19 @@ def crossing(met: DataFrame, most: int) -> DataFrame:
     """Who comes close to which other component, over the check bits."""
 
     def f(t: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
-        ids, roots, sizes, bits = t["id"].to_numpy(), t["root"].to_numpy(), t["size"].to_numpy(), wide(t["check"], t.num_rows)
+        ids, roots, sizes, home = (t[c].to_numpy() for c in ("id", "root", "size", "home"))
+        bits = wide(t["check"], t.num_rows)
         ends = np.concatenate([starts[1:], [t.num_rows]])
         found: set[tuple[int, int]] = set()
         two = starts[ends - starts == 2]
         near = (roots[two] != roots[two + 1]) & (np.bitwise_count(bits[two] ^ bits[two + 1]).sum(1) <= most)
         for a in two[near].tolist():
-            found |= crossings(ids, roots, sizes, bits, np.array([a]), np.array([a + 1]), most)
+            found |= crossings(ids, roots, sizes, home, bits, np.array([a]), np.array([a + 1]), most)
         for a, b in zip(starts[ends - starts > 2].tolist(), ends[ends - starts > 2].tolist(), strict=True):
             own, place, n = np.unique(roots[a:b], return_inverse=True, return_counts=True)
             if len(own) > 1:
                 outside = a + np.flatnonzero(place != n.argmax())
-                found |= crossings(ids, roots, sizes, bits, outside, np.arange(a, b), most)
+                found |= crossings(ids, roots, sizes, home, bits, outside, np.arange(a, b), most)
         return as_crossings(found)
 
     return met.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(lambda batches: grouped(batches, "anchor", f), CROSSING)
@@ -336,18 +338,18 @@ def crowd_crossing(crowd: DataFrame, most: int) -> DataFrame:
     """The same for meetings of any size: whoever isn't of the largest component there meets all chunks."""
     rows = crowd.withColumn("cell", F.xxhash64("anchor", F.pmod(F.xxhash64("id"), F.col("chunks"))))
     largest = rows.groupBy("anchor", "root").count().groupBy("anchor").agg(F.max_by("root", F.struct("count", "root")).alias("largest"))
-    columns = ["cell", "anchor", "id", "check", "root", "size"]
+    columns = ["cell", "anchor", "id", "check", "root", "size", "home"]
     outside = rows.join(largest, "anchor").where("root <> largest")
     probes = outside.withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), lambda c: F.xxhash64("anchor", c))))
     both = rows.select(*columns, F.lit(False).alias("probe")).unionByName(probes.select(*columns, F.lit(True).alias("probe")))
 
     def f(t: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
-        ids, anchors, roots, sizes, probe = (t[c].to_numpy() for c in ("id", "anchor", "root", "size", "probe"))
+        ids, anchors, roots, sizes, home, probe = (t[c].to_numpy() for c in ("id", "anchor", "root", "size", "home", "probe"))
         bits, found = wide(t["check"], t.num_rows), set()
         for a, b in zip(starts.tolist(), [*starts[1:].tolist(), t.num_rows], strict=True):
             for anchor in np.unique(anchors[a:b]):
                 at = a + np.flatnonzero(anchors[a:b] == anchor)
-                found |= crossings(ids, roots, sizes, bits, at[probe[at]], at[~probe[at]], most)
+                found |= crossings(ids, roots, sizes, home, bits, at[probe[at]], at[~probe[at]], most)
         return as_crossings(found)
 
     return both.repartition("cell").sortWithinPartitions("cell").mapInArrow(lambda batches: grouped(batches, "cell", f, 4096), CROSSING)
