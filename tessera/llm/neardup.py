@@ -6,17 +6,17 @@ are the code words of two Golay blocks; a document is at home at the nearest one
 the home of a point within two steps. Pairs that differ by more than that in one table meet in another: all
 sixteen miss a pair of similarity 0.8 in about 2 % of cases, one of 0.9 in about 0.01 %.
 
-Those at home at the same anchor are linked first; most near-duplicates are connected by that. Then homes and visits
-are looked at only for what crosses from one component to another: over 128 bits, who comes close to which other
-component where one of the two is at home; and over all 768, whether a link to a member is there.
-The cut is the number of bits in which a pair at the given similarity differs on average; its spread there amounts
-to 0.017 of similarity. No step lists the pairs of a group.
+The sketches only propose links; each one is confirmed by the exact Jaccard similarity of the two shingle sets. Those at
+home at the same anchor are proposed first, a spanning forest for each meeting. Then homes and visits are looked at
+for what crosses from one component to another: over 128 bits, who comes close to another component where one of the
+two is at home; and over all 768, every such pair, with a cut three standard deviations beyond the average distance at
+the given similarity. Pairs of one component aren't listed.
 
 Meetings of more than ``CROWD`` are split: chunks of bounded size are linked by themselves, then their components'
 first members, and whoever is left outside the largest component is compared with every chunk. That loses no link
 that one comparison of all would find.
 
-Equal sketches are one document before all that. Texts without words are alike. Rows without a doc_id aren't
+Equal shingle sets are one document before all that. Texts without words are alike. Rows without a doc_id aren't
 compared with others.
 """
 
@@ -32,9 +32,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from .arrow import fields, grouped, map_columns
+from .arrow import fields, grouped, map_columns, pieces
 from .components import components
-from .simhash import FREE, LENGTH, SEED, THRESHOLD, homes, remainder, visits
+from .simhash import FREE, LENGTH, THRESHOLD, homes, remainder, shingle_hashes, visits
 from .store import dropped, saved
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -42,6 +42,8 @@ WORDS, TABLES = 12, 16
 BITS, BYTES = 64 * WORDS, 8 * WORDS
 #: Bits of the first comparison, and how many standard deviations beyond the average it lets pass.
 CHECK_BITS, DEVIATIONS = 128, 2.5
+#: The same over all bits, for pairs that the exact sets decide.
+MARGIN = 3
 #: Meetings of more than so many are split into chunks of about so many.
 CROWD = 20_000
 #: One bit for each table and anchor, folded into this many.
@@ -59,15 +61,22 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(31)
 
 
-def sketch(text: str | None, size: int = SHINGLE) -> bytes:
-    words = (text or "").encode().lower().split()
-    if not words:
-        return bytes(BYTES)
-    size = min(size, len(words))
-    line, ends = b" ".join(words), np.cumsum([len(w) + 1 for w in words])
-    starts = np.concatenate([[0], ends[: len(words) - size]]).tolist()
-    digest = xxhash.xxh64_intdigest
-    h = np.array(list({digest(line[a:b], SEED) for a, b in zip(starts, (ends[size - 1 :] - 1).tolist(), strict=True)}), np.uint64)
+def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
+    """The distinct shingles' hashes in order; a shorter text is one shingle, one without words has none."""
+    return np.unique(shingle_hashes(text, size))
+
+
+def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two shingle sets have at least that Jaccard similarity."""
+    n, m = len(a), len(b)
+    if min(n, m) < similarity * max(n, m) - 1e-9:
+        return False
+    both = n + m - len(np.union1d(a, b))
+    return both >= similarity * (n + m - both) - 1e-9
+
+
+def sketch(h: np.ndarray) -> bytes:
+    """The bits set in more than half of a shingle set's hashes."""
     sums = np.zeros(BITS, np.int64)
     for at in range(0, len(h), 2040):
         part = mixed(h[at : at + 2040, None] + STEPS)
@@ -179,15 +188,22 @@ def meetings(labelled: DataFrame, taken: np.ndarray, threshold: int) -> DataFram
     return with_check.mapInArrow(run, "anchor long, id long, check binary, root long, size int, home boolean")
 
 
-def forest(bits: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """Links that connect all rows which links of at most ``most`` differing bits connect."""
+def close(rows: np.ndarray, row: np.ndarray, most: tuple[int, int]) -> np.ndarray:
+    """Which rows differ from one in no more bits than allowed: over the check bits, and over all where these are there."""
+    apart = np.bitwise_count(rows ^ row)
+    near = apart[:, : CHECK_BITS // 64].sum(1) <= most[0]
+    return near & (apart.sum(1) <= most[1]) if rows.shape[1] == WORDS else near
+
+
+def forest(bits: np.ndarray, most: tuple[int, int]) -> list[tuple[int, int]]:
+    """Links that connect all rows which links between close rows connect."""
     out, queue, rest = [], [], np.arange(len(bits))
     while len(rest):
         i, rest = int(rest[0]), rest[1:]
         queue.append(i)
         while queue and len(rest):
             i = queue.pop()
-            near = np.bitwise_count(bits[rest] ^ bits[i]).sum(1) <= most
+            near = close(bits[rest], bits[i], most)
             found = rest[near].tolist()
             out += [(i, j) for j in found]
             queue += found
@@ -200,7 +216,7 @@ def wide(column, rows: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(rows, -1)
 
 
-def partnered(met: DataFrame, most: int) -> DataFrame:
+def partnered(met: DataFrame, most: tuple[int, int]) -> DataFrame:
     """(anchor, id) of those who have a partner where they meet, over the check bits."""
 
     def f(t: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
@@ -210,7 +226,7 @@ def partnered(met: DataFrame, most: int) -> DataFrame:
         sizes = ends - starts
         # Meetings of two, the most frequent ones, all at once.
         two = starts[sizes == 2]
-        good = two[np.bitwise_count(bits[two] ^ bits[two + 1]).sum(1) <= most]
+        good = two[close(bits[two], bits[two + 1], most)]
         keep += [good, good + 1]
         for a, b in zip(starts[sizes > 2].tolist(), ends[sizes > 2].tolist(), strict=True):
             if links := forest(bits[a:b], most):
@@ -221,164 +237,117 @@ def partnered(met: DataFrame, most: int) -> DataFrame:
     return met.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(lambda batches: grouped(batches, "anchor", f), "anchor long, id long")
 
 
-def linked(partners: DataFrame, sketches: DataFrame, most: int) -> DataFrame:
-    """(a, b): links over all bits, a spanning forest for each meeting."""
+def linked(partners: DataFrame, sketches: DataFrame, most: tuple[int, int]) -> DataFrame:
+    """(a, b): proposed links over all bits, a spanning forest for each meeting."""
     return forests(partners.join(sketches, "id").select("anchor", "id", "sketch"), most)
 
 
-def forests(rows: DataFrame, most: int) -> DataFrame:
+def forests(rows: DataFrame, most: tuple[int, int]) -> DataFrame:
     def f(t: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
         ids, bits = t["id"].to_numpy(), wide(t["sketch"], t.num_rows)
         pairs = [(a + i, a + j) for a, b in zip(starts.tolist(), [*starts[1:].tolist(), t.num_rows], strict=True) for i, j in forest(bits[a:b], most)]
         k = np.array(pairs, np.int64).reshape(-1, 2)
         return pa.RecordBatch.from_arrays([pa.array(ids[k[:, 0]]), pa.array(ids[k[:, 1]])], names=["a", "b"])
 
-    return rows.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(lambda batches: grouped(batches, "anchor", f, 4096), "a long, b long")
+    # In the order of ids, meetings in several tables propose the same links.
+    return rows.repartition("anchor").sortWithinPartitions("anchor", "id").mapInArrow(lambda batches: grouped(batches, "anchor", f, 4096), "a long, b long")
 
 
-MEMBERS = "cell long, anchor long, id long, sketch binary, first long"
+MEMBERS = "anchor long, id long, sketch binary, a long, b long"
 
 
-def crowd_links(crowd: DataFrame, sketches: DataFrame, most: int) -> DataFrame:
-    """The same links for meetings of any size; ``crowd`` has anchor, id and the number of chunks."""
-    rows = crowd.join(sketches, "id").select("anchor", "id", "sketch", "chunks", F.pmod(F.xxhash64("id"), F.col("chunks")).alias("chunk"))
-    # A cell is a chunk of a meeting, as one number to sort by; meetings whose numbers collide are told apart below.
-    cells = rows.withColumn("cell", F.xxhash64("anchor", "chunk"))
+def crowd_links(crowd: DataFrame, sketches: DataFrame, most: tuple[int, int]) -> DataFrame:
+    """Proposed links for meetings of any size: within chunks, and between the first members of what is connected there."""
+    rows = crowd.join(sketches, "id").select("anchor", "id", "sketch", F.xxhash64("anchor", F.pmod(F.xxhash64("id"), F.col("chunks"))).alias("cell"))
 
     def f(t: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
         ids, anchors, bits = t["id"].to_numpy(), t["anchor"].to_numpy(), wide(t["sketch"], t.num_rows)
-        first = ids.copy()
+        near = ids.copy()
         for a, b in zip(starts.tolist(), [*starts[1:].tolist(), t.num_rows], strict=True):
+            # Meetings whose cells' numbers collide are told apart.
             for anchor in np.unique(anchors[a:b]):
                 at = a + np.flatnonzero(anchors[a:b] == anchor)
-                at = at[np.argsort(ids[at])]
-                # The forest walks from the first row of a component, which is its least id.
                 for i, j in forest(bits[at], most):
-                    first[at[j]] = first[at[i]]
-        return pa.RecordBatch.from_arrays([t["cell"].combine_chunks(), t["anchor"].combine_chunks(), t["id"].combine_chunks(), t["sketch"].combine_chunks(), pa.array(first)], names=["cell", "anchor", "id", "sketch", "first"])
+                    near[at[j]] = ids[at[i]]
+        return pa.RecordBatch.from_arrays([t["anchor"].combine_chunks(), t["id"].combine_chunks(), t["sketch"].combine_chunks(), pa.array(near), pa.array(ids)], names=["anchor", "id", "sketch", "a", "b"])
 
-    dealt = cells.select("cell", "anchor", "id", "sketch").repartition("cell").sortWithinPartitions("cell")
+    dealt = rows.select("cell", "anchor", "id", "sketch").repartition("cell").sortWithinPartitions("cell", "id")
     members = saved(dealt.mapInArrow(lambda batches: grouped(batches, "cell", f, 4096), MEMBERS))
-    within = members.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
-    firsts = members.where("id = first").select("anchor", "id", "sketch")
-    across = saved(forests(firsts, most))
-    # Whom the links so far leave outside a meeting's largest component meets every chunk once more.
-    stars = components(across)
-    rooted = members.join(stars, members["first"] == stars["a"], "left").select("cell", "anchor", "id", "sketch", F.coalesce("b", "first").alias("root"))
-    sizes = rooted.groupBy("anchor", "root").count()
-    largest = sizes.groupBy("anchor").agg(F.max_by("root", F.struct("count", "root")).alias("largest"))
-    outside = saved(rooted.join(largest, "anchor").where("root <> largest").select("anchor", "id", "sketch", "root"))
-    places = members.select("anchor", "cell").distinct()
-    probes = outside.join(places, "anchor").select("cell", "anchor", "id", "sketch", "root", F.lit(True).alias("probe"))
-    both = rooted.withColumn("probe", F.lit(False)).unionByName(probes)
-
-    def g(t: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
-        ids, anchors, roots, probe, bits = t["id"].to_numpy(), t["anchor"].to_numpy(), t["root"].to_numpy(), t["probe"].to_numpy(), wide(t["sketch"], t.num_rows)
-        out: set[tuple[int, int]] = set()
-        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), t.num_rows], strict=True):
-            there = a + np.flatnonzero(~probe[a:b])
-            for i in a + np.flatnonzero(probe[a:b]):
-                rest = there[(roots[there] != roots[i]) & (anchors[there] == anchors[i])]
-                near = rest[np.bitwise_count(bits[rest] ^ bits[i]).sum(1) <= most]
-                # One link for each component that the probe touches.
-                _, one = np.unique(roots[near], return_index=True)
-                out.update((int(ids[i]), int(ids[j])) for j in near[one])
-        k = np.array(sorted(out), np.int64).reshape(-1, 2)
-        return pa.RecordBatch.from_arrays([pa.array(k[:, 0]), pa.array(k[:, 1])], names=["a", "b"])
-
-    met_again = both.repartition("cell").sortWithinPartitions("cell").mapInArrow(lambda batches: grouped(batches, "cell", g, 4096), "a long, b long")
-    return within.unionByName(across).unionByName(met_again)
-
-
-CROSSING = "id long, target long"
-
-
-def crossings(ids: np.ndarray, roots: np.ndarray, sizes: np.ndarray, home: np.ndarray, bits: np.ndarray, probes: np.ndarray, base: np.ndarray, most: int) -> set[tuple[int, int]]:
-    """(id, root of another component that it comes close to), one of the two being at home: the member of the smaller component asks."""
-    out: set[tuple[int, int]] = set()
-    for i in probes.tolist():
-        rest = base[(roots[base] != roots[i]) & (home[base] | home[i])]
-        near = rest[np.bitwise_count(bits[rest] ^ bits[i]).sum(1) <= most]
-        for j in near.tolist():
-            if (sizes[i], roots[i]) <= (sizes[j], roots[j]):
-                out.add((int(ids[i]), int(roots[j])))
-            else:
-                out.add((int(ids[j]), int(roots[i])))
-    return out
-
+    return members.where("a <> b").select("a", "b").unionByName(forests(members.where("a = b").select("anchor", "id", "sketch"), most))
 
-def as_crossings(found: set[tuple[int, int]]) -> pa.RecordBatch:
-    k = np.array(sorted(found), np.int64).reshape(-1, 2)
-    return pa.RecordBatch.from_arrays([pa.array(k[:, 0]), pa.array(k[:, 1])], names=["id", "target"])
 
-
-def crossing(met: DataFrame, most: int) -> DataFrame:
-    """Who comes close to which other component, over the check bits."""
+def crossing(met: DataFrame, most: tuple[int, int]) -> DataFrame:
+    """(anchor, id) of those who come close to another component, over the check bits, one of the two being at home."""
 
     def f(t: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
-        ids, roots, sizes, home = (t[c].to_numpy() for c in ("id", "root", "size", "home"))
+        anchor, ids, roots, home = (t[c].to_numpy() for c in ("anchor", "id", "root", "home"))
         bits = wide(t["check"], t.num_rows)
         ends = np.concatenate([starts[1:], [t.num_rows]])
-        found: set[tuple[int, int]] = set()
+        keep = np.zeros(t.num_rows, bool)
         two = starts[ends - starts == 2]
-        near = (roots[two] != roots[two + 1]) & (np.bitwise_count(bits[two] ^ bits[two + 1]).sum(1) <= most)
-        for a in two[near].tolist():
-            found |= crossings(ids, roots, sizes, home, bits, np.array([a]), np.array([a + 1]), most)
+        near = two[(roots[two] != roots[two + 1]) & (home[two] | home[two + 1]) & close(bits[two], bits[two + 1], most)]
+        keep[near] = keep[near + 1] = True
         for a, b in zip(starts[ends - starts > 2].tolist(), ends[ends - starts > 2].tolist(), strict=True):
             own, place, n = np.unique(roots[a:b], return_inverse=True, return_counts=True)
             if len(own) > 1:
-                outside = a + np.flatnonzero(place != n.argmax())
-                found |= crossings(ids, roots, sizes, home, bits, outside, np.arange(a, b), most)
-        return as_crossings(found)
-
-    return met.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(lambda batches: grouped(batches, "anchor", f), CROSSING)
-
-
-def crowd_crossing(crowd: DataFrame, most: int) -> DataFrame:
-    """The same for meetings of any size: whoever isn't of the largest component there meets all chunks."""
-    rows = crowd.withColumn("cell", F.xxhash64("anchor", F.pmod(F.xxhash64("id"), F.col("chunks"))))
-    largest = rows.groupBy("anchor", "root").count().groupBy("anchor").agg(F.max_by("root", F.struct("count", "root")).alias("largest"))
-    columns = ["cell", "anchor", "id", "check", "root", "size", "home"]
-    outside = rows.join(largest, "anchor").where("root <> largest")
-    probes = outside.withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), lambda c: F.xxhash64("anchor", c))))
-    both = rows.select(*columns, F.lit(False).alias("probe")).unionByName(probes.select(*columns, F.lit(True).alias("probe")))
+                for i in a + np.flatnonzero(place != n.argmax()):
+                    rest = a + np.flatnonzero((roots[a:b] != roots[i]) & (home[a:b] | home[i]))
+                    found = rest[close(bits[rest], bits[i], most)]
+                    keep[found] = True
+                    keep[i] |= len(found) > 0
+        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (anchor, ids, home)], names=["anchor", "id", "home"])
+
+    return met.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(lambda batches: grouped(batches, "anchor", f), "anchor long, id long, home boolean")
+
+
+def crossed(found: DataFrame, labelled: DataFrame, most: tuple[int, int]) -> DataFrame:
+    """(a, b): all pairs of different components that are close over all bits, one of the two being at home, for meetings of any size.
+
+    Whoever isn't of the largest component of a meeting meets all its chunks.
+    """
+    rows = found.join(labelled.select("id", "sketch", "root"), "id")
+    by_root = rows.groupBy("anchor", "root").count()
+    largest = by_root.groupBy("anchor").agg(F.max_by("root", F.struct("count", "root")).alias("largest"), F.ceil(F.sum("count") / CROWD).alias("chunks"))
+    rows = rows.join(saved(largest), "anchor")
+    columns = ["cell", "anchor", "id", "sketch", "root", "home"]
+    base = rows.withColumn("cell", F.xxhash64("anchor", F.pmod(F.xxhash64("id"), F.col("chunks"))))
+    cells = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), lambda c: F.xxhash64("anchor", c)))
+    probes = rows.where("root <> largest").withColumn("cell", cells)
+    both = base.select(*columns, F.lit(False).alias("probe")).unionByName(probes.select(*columns, F.lit(True).alias("probe")))
 
     def f(t: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
-        ids, anchors, roots, sizes, home, probe = (t[c].to_numpy() for c in ("id", "anchor", "root", "size", "home", "probe"))
-        bits, found = wide(t["check"], t.num_rows), set()
+        ids, anchors, roots, home, probe = (t[c].to_numpy() for c in ("id", "anchor", "root", "home", "probe"))
+        bits, out = wide(t["sketch"], t.num_rows), set()
         for a, b in zip(starts.tolist(), [*starts[1:].tolist(), t.num_rows], strict=True):
-            for anchor in np.unique(anchors[a:b]):
-                at = a + np.flatnonzero(anchors[a:b] == anchor)
-                found |= crossings(ids, roots, sizes, home, bits, at[probe[at]], at[~probe[at]], most)
-        return as_crossings(found)
+            there = a + np.flatnonzero(~probe[a:b])
+            for i in a + np.flatnonzero(probe[a:b]):
+                rest = there[(roots[there] != roots[i]) & (anchors[there] == anchors[i]) & (home[there] | home[i])]
+                out.update((min(int(ids[i]), j), max(int(ids[i]), j)) for j in ids[rest[close(bits[rest], bits[i], most)]].tolist())
+        k = np.array(sorted(out), np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(k[:, 0]), pa.array(k[:, 1])], names=["a", "b"])
 
-    return both.repartition("cell").sortWithinPartitions("cell").mapInArrow(lambda batches: grouped(batches, "cell", f, 4096), CROSSING)
+    return both.repartition("cell").sortWithinPartitions("cell").mapInArrow(lambda batches: grouped(batches, "cell", f, 4096), "a long, b long")
 
 
-def confirmed(asked: DataFrame, labelled: DataFrame, most: int) -> DataFrame:
-    """(a, b): for each id and component asked for, a link over all bits to a member of each of its chunks, where there is one."""
-    chunks = F.ceil(F.col("size") / CROWD).cast("long")
-    members = labelled.join(asked.select(F.col("target").alias("root")).distinct(), "root", "left_semi")
-    members = members.select("root", "id", "sketch", F.xxhash64("root", F.pmod(F.xxhash64("id"), chunks)).alias("cell"), F.lit(False).alias("probe"))
-    sizes = labelled.where("id = root").select(F.col("root").alias("target"), "size")
-    asking = asked.join(sizes, "target").join(labelled.select("id", "sketch"), "id")
-    cells = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), chunks - 1), lambda c: F.xxhash64("target", c)))
-    probes = asking.select(F.col("target").alias("root"), "id", "sketch", cells.alias("cell"), F.lit(True).alias("probe"))
+def confirmed(pairs: DataFrame, rows: DataFrame, size: int, similarity: float) -> DataFrame:
+    """(a, b): the proposed pairs whose shingle sets have the similarity, by the texts themselves."""
+    pairs = saved(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
+    needed = saved(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
+    texts = saved(rows.join(needed, "doc_id", "left_semi").distinct())
+    one, other = (texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
 
-    def f(t: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
-        ids, roots, probe, bits = t["id"].to_numpy(), t["root"].to_numpy(), t["probe"].to_numpy(), wide(t["sketch"], t.num_rows)
-        out = []
-        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), t.num_rows], strict=True):
-            there = a + np.flatnonzero(~probe[a:b])
-            for i in a + np.flatnonzero(probe[a:b]):
-                near = np.flatnonzero((np.bitwise_count(bits[there] ^ bits[i]).sum(1) <= most) & (roots[there] == roots[i]))
-                if len(near):
-                    out.append((ids[i], ids[there[near[0]]]))
-        k = np.array(out, np.int64).reshape(-1, 2)
-        return pa.RecordBatch.from_arrays([pa.array(k[:, 0]), pa.array(k[:, 1])], names=["a", "b"])
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            good = []
+            for part in pieces([batch]):
+                for x, y in zip(part["text_a"].to_pylist(), part["text_b"].to_pylist(), strict=True):
+                    if x != last:
+                        last, held = x, shingle_set(x, size)
+                    good.append(alike(held, shingle_set(y, size), similarity))
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    dealt = members.unionByName(probes).repartition("cell").sortWithinPartitions("cell")
-    return dealt.mapInArrow(lambda batches: grouped(batches, "cell", f, 4096), "a long, b long")
+    return saved(pairs.join(other, "b").join(one, "a").mapInArrow(run, "a long, b long"))
 
 
 def split_crowds(met: DataFrame) -> tuple[DataFrame, DataFrame | None]:
@@ -400,24 +369,31 @@ def label(sketches: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
 def duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, similarity: float = SIMILARITY, threshold: int = THRESHOLD) -> DataFrame:
     """(doc_id, component_id) of all documents that aren't the one with the least doc_id in their group."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
-    marked = saved(map_columns(rows, ["text"], fields(sketch=BinaryType()), lambda _, texts: [(sketch(x, size),) for x in texts]).drop("text"))
-    firsts = saved(marked.groupBy("sketch").agg(F.min("doc_id").alias("id")))
-    close, most = differing(similarity, CHECK_BITS, DEVIATIONS), differing(similarity, BITS)
+    def marks(_: object, texts: list) -> list[tuple]:
+        sets = [shingle_set(x, size) for x in texts]
+        return [(sketch(h), xxhash.xxh3_128_digest(h.tobytes())) for h in sets]
+
+    marked = saved(map_columns(rows, ["text"], fields(sketch=BinaryType(), digest=BinaryType()), marks).drop("text"))
+    firsts = saved(marked.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("sketch").alias("sketch")))
+    check = differing(similarity, CHECK_BITS, DEVIATIONS)
+    likely, possible = (check, differing(similarity, BITS)), (check, differing(similarity, BITS, MARGIN))
     homely, crowd = split_crowds(saved(at_home(firsts)))
-    found = linked(partnered(homely, close), firsts, most)
+    found = linked(partnered(homely, likely), firsts, likely)
     if crowd is not None:
-        found = found.unionByName(crowd_links(crowd.select("anchor", "id", "chunks"), firsts, most))
-    labelled, stars = label(firsts, found)
+        found = found.unionByName(crowd_links(crowd.select("anchor", "id", "chunks"), firsts, likely))
+    links = confirmed(found, rows, size, similarity)
+    labelled, stars = label(firsts, links)
     met = saved(meetings(labelled, occupied(firsts), threshold))
     some, crowd = split_crowds(met)
-    asked = crossing(some, close)
+    near = crossing(some, possible)
     if crowd is not None:
-        asked = asked.unionByName(crowd_crossing(crowd, close))
-    asked = saved(asked.distinct())
+        near = near.unionByName(crowd.select("anchor", "id", "home"))
+    near = saved(near)
     dropped(met)
-    labelled, _ = label(firsts, stars.unionByName(confirmed(asked, labelled, most)))
-    roots = labelled.select("sketch", F.col("root").alias("component_id"))
-    return marked.join(roots, "sketch").where("doc_id <> component_id").select("doc_id", "component_id").distinct()
+    links = confirmed(crossed(near, labelled, possible), rows, size, similarity)
+    labelled, _ = label(firsts, stars.unionByName(links))
+    roots = labelled.join(firsts.select("id", "digest"), "id").select("digest", F.col("root").alias("component_id"))
+    return marked.join(roots, "digest").where("doc_id <> component_id").select("doc_id", "component_id").distinct()
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:

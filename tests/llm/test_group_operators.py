@@ -126,6 +126,26 @@ def test_near_duplicates_at_a_similarity(spark, clashing):
     assert neardup.keep_one(frame(spark, [])).count() == 0
 
 
+def spread(words, k, word):
+    """Replaces k words at even distances."""
+    w = words.split()
+    for i in range(k):
+        w[(2 * i + 1) * len(w) // (2 * k)] = word()
+    return " ".join(w)
+
+
+def test_similarities_beside_the_limit(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    base = [" ".join(word() for _ in range(150)) for _ in range(80)]
+    # 131 of 161 shingles are shared after three edits (0.814), 126 of 166 after four (0.759).
+    made = [spread(x, 3 if i < 40 else 4, word) for i, x in enumerate(base)]
+    assert {len(shingles(a) & shingles(b)) for a, b in zip(base, made, strict=True)} == {131, 126}
+    got = {r["doc_id"] for r in neardup.duplicates(frame(spark, base + made)).collect()}
+    # What the tables miss there is a pair in a hundred.
+    assert got <= set(range(80, 120)) and len(got) >= 38
+
+
 def test_crowds_lose_no_link(spark, monkeypatch):
     rng = random.Random(6)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
