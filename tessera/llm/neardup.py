@@ -16,6 +16,9 @@ Meetings of more than ``CROWD`` are split: chunks of bounded size are linked by
 first members, and whoever is left outside the largest component is compared with every chunk. That loses no link
 that one comparison of all would find.
 
+Bits of small sets differ more often than that average, since ties count as zeros; so sets of up to ``FEW`` shingles
+are joined exactly as well, by their rarest shingles.
+
 Equal shingle sets are one document before all that. Texts without words are alike. Rows without a doc_id aren't
 compared with others.
 """
@@ -44,6 +47,8 @@ BITS, BYTES = 64 * WORDS, 8 * WORDS
 CHECK_BITS, DEVIATIONS = 128, 2.5
 #: The same over all bits, for pairs that the exact sets decide.
 MARGIN = 3
+#: Sets of up to so many shingles are joined exactly with all others.
+FEW = 24
 #: Meetings of more than so many are split into chunks of about so many.
 CROWD = 20_000
 #: One bit for each table and anchor, folded into this many.
@@ -350,6 +355,49 @@ def confirmed(pairs: DataFrame, rows: DataFrame, size: int, similarity: float) -
     return saved(pairs.join(other, "b").join(one, "a").mapInArrow(run, "a long, b long"))
 
 
+def few_links(few: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links that connect all small sets which similar ones connect, by a join on the rarest shingles.
+
+    ``few`` has id and few, the hashes in 8 bytes each. Two similar sets share one of the n - ceil(n * similarity) + 1
+    shingles that come first in any fixed order; rare ones first keep the groups small.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.frombuffer(x, np.int64) for x in batch["few"].to_pylist()]
+            row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+            yield pa.RecordBatch.from_arrays([batch["id"].take(pa.array(row)), pa.array(np.concatenate(sets))], names=["id", "h"])
+
+    each = saved(few.mapInArrow(run, "id long, h long"))
+    shared = saved(each.groupBy("h").count().where("count > 1"))
+    ordered = each.join(shared, "h", "left").groupBy("id").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("count", F.lit(1)).alias("n"), "h"))).alias("hs"))
+    needed = F.size("hs") - F.ceil(F.size("hs") * F.lit(similarity) - 1e-9).cast("int") + 1
+    heads = ordered.select("id", F.explode(F.slice("hs", F.lit(1), needed)).alias("x")).where("x.n > 1")
+    rows = heads.select("id", F.col("x.h").alias("h")).join(few, "id")
+
+    def f(t: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        ids, sets = t["id"].to_pylist(), [frozenset(np.frombuffer(x, np.int64).tolist()) for x in t["few"].to_pylist()]
+        links = []
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), t.num_rows], strict=True):
+            rest = list(range(a, b))
+            while rest:
+                queue = [rest.pop(0)]
+                while queue and rest:
+                    one, away = queue.pop(), []
+                    for j in rest:
+                        both = len(sets[one] & sets[j])
+                        if both >= similarity * (len(sets[one]) + len(sets[j]) - both) - 1e-9:
+                            links.append((ids[one], ids[j]))
+                            queue.append(j)
+                        else:
+                            away.append(j)
+                    rest = away
+        k = np.array(links, np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(k[:, 0]), pa.array(k[:, 1])], names=["a", "b"])
+
+    return rows.repartition("h").sortWithinPartitions("h", "id").mapInArrow(lambda batches: grouped(batches, "h", f, 4096), "a long, b long")
+
+
 def split_crowds(met: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """The meetings that one task can hold, and the rows of the others with their number of chunks, if there are any."""
     crowds = saved(met.groupBy("anchor").count().where(F.col("count") > CROWD).select("anchor", F.ceil(F.col("count") / CROWD).alias("chunks")))
@@ -369,19 +417,22 @@ def label(sketches: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
 def duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, similarity: float = SIMILARITY, threshold: int = THRESHOLD) -> DataFrame:
     """(doc_id, component_id) of all documents that aren't the one with the least doc_id in their group."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
+    # A set that is similar to one of FEW has no more than so many shingles.
+    most = math.floor(FEW / similarity + 1e-9)
+
     def marks(_: object, texts: list) -> list[tuple]:
         sets = [shingle_set(x, size) for x in texts]
-        return [(sketch(h), xxhash.xxh3_128_digest(h.tobytes())) for h in sets]
+        return [(sketch(h), xxhash.xxh3_128_digest(h.tobytes()), h.tobytes() if 0 < len(h) <= most else None) for h in sets]
 
-    marked = saved(map_columns(rows, ["text"], fields(sketch=BinaryType(), digest=BinaryType()), marks).drop("text"))
-    firsts = saved(marked.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("sketch").alias("sketch")))
+    marked = saved(map_columns(rows, ["text"], fields(sketch=BinaryType(), digest=BinaryType(), few=BinaryType()), marks).drop("text"))
+    firsts = saved(marked.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("sketch").alias("sketch"), F.first("few").alias("few")))
     check = differing(similarity, CHECK_BITS, DEVIATIONS)
     likely, possible = (check, differing(similarity, BITS)), (check, differing(similarity, BITS, MARGIN))
     homely, crowd = split_crowds(saved(at_home(firsts)))
     found = linked(partnered(homely, likely), firsts, likely)
     if crowd is not None:
         found = found.unionByName(crowd_links(crowd.select("anchor", "id", "chunks"), firsts, likely))
-    links = confirmed(found, rows, size, similarity)
+    links = confirmed(found, rows, size, similarity).unionByName(few_links(firsts.where("few is not null").select("id", "few"), similarity))
     labelled, stars = label(firsts, links)
     met = saved(meetings(labelled, occupied(firsts), threshold))
     some, crowd = split_crowds(met)
@@ -393,7 +444,7 @@ def duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size
     links = confirmed(crossed(near, labelled, possible), rows, size, similarity)
     labelled, _ = label(firsts, stars.unionByName(links))
     roots = labelled.join(firsts.select("id", "digest"), "id").select("digest", F.col("root").alias("component_id"))
-    return marked.join(roots, "digest").where("doc_id <> component_id").select("doc_id", "component_id").distinct()
+    return marked.select("doc_id", "digest").join(roots, "digest").where("doc_id <> component_id").select("doc_id", "component_id").distinct()
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:

@@ -146,6 +146,21 @@ def test_similarities_beside_the_limit(spark):
     assert got <= set(range(80, 120)) and len(got) >= 38
 
 
+def test_near_copies_of_short_texts(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    line = " ".join(word() for _ in range(5))
+    # Texts of 7 to 28 words with one word appended; every other one starts with a common line.
+    base = [" ".join(([line] if i % 2 else []) + [word() for _ in range(2 + n - 5 * (i % 2))]) for n in range(5, 27) for i in range(6)]
+    texts = base + [f"{x} {word()}" for x in base]
+    df = frame(spark, texts)
+    sets = [shingles(x) for x in texts]
+    linked = [(i, j) for i in range(len(texts)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    root = brute_groups(len(texts), linked)
+    want = sorted((i, r) for i, r in enumerate(root) if i != r)
+    assert sorted(map(tuple, neardup.duplicates(df).collect())) == want and len(want) > 100
+
+
 def test_crowds_lose_no_link(spark, monkeypatch):
     rng = random.Random(6)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
