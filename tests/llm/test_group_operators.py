@@ -161,6 +161,20 @@ def test_near_copies_of_short_texts(spark):
     assert sorted(map(tuple, neardup.duplicates(df).collect())) == want and len(want) > 100
 
 
+def test_first_comparison_loses_nothing():
+    rng = np.random.default_rng(13)
+    check = neardup.differing(0.8, neardup.CHECK_BITS, neardup.DEVIATIONS)
+    most = neardup.differing(0.8, neardup.BITS, neardup.MARGIN)
+    lost = 0
+    for _ in range(1500):
+        n = int(rng.integers(20, 60))
+        h = rng.integers(0, 1 << 64, 10 * n, np.uint64)
+        a, b = (np.frombuffer(neardup.sketch(x), np.uint64)[None] for x in (h[: 9 * n], h[n:]))
+        assert neardup.alike(np.sort(h[: 9 * n]), np.sort(h[n:]), 0.8)
+        lost += int(neardup.close(a, b[0], (neardup.BITS, most))[0] and not neardup.close(a, b[0], (check, most))[0])
+    assert lost == 0
+
+
 def test_crowds_lose_no_link(spark, monkeypatch):
     rng = random.Random(6)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
