@@ -87,18 +87,36 @@ def parse_date(v: object) -> dt.datetime | None:
 
 
 def timestamp_of(c: Column, t: T.DataType) -> Column:
-    """A column's values as times; null where they are none."""
+    """A column's values as times; null where they are none. What names no zone is UTC, whatever the session's zone."""
     kind = class_of_type(t)
+    if isinstance(t, T.DateType):
+        return F.timestamp_seconds(F.unix_date(c) * F.lit(86400).cast("long"))
+    if isinstance(t, T.TimestampNTZType):
+        return F.concat(c.cast("string"), F.lit("Z")).cast("timestamp")
     if kind == "date":
-        return c if isinstance(t, T.TimestampType) else c.cast("timestamp")
+        return c
     if kind == "number":
         ms = c.cast("double")
         return F.when(~F.isnan(ms) & (F.abs(ms) <= 8.64e15), F.timestamp_millis(ms.cast("long")))
     if kind == "string":
-        return F.when(c.rlike(ISO_DATE.replace("$", r"\z")), c.try_cast("timestamp"))
+        zone = F.when(F.length(c) == 10, "T00:00:00Z").when(c.rlike(r"(Z|[+-]\d{2}:\d{2})\z") & (F.length(c) > 10), "").otherwise("Z")
+        return F.when(c.rlike(ISO_DATE.replace("$", r"\z")), F.concat(c, zone).try_cast("timestamp"))
     return F.lit(None).cast("timestamp")
 
 
+def time_test(c: Column, t: T.DataType, op: str, v: dt.datetime) -> Column:
+    """``c op v``. Dates are compared with a date, so that this reaches the scan: a day begins at midnight, UTC."""
+    if isinstance(t, T.DateType):
+        midnight = v == v.replace(hour=0, minute=0, second=0, microsecond=0)
+        right = F.lit(v.date())
+        if op == "eq" and not midnight:
+            return F.lit(False)
+        op = op if midnight else {"gte": "gt", "lt": "lte"}.get(op, op)
+    else:
+        c, right = comparable_time(c, t), time_literal(v, t)
+    return {"eq": c == right, "gt": c > right, "gte": c >= right, "lt": c < right, "lte": c <= right}[op]
+
+
 def time_literal(v: dt.datetime, t: T.DataType) -> Column:
     """In the column's own type, so that the comparison reaches the scan."""
     if isinstance(t, T.TimestampNTZType):
@@ -112,18 +130,27 @@ def comparable_time(c: Column, t: T.DataType) -> Column:
 
 def literal(v: object, t: T.DataType) -> Column:
     if class_of_literal(v) == "date":
-        return time_literal(instant(v), t)
+        return F.lit(instant(v).date()) if isinstance(t, T.DateType) else time_literal(instant(v), t)
     return F.lit(v)
 
 
+def fitting(values: tuple, t: T.DataType) -> list:
+    """The literals that a value of the type can equal: those of its class but for NaN and, among days, what isn't midnight (UTC)."""
+    kind, out = class_of_type(t), [v for v in values if v is not None and not is_nan(v) and class_of_literal(v) == class_of_type(t)]
+    if kind == "date" and isinstance(t, T.DateType):
+        return [v for v in out if instant(v).time() == dt.time(0)]
+    return out
+
+
 def compare(c: Column, t: T.DataType, op: str, v: object) -> Column | None:
     """``c op v`` for values of one class; None where the classes differ or nothing can match."""
     kind = class_of_literal(v)
     if kind in ("null", "boolean") or is_nan(v) or class_of_type(t) != kind:
         return None
+    if kind == "date":
+        return time_test(c, t, op, instant(v))
     right = literal(v, t)
-    left = c.cast("timestamp") if isinstance(t, T.DateType) else c
-    out = {"gt": left > right, "gte": left >= right, "lt": left < right, "lte": left <= right}[op]
+    out = {"gt": c > right, "gte": c >= right, "lt": c < right, "lte": c <= right}[op]
     # NaN is greater than everything in Spark.
     return out & ~F.isnan(c) if op in ("gt", "gte") and isinstance(t, (T.FloatType, T.DoubleType)) else out
 

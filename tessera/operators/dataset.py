@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass, field
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,14 +14,58 @@ from pyspark.sql import types as T
 ROW = "_rid"
 
 
+@dataclass(frozen=True)
+class Asked:
+    """What a query asks of its source: rows that pass all tests or, with a limit, the first so many of them in an order, ties by the key."""
+
+    where: tuple
+    orders: tuple = ()
+    limit: int | None = None
+    unique_key: tuple[str, ...] = ()
+
+
+def from_source(source: Any) -> DataFrame:
+    """All rows of a source, as a DataFrame that knows it; datasets over that DataFrame ask the source."""
+    df = source.materialize()
+    df._tessera_source = source
+    return df
+
+
 @dataclass(frozen=True)
 class Dataset:
-    """``unique_key``: columns that tell rows apart and order ties; without them rows are numbered as they are read."""
+    """``unique_key``: columns that tell rows apart and order ties; without them rows are numbered as they are read.
+
+    ``source`` is where the rows come from, if that can answer for more than all rows: ``materialize()`` gives these as
+    a DataFrame. Others are optional: ``pushdown(asked)`` gives a new DataFrame with at least the rows asked for, which
+    are tested, sorted and counted off again, or None; ``stream()`` an unbounded DataFrame; ``close()`` lets go.
+    """
 
     df: DataFrame
     unique_key: tuple[str, ...] = ()
     estimated_count: int | None = None
     options: dict = field(default_factory=dict, compare=False)
+    source: Any = field(default=None, compare=False)
+
+    def __post_init__(self):
+        if self.source is None:
+            object.__setattr__(self, "source", getattr(self.df, "_tessera_source", None))
+
+    @classmethod
+    def of_source(cls, source: Any, unique_key: tuple[str, ...] = ()) -> Dataset:
+        return cls(source.materialize(), tuple(unique_key), source=source)
+
+    @classmethod
+    def of_stream(cls, source: Any, unique_key: tuple[str, ...] = ()) -> Dataset:
+        return cls(source.stream(), tuple(unique_key))
+
+    def rows(self, asked: Asked) -> DataFrame:
+        """The source's own answer, or all rows."""
+        got = self.source.pushdown(asked) if hasattr(self.source, "pushdown") else None
+        return self.df if got is None else got
+
+    def close(self) -> None:
+        if hasattr(self.source, "close"):
+            self.source.close()
 
     @classmethod
     def of(cls, source: Dataset | DataFrame) -> Dataset:

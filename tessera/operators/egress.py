@@ -10,17 +10,21 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
+from pyspark.storagelevel import StorageLevel
 
 from ..functions.paths import PathError, resolve, sort_key
 from ..functions.values import timestamp_of
 from ..plans import telemetry
 from ..plans.ast import conjuncts
 from ..plans.compile import Compiler
-from .dataset import ROW, Dataset
+from .dataset import Asked, Dataset
 from .query import Order, Query
 from .search import folded, score, search_of, tag_mask, tags_of
 
 SCORE, MASK = "_score", "_tag_mask"
+#: A row's place in the order, from 0.
+PLACE = "_place"
 
 
 class NoRowError(LookupError):
@@ -36,6 +40,22 @@ def page_number(n: float) -> int:
     return math.floor(n) if isinstance(n, (int, float)) and math.isfinite(n) and n >= 1 else 1
 
 
+def placed(df: DataFrame, order: list[Column]) -> tuple[DataFrame, int]:
+    """The rows in order with their places, and their number. They are sorted once, by ranges, and kept by the
+    executors; all that reaches the driver is the number of rows of each range."""
+    kept = df.orderBy(*order).withColumn(PLACE, F.monotonically_increasing_id()).persist(StorageLevel.MEMORY_AND_DISK)
+    # That number holds the range above 33 bits, and the place within the range below.
+    counts = kept.groupBy(F.shiftright(PLACE, 33).cast("int").alias("range")).count().collect()
+    starts, total = {}, 0
+    for r in sorted(counts, key=lambda r: r["range"]):
+        starts[r["range"]], total = total, total + r["count"]
+    first = [starts.get(i, 0) for i in range(max(starts, default=0) + 1)]
+    start = F.get(F.lit(first), F.shiftright(PLACE, 33).cast("int")) if any(first) else F.lit(0)
+    out = kept.withColumn(PLACE, start.cast("long") + F.col(PLACE).bitwiseAND(F.lit((1 << 33) - 1)))
+    out._kept = kept
+    return out, total
+
+
 @dataclass(frozen=True)
 class Egress:
     query: Query
@@ -79,11 +99,11 @@ class Egress:
     def data(self) -> Dataset:
         return self.query.data
 
-    def filtered(self) -> DataFrame:
-        """The rows that the predicates keep, with score and tags where a search asks for them."""
+    def filtered(self, limit: int | None = None) -> DataFrame:
+        """The rows that the predicates keep, the first ``limit`` at least, with score and tags where a search asks for them."""
         node, diagnostics = self.query.plan()
         telemetry.record("plan", plan_id=diagnostics.plan_id, ordered=diagnostics.ordered, contradictions=diagnostics.contradictions)
-        df = self.data.df
+        df = self.data.rows(Asked(conjuncts(node), self.query.orders if limit is not None else (), limit, self.data.unique_key))
         compiler = Compiler(self.data.schema)
         for x in conjuncts(node):
             df = df.where(compiler.column(x, strict=False))
@@ -124,10 +144,13 @@ class Egress:
 
     def windowed(self) -> DataFrame:
         """All columns, our own included; without a window or an order, rows stay where they are."""
-        df = self.filtered()
+        df = self.filtered(None if self.max_rows is None or self.query.searches else self.skip + self.max_rows)
         searched = folded(self.query.searches).query is not None and self.query.fuzzy.order != "existing"
         if self.max_rows is None and not self.skip and not self.query.orders and not searched:
             return df
+        if self.skip and self.max_rows is None:
+            # Spark would send all rows through one task. What is kept stays until ``spark.catalog.clearCache()``.
+            return placed(df, self.sort_columns())[0].where(F.col(PLACE) >= self.skip).drop(PLACE)
         df = df.orderBy(*self.sort_columns())
         if self.skip:
             df = df.offset(self.skip)
@@ -189,18 +212,39 @@ class Egress:
 
 
 class Paginator:
-    """Pages over the ordered result. Each page is a query for its own rows."""
+    """Pages over the ordered result, which is sorted and numbered once, at the first page; ``close`` lets go of it."""
 
     def __init__(self, egress: Egress, size: int, page: int, total: str):
         self.egress, self.size, self.page = egress, size, page
         self._rows: list[Row] | None = None
-        self.total = None if total == "none" else egress.count()
+        self._placed: tuple[DataFrame, int] | None = None
+        self.total = None if total == "none" else self.count()
+
+    def placed(self) -> tuple[DataFrame, int]:
+        if self._placed is None:
+            self._placed = placed(self.egress.filtered(), self.egress.sort_columns())
+        return self._placed
+
+    def count(self) -> int:
+        left = max(0, self.placed()[1] - self.egress.skip)
+        return left if self.egress.max_rows is None else min(left, self.egress.max_rows)
 
     def data_frame(self) -> DataFrame:
         inner, skip = self.egress, (self.page - 1) * self.size
         left = self.size if inner.max_rows is None else max(0, min(self.size, inner.max_rows - skip))
-        rows = inner.ordered().offset(inner.skip + skip).limit(left)
-        return inner._plain(rows)
+        start = inner.skip + skip
+        return inner._plain(self.placed()[0].where((F.col(PLACE) >= start) & (F.col(PLACE) < start + left)).orderBy(PLACE))
+
+    def close(self) -> None:
+        if self._placed is not None:
+            self._placed[0]._kept.unpersist()
+            self._placed = None
+
+    def __enter__(self) -> Paginator:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
 
     @property
     def data(self) -> list[Row]:
@@ -255,18 +299,22 @@ class Groups:
     def counts(self) -> DataFrame:
         return self.long_form().groupBy("_key").agg(F.count("*").alias("_count"))
 
-    def _items(self) -> DataFrame:
-        key = self.egress.data.unique_key or (ROW,)
-        row = F.struct(*[F.col(f"`{c}`") for c in self.egress.data.df.columns])
-        item = F.struct(F.struct(*[F.col(f"`{c}`") for c in key]).alias("at"), F.col("_pos").alias("pos"), row.alias("row"))
-        return self.long_form().groupBy("_key").agg(F.array_sort(F.collect_list(item)).alias("_items"))
+    def _ranked(self) -> DataFrame:
+        """The long form with each row's rank in its group, by the order that was asked for."""
+        place = Window.partitionBy("_key").orderBy(*self.egress.sort_columns(), "_pos")
+        return self.long_form().withColumn("_rank", F.row_number().over(place))
 
     def collected(self) -> DataFrame:
-        """(_key, _rows): the rows of each group, in order of the key columns. A group must fit into one task; ``rows`` has no such bound."""
-        return self._items().select("_key", F.transform("_items", lambda x: x["row"]).alias("_rows"))
+        """(_key, _rows): the rows of each group in the order asked for, ties by the key columns.
+
+        A group must fit into one task; ``rows`` has no such bound.
+        """
+        item = F.struct("_rank", F.struct(*[F.col(f"`{c}`") for c in self.egress.data.df.columns]).alias("row"))
+        items = self._ranked().groupBy("_key").agg(F.array_sort(F.collect_list(item)).alias("_items"))
+        return items.select("_key", F.transform("_items", lambda x: x["row"]).alias("_rows"))
 
     def collect(self) -> dict[Any, list[Row]]:
         """The groups in the order in which their first rows come."""
-        first = F.get("_items", F.lit(0))
-        ordered = self._items().orderBy(first["at"], first["pos"]).select("_key", F.transform("_items", lambda x: x["row"]).alias("_rows"))
-        return {r["_key"]: r["_rows"] for r in ordered.collect()}
+        firsts = self._ranked().where("_rank = 1").orderBy(*self.egress.sort_columns(), "_pos").select("_key").collect()
+        rows = {r["_key"]: r["_rows"] for r in self.collected().collect()}
+        return {r["_key"]: rows[r["_key"]] for r in firsts}

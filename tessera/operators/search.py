@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.paths import PathError, resolve
-from ..functions.values import class_of_literal, class_of_type, is_nan, java_regex, literal
+from ..functions.values import fitting, java_regex, literal
 
 MATCH, BOUNDARY, NEXT = 10, 6, 4
 BEHIND = "-_ 0123456789"
@@ -192,11 +192,10 @@ def rule_column(rule: Rule, normalize: Callable[[Column], Column], schema: T.Str
 
     def test(c: Column) -> Column:
         if rule.equals is not None:
-            fits = class_of_literal(rule.equals) == class_of_type(v.type) and not is_nan(rule.equals)
-            return c == literal(rule.equals, v.type) if fits else F.lit(False)
+            return c == literal(rule.equals, v.type) if fitting((rule.equals,), v.type) else F.lit(False)
         if rule.in_ is not None:
-            fitting = [x for x in rule.in_ if x is not None and class_of_literal(x) == class_of_type(v.type) and not is_nan(x)]
-            return c.isin(fitting) if fitting else F.lit(False)
+            able = fitting(tuple(rule.in_), v.type)
+            return c.isin([literal(x, v.type) for x in able]) if able else F.lit(False)
         if kind != "string":
             return F.lit(False)
         if rule.contains is not None:

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions import paths
 from ..functions.paths import PathError, Values, resolve
-from ..functions.values import class_of_literal, class_of_type, comparable_time, compare, is_nan, java_regex, literal, parse_date, time_literal
+from ..functions.values import class_of_literal, compare, fitting, java_regex, literal, parse_date, time_test
 from .ast import And, Const, Custom, Exists, Leaf, Nested, Node, Not, Or, Quantified
 
 #: Variant values are read as the literal's class.
@@ -117,13 +117,11 @@ class Compiler:
         kind = class_of_literal(value)
         if kind == "null":
             return c.isNull() if v.parent is None or v.many else c.isNull() & v.parent
-        if is_nan(value) or class_of_type(v.type) != kind:
-            return F.lit(False)
-        return c == literal(value, v.type)
+        return c == literal(value, v.type) if fitting((value,), v.type) else F.lit(False)
 
     def member(self, c: Column, v: Values, values: tuple) -> Column:
-        fitting = [x for x in values if x is not None and not is_nan(x) and class_of_literal(x) == class_of_type(v.type)]
-        out = c.isin([literal(x, v.type) if class_of_literal(x) == "date" else x for x in fitting]) if fitting else F.lit(False)
+        able = fitting(values, v.type)
+        out = c.isin([literal(x, v.type) if class_of_literal(x) == "date" else x for x in able]) if able else F.lit(False)
         if None in values:
             out = known(out) | self.equal(c, v, None)
         return out
@@ -134,23 +132,22 @@ class Compiler:
         if v.kind == "variant":
             v = self.read_variant(v, "in", tuple(values))
         plain = not v.many and not v.nothing
-        fitting = [x for x in values if x is not None and not is_nan(x) and class_of_literal(x) == class_of_type(v.type)]
+        able = fitting(tuple(values), v.type)
         if plain and None not in values:
-            if not fitting:
+            if not able:
                 return F.lit(True)
-            if len(fitting) == 1:
-                return ~v.col.eqNullSafe(literal(fitting[0], v.type))
-            return ~v.col.isin([literal(x, v.type) if class_of_literal(x) == "date" else x for x in fitting]) | v.col.isNull()
+            if len(able) == 1:
+                return ~v.col.eqNullSafe(literal(able[0], v.type))
+            return ~v.col.isin([literal(x, v.type) if class_of_literal(x) == "date" else x for x in able]) | v.col.isNull()
         return ~known(v.some(lambda c: self.member(c, v, tuple(values))))
 
     def date(self, c: Column, t: T.DataType, op: str, value: object) -> Column:
         literals = [parse_date(x) for x in (value if op == "between" else (value,))]
         if any(x is None for x in literals):
             return F.lit(False)
-        left, right = comparable_time(c, t), [time_literal(x, t) for x in literals]
         if op == "between":
-            return left.between(*right)
-        return {"equals": left == right[0], "after": left > right[0], "after_or_equal": left >= right[0], "before": left < right[0], "before_or_equal": left <= right[0]}[op]
+            return time_test(c, t, "gte", literals[0]) & time_test(c, t, "lte", literals[1])
+        return time_test(c, t, {"equals": "eq", "after": "gt", "after_or_equal": "gte", "before": "lt", "before_or_equal": "lte"}[op], literals[0])
 
     def quantified(self, node: Quantified) -> Column:
         v = self.values(node.path)

@@ -60,6 +60,9 @@ CASES = {
     "two_elements": (lambda q: q.equals("flags", "red").equals("flags", "blue"), [1]),
     "other_class": (lambda q: q.equals("id", "1"), []),
     "other_class_negated": (lambda q: q.not_equals("id", "1"), [1, 2, 3, 4]),
+    "same_value_of_two_classes": (lambda q: q.equals("id", 1).equals("id", True), []),
+    "same_value_of_two_classes_negated": (lambda q: q.equals("id", 1).not_equals("id", True), [1]),
+    "same_value_in_a_list": (lambda q: q.in_("id", [1, 2]).not_in("id", [True, 2]), [1]),
     "in_none": (lambda q: q.in_("note", ["ok", None]), [1, 2, 3, 4]),
     "not_in_none": (lambda q: q.not_in("note", [None]), [2]),
     "nan_literal": (lambda q: q.in_("score", [float("nan"), 5.0]), [3]),
@@ -117,6 +120,42 @@ def test_groups(q):
         q.out().group_by("meta.owner")
 
 
+def test_groups_keep_the_order(q):
+    assert [(k, [r["id"] for r in v]) for k, v in q.out().order_by("score", "desc").then_by("name", "desc").group_by("active").collect().items()] == [(False, [2]), (True, [4, 1, 3])]
+    got = {r["_key"]: [x["id"] for x in r["_rows"]] for r in q.out().order_by("name", "desc").group_by("flags").collected().collect()}
+    assert got == {"red": [4, 1], "blue": [1], "green": [2]}
+
+
+def test_pages_are_sorted_once(q):
+    with q.out().order_by("id", "desc").offset(1).limit(2).paginate(1) as p:
+        assert p.total == 2 and [r["id"] for r in p.data] == [3] and [r["id"] for r in p.next()] == [2] and p.next() == []
+        first = p.placed()
+        p.previous()
+        assert p.placed() is first
+    assert ids(q.out().order_by("score").offset(2)) == [4, 2] and ids(q.out().order_by("id").offset(9)) == []
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Kolkata"])
+def test_dates_in_any_zone(spark, zone):
+    other = spark.newSession()
+    other.conf.set("spark.sql.session.timeZone", zone)
+    rows = [(1, "2024-01-01", dt.date(2024, 1, 1)), (2, "2024-01-01 05:00:00", dt.date(2024, 1, 2)), (3, "2024-01-01T23:30:00-02:00", None), (4, "soon", dt.date(2024, 1, 3))]
+    df = other.createDataFrame(rows, "id long, text string, day date").selectExpr("*", "cast(day as timestamp_ntz) as time")
+    q = Query.over(Dataset(df, ("id",)))
+    assert ids(q.date_equals("text", "2024-01-01")) == [1] and ids(q.date_after("text", "2024-01-02")) == [3]
+    assert ids(q.date_equals("text", "2024-01-02T01:30:00Z")) == [3] and ids(q.date_between("text", "2024-01-01", "2024-01-01T05:00:00Z")) == [1, 2]
+    for c in ("day", "time"):
+        assert ids(q.date_equals(c, "2024-01-01")) == [1] and ids(q.date_equals(c, "2024-01-01T01:00:00Z")) == []
+        assert ids(q.date_after(c, "2024-01-01T12:00:00Z")) == [2, 4] and ids(q.date_after_or_equal(c, "2024-01-02")) == [2, 4]
+        assert ids(q.date_before(c, "2024-01-02T00:00:01Z")) == [1, 2] and ids(q.date_before_or_equal(c, "2024-01-02")) == [1, 2] and ids(q.date_before(c, "2024-01-02")) == [1]
+        assert ids(q.equals(c, dt.datetime(2024, 1, 2))) == [2] and ids(q.not_equals(c, dt.datetime(2024, 1, 2))) == [1, 3, 4]
+        assert ids(q.equals(c, dt.datetime(2024, 1, 2, 3))) == [] and ids(q.not_equals(c, dt.datetime(2024, 1, 2, 3))) == [1, 2, 3, 4]
+        assert ids(q.in_(c, [dt.datetime(2024, 1, 3), dt.datetime(2024, 1, 1, 7)])) == [4] and ids(q.greater_than(c, dt.datetime(2024, 1, 2))) == [4]
+        assert ids(q.out().order_by_date(c, "desc")) == [4, 2, 1, 3]
+        assert {r["_key"] for r in q.out().group_by(c).counts().collect()} == {1704067200000, 1704153600000, 1704240000000}
+    assert ids(q.out().order_by_date("text")) == [1, 2, 3, 4]
+
+
 def test_paths_are_checked(q):
     for bad in ("nothing", "meta.nobody", "name.first", ""):
         with pytest.raises(PathError):

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from tessera import queries
+from tessera import queries, source_queries  # noqa: F401
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents".split()

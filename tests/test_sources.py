@@ -6,7 +6,7 @@ import sqlite3
 import pytest
 from pyspark.sql import types as T
 
-from tessera import Query
+from tessera import Dataset, Query
 from tessera.sources import HttpPages, http_rows, json_array, ndjson, openapi_request, openapi_schema, redis_rows, redis_sorted_rows, sqlite_query, sqlite_table
 
 ITEM = "id long, name string, score long"
@@ -72,14 +72,76 @@ def test_sqlite(spark, database):
     assert ids(sqlite_query(spark, database, "select id, name, score from items where score > ?", ITEM, [2])) == [3, 5]
 
 
-def test_sqlite_filters_reach_the_database():
-    from pyspark.sql.datasource import EqualTo, GreaterThan, Not, StringContains
+def test_queries_on_one_table_dont_meet(spark, database):
+    """Tests of one query don't stay for the next one on the same DataFrame."""
+    q = Query.over(sqlite_table(spark, database, "items", ITEM))
+    assert ids(q.equals("id", 1).out().to_df()) == [1] and ids(q.out().to_df()) == [1, 2, 3, 4, 5]
+    assert ids(q.not_equals("score", 1).out().to_df()) == [2, 3, 4, 5] and ids(q.in_("score", [1, None]).out().to_df()) == [1, 4]
 
-    from tessera.sources.sqlite import SqliteReader
 
-    reader = SqliteReader(T.StructType.fromDDL(ITEM), {"path": "x", "table": "items"})
-    left = list(reader.pushFilters([EqualTo(("name",), "a"), GreaterThan(("score",), 1), StringContains(("name",), "b"), Not(EqualTo(("id",), 1))]))
-    assert len(reader.conditions) == 3 and len(left) == 1 and isinstance(left[0], Not)
+def test_sqlite_reads_what_fits_the_schema(spark, tmp_path):
+    """Values of other types are null, for the database's tests as for Spark's."""
+    path = str(tmp_path / "m.sqlite")
+    values = [5, 5.0, 5.5, "5", "text", None, b"x", -3]
+    with sqlite3.connect(path) as db:
+        db.execute("create table items (id integer, name, score)")
+        db.executemany("insert into items values (?, ?, ?)", [(i, v, v) for i, v in enumerate(values)])
+    data = Dataset(sqlite_table(spark, path, "items", ITEM), ("id",))
+    plain = Query.over(data.df)
+    builds = [
+        lambda q: q.greater_than("score", 4), lambda q: q.equals("score", 5), lambda q: q.not_equals("score", 5), lambda q: q.in_("score", [5, None]), lambda q: q.not_in("score", [5]),
+        lambda q: q.is_null("score"), lambda q: q.value_not_null("name"), lambda q: q.equals("name", "5"), lambda q: q.not_equals("name", "text"), lambda q: q.not_in("name", [None, "5"]),
+        lambda q: q.between("score", -5, 5), lambda q: q.equals("score", "5"), lambda q: q.contains("name", ""), lambda q: q.ends_with("name", "t"),
+    ]
+    rows = spark.createDataFrame(plain.out().result(), ITEM)
+    for k, build in enumerate(builds):
+        for column in ("score", "name"):
+            want = [r["id"] for r in build(Query.over(Dataset(rows, ("id",)))).out().order_by(column, "desc").limit(5).result()]
+            assert [r["id"] for r in build(Query.over(data)).out().order_by(column, "desc").limit(5).result()] == want, k
+            assert [r["id"] for r in build(Query.over(data)).out().order_by(column, "desc").to_df().limit(5).collect()] == want, k
+
+
+def test_windows_reach_the_database(spark, database):
+    from tessera.operators import Asked
+    from tessera.sources.sqlite import SqliteTable
+
+    table = SqliteTable(spark, database, "items", ITEM)
+    q = Query.over(table.materialize()).not_equals("name", "alpha").order_by("score", "desc", "first")
+    sql, values = table.statement(Asked(q.plan()[0].children, q.orders, 3, ("id",)))
+    assert sql.endswith("limit ?") and "desc nulls first" in sql and values == ["alpha", 3]
+    for unfit in (q.matches("name", "x"), q.or_(lambda g: g.equals("id", 1)), q.custom(lambda c: c("id") > 1)):
+        assert table.statement(Asked(unfit.plan()[0].children, unfit.orders, 3)) is None
+    data = Dataset(sqlite_table(spark, database, "items", ITEM, partitions=2), ("id",))
+    assert [r["id"] for r in Query.over(data).out().order_by("score", "desc").offset(1).limit(2).result()] == [3, 2]
+    assert len(Query.over(data).out().order_by("score").to_df().collect()) == 5
+
+
+class Counted:
+    """A source that says what was asked of it."""
+
+    def __init__(self, df):
+        self.df, self.asked, self.open = df, [], True
+
+    def materialize(self):
+        return self.df
+
+    def pushdown(self, asked):
+        self.asked.append(asked)
+        return self.df.where("score > 1").orderBy("score").limit(asked.limit) if asked.limit and not asked.where else None
+
+    def close(self):
+        self.open = False
+
+
+def test_sources_of_ones_own(spark):
+    source = Counted(spark.createDataFrame([(r["id"], r["name"], r["score"]) for r in ROWS], ITEM))
+    data = Dataset.of_source(source, ("id",))
+    assert [r["id"] for r in Query.over(data).out().order_by("score").limit(1).result()] == [2]
+    assert [r["id"] for r in Query.over(data).less_than("id", 3).out().order_by("score").limit(1).result()] == [1]
+    assert [len(a.where) for a in source.asked] == [0, 1] and source.asked[0].limit == 1
+    assert ids(Query.over(data).out().to_df()) == [1, 2, 3] and source.asked[2].limit is None
+    data.close()
+    assert not source.open
 
 
 def service(url, method, headers, body):
@@ -153,9 +215,13 @@ class Store:
         return [self.values.get(k) for k in keys]
 
     def zrangebyscore(self, key, low, high, start, num):
-        rows = [r for r in ROWS if float(low) <= r["score"] <= float(high)]
+        edge = lambda s: float(s.lstrip("("))
+        rows = [r for r in ROWS if edge(low) <= r["score"] <= edge(high) and not (low[0] == "(" and r["score"] == edge(low)) and not (high[0] == "(" and r["score"] == edge(high))]
         return [json.dumps(r) for r in rows[start : start + num]]
 
+    def zrevrangebyscore(self, key, high, low, start, num):
+        return self.zrangebyscore(key, low, high, 0, 99)[::-1][start : start + num]
+
 
 def test_stores(spark):
     assert ids(redis_rows(spark, Store, ITEM, match="item:*")) == [1, 2, 3]
@@ -164,6 +230,13 @@ def test_stores(spark):
     assert ids(rows) == [1, 2, 3]
     assert ids(Query.over(rows).greater_than("score", 1).less_than_or_equal("score", 3).out().to_df()) == [2, 3]
     assert [r["id"] for r in Query.over(rows).out().order_by("score", "desc").limit(1).result()] == [3]
+    # With a limit, the first members are the rows, whatever is asked of them.
+    two = Query.over(redis_sorted_rows(spark, Store, "z", "score", ITEM, limit=2))
+    assert ids(two.greater_than("score", 1).out().to_df()) == [2] and ids(two.greater_than_or_equal("score", 1).out().to_df()) == [1, 2]
+    top = Query.over(Dataset(redis_sorted_rows(spark, Store, "z", "score", ITEM), ("id",)))
+    assert [r["id"] for r in top.out().order_by("score", "desc").limit(2).result()] == [3, 2]
+    assert [r["id"] for r in top.greater_than("score", 1).less_than("score", 3).out().order_by("score").limit(2).result()] == [2]
+    assert [r["id"] for r in top.not_equals("name", "gamma").out().order_by("score", "desc").limit(1).result()] == [2]
 
 
 def test_streams(spark, tmp_path):
