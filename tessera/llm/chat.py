@@ -1,16 +1,24 @@
 """Chat formatting by incremental rendering of a template that is treated as a black box.
 
-A template is any function from a list of (role, text) to one string. Successive prefixes of a conversation are
-rendered and consecutive outputs compared: where the longer one starts with the shorter one, the rest is the new
-turn's span; where it does not, the template rewrites history, and the conversation is flagged. Within a turn's
-span the place of its text is found by rendering the turn with two one-letter probes: what both outputs share at
-either end surrounds the text. The loss mask covers the texts of the trained roles.
-
-Long conversations are rendered over the turn's last ``context`` turns, so that the work stays in proportion to
-their length; each turn is rendered over half of these too, and a difference flags the conversation as well.
+A template is any function from a list of (role, text), which isn't empty, to one string. Successive prefixes of a
+conversation are rendered and consecutive outputs compared: where the longer one starts with the shorter one, the rest
+is the new turn's piece (the first piece holds what stands before the first turn as well); where it does not, the
+template rewrites history. Within a piece, the place of the turn's text is found by rendering the turn with two
+one-letter probes: what both outputs share at either end surrounds the text.
+
+Up to ``WHOLE`` turns the prefixes are those of the whole conversation. Beyond, a turn's prefixes begin some ``WHOLE``
+turns before it, and the whole prefix is rendered at every eighth part more turns and at the last turn; where that
+isn't what the pieces make up, the turns since the last time are done again with whole prefixes, and so are all that
+follow. Thus the pieces of a conversation always make up the template's output for all of it. What isn't found out is a
+template that rewrites history between two such places, beyond ``WHOLE`` turns, and has undone that at the next.
+
+A conversation whose history is rewritten has the whole output in its last row, empty pieces before, no loss mask, and
+rewrites_history in all rows. A turn whose text has no place of its own in its piece (a template may drop or change
+it) has null places and is under no mask.
 
 Rows are ordered by turn, then role and text, nulls first; a null role or text counts as empty; repeated rows
-are turns of their own; rows without a conversation id form one conversation.
+are turns of their own; rows without a conversation id form one conversation. Other columns don't enter the result.
+A template sees all turns at once, so a conversation must fit into the memory of one task, a few times over.
 """
 
 from __future__ import annotations
@@ -18,8 +26,8 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from collections import deque
 from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,8 +35,10 @@ from pyspark.sql import functions as F
 
 from .arrow import quoted
 
-Template = Callable[[list[tuple[str, str]]], str]
-CONTEXT = 16
+Turn = tuple[str, str]
+Template = Callable[[list[Turn]], str]
+#: Conversations of up to so many turns are rendered by whole prefixes only.
+WHOLE = 128
 TRAINED = ("assistant",)
 
 
@@ -58,76 +68,144 @@ def shared_end(a: str, b: str) -> int:
     return len(os.path.commonprefix([a[::-1], b[::-1]]))
 
 
-class Renderer:
-    """Renders one conversation turn by turn and keeps only its last turns."""
-
-    def __init__(self, template: Template, context: int):
-        self.template, self.context = template, context
-        self.last: deque[tuple[str, str]] = deque(maxlen=context)
-        self.rewrites = False
-        self.marks: dict[tuple, tuple[int, int]] = {}
-
-    def piece(self, before: list[tuple[str, str]], turn: tuple[str, str]) -> str:
-        old, new = self.template(before), self.template([*before, turn])
-        if new.startswith(old):
-            return new[len(old) :]
-        self.rewrites = True
-        return new[len(os.path.commonprefix([old, new])) :]
-
-    def add(self, role: str, text: str) -> tuple[str, int, int]:
-        """The turn's formatted piece, and where its text lies in it."""
-        before = list(self.last)
-        out = self.piece(before, (role, text))
-        if len(before) == self.context and self.piece(before[len(before) // 2 :], (role, text)) != out:
-            self.rewrites = True
-        # Probes of different letters share exactly the marks around the text.
-        a, b = self.piece(before, (role, "a")), self.piece(before, (role, "b"))
-        head, tail = len(os.path.commonprefix([a, b])), shared_end(a, b)
-        if out[:head] != a[:head] or len(out) < head + tail or (tail and out[-tail:] != a[-tail:]):
-            self.rewrites = True
-            head, tail = 0, 0
-        self.last.append((role, text))
-        return out, head, len(out) - tail
+#: A turn's piece of the output, and where its text lies in it, if anywhere.
+Piece = tuple[str, int | None, int | None]
 
 
-FORMATTED = "conv_id long, turn_no long, formatted string, start long, text_start int, text_end int, loss boolean, rewrites_history boolean"
+def text_place(template: Template, before: list[Turn], role: str, old: str, piece: str) -> tuple[int, int] | tuple[None, None]:
+    """Where a turn's text lies in its piece. Probes of two letters share exactly the marks around the text."""
+    a, b = template([*before, (role, "a")]), template([*before, (role, "b")])
+    if a.startswith(old) and b.startswith(old):
+        a, b = a[len(old) :], b[len(old) :]
+        head, tail = len(os.path.commonprefix([a, b])), shared_end(a, b)
+        alone = len(a) == len(b) == head + 1 + tail and a[head] == "a" and b[head] == "b"
+        if alone and len(piece) >= head + tail and piece.startswith(a[:head]) and piece.endswith(a[head + 1 :]):
+            return head, len(piece) - tail
+    return None, None
+
+
+def successive(template: Template, messages: list[Turn], base: int, first: int, stop: int, old: str) -> list[Piece] | None:
+    """The pieces of the turns from ``first`` to below ``stop``, by prefixes that begin at ``base``; ``old`` is the output
+    for the turns from base to first. None where an output doesn't start with the one before."""
+    out: list[Piece] = []
+    for k in range(first, stop):
+        new = template(messages[base : k + 1])
+        if not new.startswith(old):
+            return None
+        piece = new[len(old) :]
+        out.append((piece, *text_place(template, messages[base:k], messages[k][0], old, piece)))
+        old = new
+    return out
+
+
+def by_windows(template: Template, messages: list[Turn], first: int, stop: int) -> list[Piece] | None:
+    """The same with prefixes that begin half of ``WHOLE`` turns or more before each turn."""
+    out: list[Piece] = []
+    half = max(1, WHOLE // 2)
+    for k in range(first, stop, half):
+        base, end = max(0, k - half), min(k + half, stop)
+        try:
+            got = successive(template, messages, base, k, end, template(messages[base:k]))
+        except Exception:  # a template may insist on how a conversation begins; whole prefixes tell
+            return None
+        if got is None:
+            return None
+        out += got
+    return out
+
+
+def turn_pieces(template: Template, messages: list[Turn]) -> tuple[list[Piece], bool]:
+    """The piece of each turn, and whether the template rewrites history; the pieces make up the template's output."""
+    out: list[Piece] = []
+    text, k, n, local = "", 0, len(messages), True
+    while k < n:
+        stop = min(n, max(WHOLE, k + max(k // 8, 1)))
+        part = by_windows(template, messages, k, stop) if k and local else None
+        full = template(messages[:stop])
+        if part is None or text + "".join(p for p, _, _ in part) != full:
+            local = local and not k
+            part = successive(template, messages, 0, k, stop, text)
+            if part is None:
+                return [("", None, None)] * (n - 1) + [(template(messages), None, None)], True
+        out += part
+        text, k = full, stop
+    return out, False
+
+
+FORMATTED = "conv_id long, turn_no long, role string, formatted string, start long, text_start int, text_end int, loss boolean, rewrites_history boolean"
 #: Turns that are put out together.
 ROWS = 512
 
 
-def format_conversations(df: DataFrame, template: Template = template, context: int = CONTEXT, trained: tuple[str, ...] = TRAINED) -> DataFrame:
+def format_conversations(df: DataFrame, template: Template = template, trained: tuple[str, ...] = TRAINED) -> DataFrame:
     """One row for each turn in order: its piece of the output, its start there, the text's place in the piece, and whether that is under the loss mask.
 
-    ``df`` has conv_id, turn, role and text. A conversation's rows meet in one task, sorted, and stream through it;
-    the memory in use doesn't grow with the conversation. rewrites_history tells what was found up to that turn.
+    ``df`` has conv_id, turn, role and text. A conversation's rows meet in one task, sorted.
     """
     rows = df.select("conv_id", "turn", F.coalesce(quoted(df, "role"), F.lit("")).alias("role"), F.coalesce(quoted(df, "text"), F.lit("")).alias("text"))
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    names = ["conv_id", "turn_no", "role", "formatted", "start", "text_start", "text_end", "loss", "rewrites_history"]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_()]
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, renderer, n, at = object(), None, 0, 0
-        for batch in batches:
-            for part in (batch.slice(i, ROWS) for i in range(0, batch.num_rows, ROWS)):
-                out = []
-                for conv, role, text in zip(part["conv_id"].to_pylist(), part["role"].to_pylist(), part["text"].to_pylist(), strict=True):
-                    if renderer is None or conv != now:
-                        now, renderer, n, at = conv, Renderer(template, context), 0, 0
-                    piece, a, b = renderer.add(role, text)
-                    out.append((conv, n, piece, at, a, b, role in trained, renderer.rewrites))
-                    n, at = n + 1, at + len(piece)
-                names = ["conv_id", "turn_no", "formatted", "start", "text_start", "text_end", "loss", "rewrites_history"]
-                kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_()]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=names)
+        out: list[tuple] = []
+        for conv, messages in conversations(batches):
+            pieces, rewrites = turn_pieces(template, messages)
+            start = 0
+            for n, ((role, _), (piece, a, b)) in enumerate(zip(messages, pieces, strict=True)):
+                out.append((conv, n, role, piece, start, a, b, role in trained and a is not None, rewrites))
+                start += len(piece)
+                if len(out) >= ROWS:
+                    yield batch(out)
+                    out = []
+        if out:
+            yield batch(out)
 
     return rows.mapInArrow(run, FORMATTED)
 
 
-HEADER = re.compile(r"<\|im_start\|>([^\n]*)\n")
+def conversations(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int | None, list[Turn]]]:
+    """Each conversation of sorted rows with its turns."""
+    now, messages = None, []
+    for batch in batches:
+        for conv, role, text in zip(batch["conv_id"].to_pylist(), batch["role"].to_pylist(), batch["text"].to_pylist(), strict=True):
+            if messages and conv != now:
+                yield now, messages
+                messages = []
+            now = conv
+            messages.append((role, text))
+    if messages:
+        yield now, messages
+
+
+@dataclass(frozen=True)
+class Reader:
+    """How a template's output is read back: the role from what stands before a text, and the text without escapes."""
+
+    role: Callable[[str], str | None]
+    text: Callable[[str], str]
+
+
+HEADER = re.compile(r"<\|im_start\|>([^\n]*)\n\Z")
+
+
+def role_before(head: str) -> str | None:
+    m = HEADER.search(head)
+    return unescape_role(m[1]) if m else None
+
+
+READER = Reader(role_before, unescape)
 DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, rewrites_history boolean"
 
 
-def with_digests(formatted: DataFrame) -> DataFrame:
-    """One row for each conversation, read back from the formatted pieces, which must still be in order."""
+def with_digests(formatted: DataFrame, reader: Reader = READER) -> DataFrame:
+    """One row for each conversation, read back from the formatted pieces, which must still be in order.
+
+    turns_sha256 is null where a turn's role or text can't be read back from the output.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
@@ -135,7 +213,7 @@ def with_digests(formatted: DataFrame) -> DataFrame:
 
         def end() -> None:
             if state:
-                out.append((now, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4], state[5]))
+                out.append((now, state[0], state[1].hexdigest() if state[6] else None, state[2], state[3].hexdigest(), state[4], state[5]))
 
         def put() -> pa.RecordBatch:
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_()]
@@ -145,20 +223,24 @@ def with_digests(formatted: DataFrame) -> DataFrame:
             return made
 
         for batch in batches:
-            for x in batch.to_pylist():
+            for x in batch.select(["conv_id", "formatted", "text_start", "text_end", "loss", "rewrites_history"]).to_pylist():
                 if state is None or x["conv_id"] != now:
                     end()
-                    now, state = x["conv_id"], [0, hashlib.sha256(), 0, hashlib.sha256(), 0, False]
-                piece = x["formatted"]
-                role = unescape_role(HEADER.match(piece)[1])
-                text = unescape(piece[x["text_start"] : x["text_end"]])
+                    now, state = x["conv_id"], [0, hashlib.sha256(), 0, hashlib.sha256(), 0, False, True]
+                piece, a, b = x["formatted"], x["text_start"], x["text_end"]
+                role = None if a is None else reader.role(piece[:a])
                 state[0] += 1
+                state[4] += len(piece)
+                state[5] |= x["rewrites_history"]
+                if role is None:
+                    state[6] = False
+                if a is None:
+                    continue
+                text = reader.text(piece[a:b])
                 state[1].update(f"{role}\n{text}\n".encode())
                 if x["loss"]:
                     state[2] += len(text)
                     state[3].update(text.encode())
-                state[4] += len(piece)
-                state[5] |= x["rewrites_history"]
             if out:
                 yield put()
         end()
@@ -176,10 +258,10 @@ with c as (
   union all select -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'
 )
 select conv_id, count(*) as n_turns,
-  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
   cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint) as loss_chars,
-  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+  sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
   cast(sum(24 + length(role) + length(text)
-    + len(regexp_extract_all(text, '<\\*\|')) + len(regexp_extract_all(role, '<\\*\|'))) as bigint) as formatted_chars
+    + len(regexp_extract_all(text, '<\\*\|')) + len(regexp_extract_all(role, '<\\*\|')) + len(regexp_extract_all(role, '[\\\n]'))) as bigint) as formatted_chars
 from c group by conv_id
 """

@@ -7,6 +7,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tessera.llm import chat, components, neardup, neighbours, simhash, suffix
 
@@ -307,17 +308,77 @@ def test_chat_round_trip(spark):
     assert digests(spark, []) == {}
 
 
-def test_chat_finds_templates_that_rewrite(spark):
-    def counting(messages):
-        return f"{len(messages)} turns\n" + chat.template(messages)
-
-    def last_only(messages):
-        return "".join(f"<|im_start|>{r}\n{t if i == len(messages) - 1 else '...'}<|im_end|>\n" for i, (r, t) in enumerate(messages))
-
-    rows = [(1, t, "user", f"text {t}") for t in range(4)]
-    for template in (counting, last_only):
-        df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-        assert any(r["rewrites_history"] for r in chat.format_conversations(df, template).collect())
+def templates():
+    """Made in a function, so that they travel to workers by value."""
+
+    def plain(messages):
+        return "".join(f"[{r}] {t}\n" for r, t in messages)
+
+    return {
+        "preamble": lambda m: "<bos>" + plain(m),
+        "default system turn": lambda m: plain(m if m[0][0] == "system" else [("system", "be kind"), *m]),
+        "last 20": lambda m: plain(m[-20:]),
+        "numbers modulo 8": lambda m: "".join(f"{i % 8} {r}: {t}\n" for i, (r, t) in enumerate(m)),
+        "joined": lambda m: "\n".join(f"{r}: {t}" for r, t in m),
+        "count first": lambda m: f"{len(m)} turns\n{plain(m)}",
+        "earlier texts hidden": lambda m: "".join(f"[{r}] {t if i == len(m) - 1 else '...'}\n" for i, (r, t) in enumerate(m)),
+        "stripped": lambda m: plain([(r, t.strip()) for r, t in m]),
+        "no system turns": lambda m: plain([x for x in m if x[0] != "system"]) or " ",
+        "begins with a user": lambda m: plain(m) if m[0][0] != "assistant" else 1 / 0,
+        "note at 50": lambda m: plain(m[:50]) + ("(long)\n" if len(m) > 50 else "") + plain(m[50:]),
+        "upper": lambda m: plain([(r, t.upper()) for r, t in m]),
+        "long ones cut": lambda m: plain(m) if len(plain(m)) < 1500 else "(cut)" + plain(m[-5:]),
+        "empty": lambda m: "",
+    }
+
+
+TEMPLATES = templates()
+REWRITES = {"last 20", "count first", "earlier texts hidden", "long ones cut"}
+
+
+@pytest.mark.parametrize("whole", [1, 4, 128])
+@pytest.mark.parametrize("name", TEMPLATES)
+def test_pieces_make_up_the_output(monkeypatch, name, whole):
+    template = TEMPLATES[name]
+    monkeypatch.setattr(chat, "WHOLE", whole)
+    rng = random.Random(name)
+    for n in (1, 2, 3, 19, 21, 70, 200):
+        messages = [("user" if i == 0 else rng.choice(["user", "assistant", "system"]), rng.choice(["", "a", "b", " x ", "some words"]) + str(i)) for i in range(n)]
+        pieces, rewrites = chat.turn_pieces(template, messages)
+        assert "".join(p for p, _, _ in pieces) == template(messages) and len(pieces) == n
+        prefixes = ["", *(template(messages[: k + 1]) for k in range(n))]
+        brute = any(not b.startswith(a) for a, b in zip(prefixes, prefixes[1:], strict=False))
+        assert rewrites == brute and (not brute or name in REWRITES)
+        if not rewrites:
+            assert [p for p, _, _ in pieces] == [b[len(a) :] for a, b in zip(prefixes, prefixes[1:], strict=False)]
+            for (p, a, b), (role, text) in zip(pieces, messages, strict=True):
+                told = text.upper() if name == "upper" else text.strip() if name == "stripped" else text
+                if name == "empty" or name == "no system turns" and role == "system":
+                    assert a is None
+                elif name != "upper":
+                    assert p[a:b] == told
+
+
+def test_chat_flags_what_it_cannot_mask(spark):
+    rows = [(1, t, "assistant", f"text {t}") for t in range(30)] + [(2, 0, "assistant", "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit(1))
+    for name in ("last 20", "preamble", "upper"):
+        template = TEMPLATES[name]
+        got = sorted(chat.format_conversations(df, template).where("conv_id = 1").collect(), key=lambda r: r["turn_no"])
+        assert "".join(r["formatted"] for r in got) == template([(r[2], r[3]) for r in rows[:30]])
+        assert {r["rewrites_history"] for r in got} == {name == "last 20"} and {r["loss"] for r in got} == {name == "preamble"}
+        assert [r["start"] for r in got] == [sum(len(x["formatted"]) for x in got[:k]) for k in range(30)]
+        # Roles of other templates need a reader of their own.
+        assert all(r["turns_sha256"] is None for r in chat.with_digests(chat.format_conversations(df, template)).collect())
+    reader = chat.Reader(lambda head: head.rsplit("[", 1)[1][:-2], lambda text: text)
+    got = {r["conv_id"]: r for r in chat.with_digests(chat.format_conversations(df, TEMPLATES["preamble"]), reader).collect()}
+    assert got[2]["turns_sha256"] == hashlib.sha256(b"assistant\nx\n").hexdigest() and got[2]["loss_chars"] == 1
+
+
+def test_templates_get_no_empty_conversation():
+    seen = []
+    chat.turn_pieces(lambda m: seen.append(len(m)) or chat.template(m), [("user", "x"), ("assistant", "y")])
+    assert min(seen) == 1
 
 
 @pytest.mark.parametrize("text", ["", "<|", "<\\|", "<\\\\|a<|", "plain", "<|<|", "|<|"])
