@@ -104,12 +104,83 @@ def test_secret_structures():
     assert secrets.secret_spans("x" + armour) == [("armoured_key", 1, 1 + len(armour))]
 
 
+def found(text):
+    """What is found beyond the base patterns, with its text."""
+    return [(k, text[a:b]) for k, a, b in secrets.secret_spans(text) if k not in secrets.BASE]
+
+
+def test_secrets_encoded_many_times():
+    run = "password = correcthorse99"
+    for _ in range(7):
+        run = base64.b64encode(run.encode()).decode()
+        assert found(f"x {run} y") == [("encoded_secret", run)]
+    assert not found("x " + base64.b64encode(base64.b64encode(b"nothing to be seen in here at all")).decode())
+
+
+def encrypted_token(header, sizes):
+    part = lambda x: base64.urlsafe_b64encode(x).rstrip(b"=").decode()
+    return ".".join([part(json.dumps(header).encode()), *(part(bytes(random.Random(n).randbytes(n))) for n in sizes)])
+
+
+def test_encrypted_tokens_are_whole():
+    token = encrypted_token({"alg": "RSA-OAEP", "enc": "A256GCM"}, (256, 12, 40, 16))
+    assert found(f"({token})") == [("encrypted_token", token)] and secrets.masked(f"a {token} b") == "a [secret] b"
+    agreed = encrypted_token({"alg": "dir", "enc": "A128CBC-HS256"}, (0, 16, 48, 16))
+    assert found(agreed + ".") == [("encrypted_token", agreed)]
+    for header, sizes in (({"alg": "x", "enc": 1}, (256, 12, 40, 16)), ({"alg": "RSA-OAEP", "enc": "A256GCM"}, (0, 12, 40, 16)), ({"alg": "dir", "enc": "A256GCM"}, (0, 11, 40, 16)), ({"alg": "dir", "enc": "A256GCM"}, (0, 12, 40, 15))):
+        assert not found(encrypted_token(header, sizes)), (header, sizes)
+    assert not found(base64.urlsafe_b64encode(b'{"alg":"x","enc":1}').decode().rstrip("=") + ".a.")
+    signed = jwt({"alg": "HS256"}, {"a": 1})
+    assert found(f"{signed}.more.text") == [("signed_token", signed)]
+
+
+def test_keys_in_other_clothes():
+    rsa, ssh = rsa_key(), openssh_key()
+    body = base64.b64encode(rsa).decode()
+    lines = re.sub("(.{64})", r"\1\n", body)
+    # Armour in a string, with literal line ends.
+    quoted = "-----BEGIN RSA PRIVATE KEY-----\\n" + lines.replace("\n", "\\n") + "\\n-----END RSA PRIVATE KEY-----"
+    assert found(f'key = "{quoted}"') == [("armoured_key", quoted)]
+    # Header lines and an encrypted body.
+    blob = base64.b64encode(bytes(random.Random(3).randbytes(160))).decode()
+    for start, ok in (("00" * 16, True), ("00" * 8, True), ("zz" * 8, False), ("00" * 7, False)):
+        armour = f"-----BEGIN EC PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,{start}\n\n{blob}\n-----END EC PRIVATE KEY-----"
+        assert (found(armour) == [("armoured_key", armour)]) == ok
+    # An encrypted key by its object id; a digest has the same elements and is none.
+    for name, ok in (("2a864886f70d01050d", True), ("2a864886f70d010c0103", True), ("608648016503040201", False)):
+        data = der(0x30, der(0x30, der(6, bytes.fromhex(name)) + der(5, b"")) + der(4, b"x" * 64))
+        run = base64.b64encode(data).decode()
+        assert (found(run) == [("der_key", run)]) == ok
+    # Wrapped over lines, without armour; what follows isn't part of it.
+    for data, kind in ((rsa, "der_key"), (ssh, "openssh_key")):
+        for width in (64, 76):
+            wrapped = "\n".join(re.findall(f".{{1,{width}}}", base64.b64encode(data).decode()))
+            assert found(f"the key:\n{wrapped}\n\nand more") == [(kind, wrapped)]
+    after = "\n".join(re.findall(".{1,64}", body)) + "\n" + "A" * 64
+    assert found(after) == [("der_key", after[:-65])] or len(body) % 64
+    assert not found("\n".join(re.findall(".{1,64}", base64.b64encode(rsa[:-9]).decode())))
+
+
+def test_secrets_take_time_in_proportion():
+    token = jwt({"alg": "HS256"}, {"sub": "1"})
+    took = []
+    for n in (2_000, 8_000):
+        began = time.process_time()
+        assert len(found(f"{token} " * n)) == n
+        took.append(time.process_time() - began)
+    assert took[1] < 10 * took[0]
+    secrets.secret_spans("-----BEGIN PRIVATE KEY-----" * 20_000)
+    secrets.secret_spans("eyJ." * 50_000)
+
+
 def test_secrets_match_brute_force(spark, clashing):
     rng = random.Random(5)
     bits = ["token", "API_KEY", "apikey", "ſecret", "toKen", " = ", ":", '"', "abcdefgh", "deadbeef" * 4, "AKIA", "ABCDEFGH12345678", "\n", "é", "==", "password", "passwd", "secret", " "]
     texts = [*ODD, *("".join(rng.choice(bits) for _ in range(rng.randrange(40))) for _ in range(400))]
-    df = clashing(frame(spark, texts), "secrets", "kind")
-    rows = sorted(secrets.with_digests(secrets.find_secrets(df).select("doc_id", "secrets"), "secrets", secrets.BASE).collect(), key=lambda r: r["doc_id"])
+    df = clashing(frame(spark, texts), "secrets", "kind", "n_hex", "SPANS")
+    digests = secrets.with_digests(secrets.find_secrets(df).drop("text"), "secrets", secrets.BASE)
+    assert digests.columns == ["doc_id", "kind", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_spans"]
+    rows = sorted(digests.collect(), key=lambda r: r["doc_id"])
     order = {"assign": 0, "access": 1, "hex": 2}
     for r, x in zip(rows, texts, strict=True):
         want = sorted(base_secrets(x), key=lambda s: (s[1], order[s[0]]))
