@@ -5,8 +5,11 @@ word itself, if the training sample had it often enough. A second bidirectional
 window, attention pools its states, and a line gives the window's logit. All overlapping windows of a whole text
 are scored; the highest one counts, through a logistic curve fitted on the training documents.
 
-Training uses a bounded sample of labelled documents (``DOCS`` toxic and ``CLEAN_DOCS`` clean ones, chosen by a hash of doc_id) of which
-the hold-out never is a part. Labels belong to documents, not to windows: a toxic document's training windows are
+Windows begin at every ``STRIDE``-th word and at the last that fits, so that neighbours overlap by half.
+
+Training uses a bounded sample of labelled documents (``DOCS`` toxic and ``CLEAN_DOCS`` clean ones, chosen by a hash of
+doc_id, but for those of more than ``DOC_BYTES`` bytes, whose label says little of their windows) of which the hold-out
+never is a part; without any words in it, nothing is learned, and all texts score next to 0. Labels belong to documents, not to windows: a toxic document's training windows are
 first those with the words that set toxic documents apart, later those that the network itself rates highest,
 beside the clean windows that it rates highest.
 
@@ -27,6 +30,8 @@ from .arrow import fields, map_columns
 
 #: Labelled documents to learn from, at most: toxic ones and clean ones.
 DOCS, CLEAN_DOCS = 1500, 4500
+#: Longer documents aren't learned from, so that the sample's size is bounded in bytes, too.
+DOC_BYTES = 16 << 10
 #: How much an error on a clean document weighs against one on a toxic document, for the sample has fewer of them than a corpus.
 CLEAN_WEIGHT = 2
 #: Words in a window, and between the starts of neighbours.
@@ -58,6 +63,15 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def add_rows(target: np.ndarray, index: np.ndarray, rows: np.ndarray) -> None:
+    """Adds rows to those of the target that an index names, repeats included."""
+    if len(index):
+        order = np.argsort(index, kind="stable")
+        ordered = index[order]
+        starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        target[ordered[starts]] += np.add.reduceat(rows[order], starts, axis=0)
+
+
 class Gated:
     """A gated recurrent layer over projected inputs (steps, rows, 3 * state)."""
 
@@ -197,18 +211,18 @@ class Network:
         dp[:, :, 3 * n :] = part
         dproj = np.zeros_like(projected)
         live = index >= 0
-        np.add.at(dproj, index[live], dp[live])
+        add_rows(dproj, index[live], dp[live])
         g["bias"], g["join"] = dproj.sum(0), ck["h"].T @ dproj
         g["word"] = np.zeros_like(w["word"])
         known = ck["ids"] >= 0
-        np.add.at(g["word"], ck["ids"][known], dproj[known])
+        add_rows(g["word"], ck["ids"][known], dproj[known])
         dhc = dproj @ w["join"].T
         chars = ck["chars"]
         dpc = np.zeros((*chars.shape, 3 * CHAR_STATE), np.float32)
         for side, u, k, part in (("char_f", "cu_f", "kf", dhc[:, :CHAR_STATE]), ("char_b", "cu_b", "kb", dhc[:, CHAR_STATE:])):
             g[u] = Gated.back(ck[k], w[u], np.ascontiguousarray(part), None, dpc)
             g[side] = np.zeros_like(w[side])
-            np.add.at(g[side], chars, dpc)
+            add_rows(g[side], chars.ravel(), dpc.reshape(-1, dpc.shape[2]))
         return float(loss), g
 
     def logit(self, top: np.ndarray | float):
@@ -216,18 +230,27 @@ class Network:
 
 
 class Adam:
+    """Steps by running means of gradients and of their squares. Rows of ``SPARSE`` tables that a batch doesn't touch stay as they are."""
+
+    SPARSE = ("word",)
+
     def __init__(self, w: dict[str, np.ndarray]):
         self.m, self.v, self.t = {k: np.zeros_like(x) for k, x in w.items()}, {k: np.zeros_like(x) for k, x in w.items()}, 0
 
     def step(self, w: dict[str, np.ndarray], g: dict[str, np.ndarray], rate: float) -> None:
         self.t += 1
+        touched = {k: np.flatnonzero(g[k].any(1)) for k in self.SPARSE}
+        g = {k: x[touched[k]] if k in touched else x for k, x in g.items()}
         norm = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
         scale = min(1.0, 1.0 / (norm + 1e-9))
         for k, x in g.items():
+            rows = touched.get(k, slice(None))
             x = x * scale
-            self.m[k] += 0.1 * (x - self.m[k])
-            self.v[k] += 0.01 * (x * x - self.v[k])
-            w[k] -= (rate * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.99**self.t)) + 1e-8)).astype(np.float32)
+            m, v = self.m[k][rows], self.v[k][rows]
+            m += 0.1 * (x - m)
+            v += 0.01 * (x * x - v)
+            self.m[k][rows], self.v[k][rows] = m, v
+            w[k][rows] -= (rate * (m / (1 - 0.9**self.t)) / (np.sqrt(v / (1 - 0.99**self.t)) + 1e-8)).astype(np.float32)
 
 
 class Scorer:
@@ -309,7 +332,8 @@ def learn(texts: list[str], labels: list[int], seed: int = 7, passes: int = 6, b
     distinct: dict[str, str] = {}
     docs = [[distinct.setdefault(w, w) for w in words_of(t)] for t in texts]
     del distinct
-    y = np.array(labels, bool)
+    y = np.array([label for words, label in zip(docs, labels, strict=True) if words], bool)
+    docs = [words for words in docs if words]
     counts = Counter(w for words in docs for w in set(words))
     net = Network([w for w, n in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:VOCABULARY] if n >= SEEN], seed)
     if not y.any() or y.all():
@@ -384,7 +408,8 @@ def fit(docs: DataFrame, labels: DataFrame, toxic: int = DOCS, clean: int = CLEA
     parts = [known.where((F.col("toxic") > 0) == side).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for side, n in ((True, toxic), (False, clean))]
     chosen = parts[0].unionByName(parts[1])
     # No more ids than the two bounds.
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", F.coalesce("text", F.lit("")).alias("text")).collect()
+    short = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= DOC_BYTES)
+    rows = short.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text").collect()
     rows = sorted({(r["doc_id"], int(r["toxic"] > 0), r["text"]) for r in rows})
     texts, marks = [r[2] for r in rows], [r[1] for r in rows]
     del rows

@@ -81,6 +81,61 @@ def test_hold_out_is_no_part_of_learning(spark, monkeypatch):
     assert all(r["h"] == (r["doc_id"] is None or zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in flags)
 
 
+def plain_scan(inputs, u):
+    """A gated layer, one row at a time, by the formulas."""
+    n, h, out = u.shape[0], np.zeros(u.shape[0]), []
+    logistic = lambda v: 1 / (1 + np.exp(-v))
+    for x in inputs:
+        z, r = logistic(x[:n] + h @ u[:, :n]), logistic(x[n : 2 * n] + h @ u[:, n : 2 * n])
+        h = z * h + (1 - z) * np.tanh(x[2 * n :] + r * (h @ u[:, 2 * n :]))
+        out.append(h)
+    return out
+
+
+def plain_score(net, text):
+    """The highest window's score, window by window and word by word."""
+    w, words = net.w, toxicity.words_of(text)
+    n, logits = toxicity.STATE, []
+
+    def vector(word):
+        codes = [ord(c) if ord(c) < toxicity.WIDEST else ord(c) % 128 + toxicity.WIDEST - 128 for c in word]
+        h = np.concatenate([plain_scan(w["char_f"][codes], w["cu_f"])[-1], plain_scan(w["char_b"][codes[::-1]], w["cu_b"])[-1]])
+        return h @ w["join"] + w["bias"] + w["word"][net.ids.get(word, -1)]
+
+    for s in toxicity.window_starts(len(words)):
+        x = [vector(word) for word in words[s : s + toxicity.WINDOW]]
+        h = np.stack([np.concatenate(p) for p in zip(plain_scan([v[: 3 * n] for v in x], w["u_f"]), plain_scan([v[3 * n :] for v in x[::-1]], w["u_b"])[::-1], strict=True)])
+        e = np.exp(np.tanh(h @ w["att"] + w["att_b"]) @ w["att_v"])
+        logits.append((e / e.sum()) @ h @ w["out"] + w["out_b"][0])
+    return 1 / (1 + np.exp(-net.slope * (max(logits) - net.shift))) if logits else 0.0
+
+
+def test_scores_match_a_plain_forward_pass(net):
+    rng = random.Random(6)
+    texts = ["", "a", "idiot", "é日本 x", "word " * 23, "w " * 24, "x " * 25, "a1_b " * 61, "y" * 60]
+    texts += [" ".join(rng.choice([*BAD, "an", "erth", "Éa", "zz9"]) for _ in range(rng.randrange(80))) for _ in range(25)]
+    got = toxicity.Scorer(net).score(texts)
+    assert max(abs(g - plain_score(net, x)) for g, x in zip(got, texts, strict=True)) < 1e-3
+
+
+def test_rows_are_added_with_repeats():
+    rng = np.random.default_rng(3)
+    index, rows, target = rng.integers(0, 9, 50), rng.standard_normal((50, 4)), np.zeros((9, 4))
+    toxicity.add_rows(target, index, rows)
+    want = np.zeros((9, 4))
+    np.add.at(want, index, rows)
+    assert np.allclose(target, want)
+
+
+def test_nothing_to_learn_from(spark):
+    for texts in (["", ""], ["", "a b"], ["!!", None or ""]):
+        assert toxicity.Scorer(toxicity.learn(texts, [1, 0])).score(["a b c", ""])[1] == 0
+    docs = spark.createDataFrame([(1, ""), (2, None), (3, "x " * 20_000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id long, toxic int")
+    net = toxicity.fit(docs, labels)
+    assert all(r["score"] < 0.5 for r in toxicity.score(docs, net).collect())
+
+
 def test_one_label_only():
     assert max(toxicity.Scorer(toxicity.learn(["a b", "c"], [0, 0])).score(["a", "idiot"])) < 0.5
     assert toxicity.learn([], []).ids == {}
