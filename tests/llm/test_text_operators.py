@@ -392,6 +392,61 @@ def test_html_layout(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, html string")).columns == ["page_id", "html", "text"]
 
 
+def columns_on_screen(line):
+    import unicodedata
+
+    return sum(2 if unicodedata.east_asian_width(c) in "WF" else 0 if unicodedata.combining(c) else 1 for c in line)
+
+
+def test_table_columns_begin_at_one_place():
+    rng = random.Random(4)
+    for _ in range(60):
+        n = rng.randrange(2, 6)
+        starts, rows, k = {}, [], 0
+        for _ in range(rng.randrange(2, 8)):
+            cells, c = [], 0
+            while c < n:
+                across = rng.choice([1, 1, 1, 2, 3])
+                size = rng.choice([1, 3, 12, 100, 300])
+                words = " ".join([f"c{c}q{k}z", *(["wide字" * rng.randrange(1, 3), "e\u0301x", "w" * min(size, 90)] * (size // 40))])
+                cells.append(f"<td colspan={across}>{words}</td>" if rng.random() < 0.9 else f"<td colspan={across}></td>")
+                c, k = c + across, k + 1
+            rows.append("<tr>" + "".join(cells))
+        for line in html.visible_text("<table>" + "".join(rows) + "</table>").split("\n"):
+            for m in re.finditer(r"c(\d)q\d+z", line):
+                starts.setdefault(m[1], set()).add(columns_on_screen(line[: m.start()]))
+        assert all(len(x) == 1 for x in starts.values()), starts
+
+
+@pytest.mark.parametrize("page, want", [
+    ("<svg><title>t</title><desc>d</desc><defs><text>no</text></defs><text>chart <tspan>label</tspan></text></svg>", "chart label"),
+    ("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>no</annotation></math>", "so x=2"),
+    ("<object data=x><p>instead</object>", "instead"),
+    ("<div style='visibility:hidden'>no <b style='visibility: visible'>yes</b> no</div>", "yes"),
+    ("<div style='display:none'>no <b style='display:block;visibility:visible'>no</b></div>y", "y"),
+    ("<style>div .n{display:none} ul > li.x{display:none}</style><div><p><i class=n>no</i>a</div><i class=n>b</i><ul><li class=x>no<li>c</ul>", "a\n\nb\n\n- c"),
+    ("<style>.a{display:none} .a.b{display:block} #k{visibility:hidden!important}</style><p class=a>no<p class='b a'>yes<p id=k style='visibility:visible'>no", "yes"),
+    ("<style>@media print{p{display:none}} @media screen{b{display:none}} @font-face{x:y} i[data-x='1']{display:none}</style><p>a<b>no</b><i data-x=1>no</i><i data-x=2>c</i>", "ac"),
+    ("<style>p:hover{display:none} a, .q { color: red; display : none }</style><p>a<a>no</a><u class=q>no</u>", "a"),
+    ("<p hidden style='display:block'>yes<p hidden>no", "yes"),
+    ("<table><tr><td>" + "w" * 100 + "<td>b<tr><td>c<td>d</table>", "w" * 100 + "  b\nc" + " " * 101 + "d"),
+    ("<table><tr><td colspan=2>a long spanning cell<td>c<tr><td>1<td>2<td>3</table>", "a long spanning cell  c\n1  2                  3"),
+    ("<table><tr><td>字字<td>x<tr><td>abcd<td>y</table>", "字字  x\nabcd  y"),
+    ("<table><tr><td>" + "word " * 20 + "<td>x</table>", "word " * 15 + "word  x\n" + "word word word word"),
+])
+def test_html_shows_what_is_visible(page, want):
+    assert html.visible_text(page) == want
+
+
+def test_html_takes_time_in_proportion():
+    took = []
+    for n in (4_000, 16_000):
+        began = time.process_time()
+        html.visible_text("<style>div div div b{display:none}</style>" + "<div>" * n + "<b>x" + "<ul><li>y" * n)
+        took.append(time.process_time() - began)
+    assert took[1] < 12 * took[0]
+
+
 def test_html_keeps_every_visible_word():
     rng = random.Random(2)
     for _ in range(50):
