@@ -3,109 +3,201 @@
 Words are runs of ASCII digits, letters (lower-cased) and anything beyond ASCII. An item's windows are all its
 runs of ``window`` consecutive words, or the whole item where it has fewer. A window occurs in a document only if
 all its shingles do, so one shingle suffices as its prefix: the one that the fewest documents hold, as counted
-over the whole corpus. Documents are joined on these prefix shingles alone; a meeting at word p of a document
-and offset o of a window places the window at p - o, which must lie inside the document, and there the words
-are compared.
+over the whole corpus. Windows with a shingle that no document holds are left out.
 
-The item side is handled in blocks of at most ``block_bytes`` of text: each is small enough to travel with the
-tasks, and any number of blocks follow one another without a shuffle of the documents.
+Documents are read three times, whatever the size of the benchmark: to count its shingles; to find the prefixes, with
+the words around them as far as any window around a prefix can reach; and to join what was found back to the rows. Both
+searches look shingles up in a bit map of fixed size; the joins are on whole hashes, and windows are compared word by
+word where a prefix occurs. Texts that occur more than once meet the join once.
 
-Null texts have no words; items without words or without an id have no windows. Repeated items count once.
+Null texts have no words; items without words have no windows. The windows of items without an id count as hits, but
+such items aren't listed. Repeated items count once. Repeated rows keep a row each, and other columns are kept, but for
+those of the made columns' names.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from .arrow import fields, map_columns, quoted
+from .arrow import give_back, pieces, quoted
+from .store import bit_map, dropped, saved
 
 WINDOW = 13
 SHINGLE = 3
-#: A block's windows take some fifty times its bytes in each worker.
-BLOCK_BYTES = 2 << 20
+#: Bits of the maps in which shingles are looked up; 16 MB.
+MAP_BITS = 1 << 27
+#: Words whose hashes a worker remembers, and shingles whose counts it holds.
+REMEMBERED, HELD = 200_000, 200_000
 
 #: Upper case becomes lower case, other ASCII outside letters and digits becomes a space; bytes beyond ASCII stay.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
+#: The same words, for counting.
+WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 
 
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(FOLD).split()
 
 
-def windows_of(words: list[bytes], window: int) -> list[tuple[bytes, ...]]:
-    if not words:
-        return []
-    return [tuple(words[i : i + window]) for i in range(max(1, len(words) - window + 1))]
-
-
-def shingles_of(words: tuple[bytes, ...], size: int) -> list[tuple[bytes, ...]]:
-    size = min(size, len(words))
-    return [words[i : i + size] for i in range(len(words) - size + 1)]
-
-
-class Finder:
-    """Finds given shingles in word lists. Shingles may be shorter than the usual size where an item is."""
-
-    def __init__(self, shingles: Iterable[tuple[bytes, ...]]):
-        self.by_first: dict[bytes, list[tuple[bytes, ...]]] = {}
-        self.all = set(shingles)
-        self.sizes = sorted({len(s) for s in self.all})
-        self.firsts = {s[0] for s in self.all}
-
-    def find(self, words: list[bytes]) -> Iterator[tuple[int, tuple[bytes, ...]]]:
-        firsts, known, sizes = self.firsts, self.all, self.sizes
-        for i in [i for i, w in enumerate(words) if w in firsts]:
-            for n in sizes:
-                s = tuple(words[i : i + n])
-                if s in known:
-                    yield i, s
-
-
-def document_counts(docs: DataFrame, text: str, shingles: set[tuple[bytes, ...]]) -> Counter:
-    """How many documents hold each of the given shingles; each partition sends one sum for each that it met."""
-    finder = Finder(shingles)
-
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: Counter = Counter()
-        for batch in batches:
-            for x in batch.column(0):
-                sums.update({s for _, s in finder.find(words_of(x.as_py()))})
-        yield pa.RecordBatch.from_arrays([pa.array([b" ".join(s) for s in sums], pa.binary()), pa.array(list(sums.values()), pa.int64())], names=["shingle", "n"])
-
-    got = docs.select(quoted(docs, text)).mapInArrow(count, "shingle binary, n long").groupBy("shingle").agg(F.sum("n").alias("n")).collect()
-    return Counter({tuple(bytes(r["shingle"]).split(b" ")): r["n"] for r in got})
-
-
-class Matcher:
-    """Prefix shingle -> the windows that it stands for, with its offset in them."""
-
-    def __init__(self, items: list[tuple[str, str]], counts: Counter, window: int, size: int):
-        owners: dict[tuple[bytes, ...], set[str]] = {}
-        for key, text in items:
-            for w in windows_of(words_of(text), window):
-                owners.setdefault(w, set()).add(key)
-        self.windows: dict[tuple[bytes, ...], list[tuple[int, tuple[bytes, ...], tuple[str, ...]]]] = {}
-        for w, keys in owners.items():
-            offset, prefix = min(enumerate(shingles_of(w, size)), key=lambda x: (counts[x[1]], x[1], x[0]))
-            self.windows.setdefault(prefix, []).append((offset, w, tuple(sorted(keys))))
-        self.finder = Finder(self.windows)
-
-    def match(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
-        """The merged word spans that windows cover, and the items to which these belong."""
-        placed, keys, n = set(), set(), len(words)
-        for at, prefix in self.finder.find(words):
-            for offset, w, owners in self.windows[prefix]:
-                start = at - offset
-                if 0 <= start <= n - len(w) and tuple(words[start : start + len(w)]) == w:
-                    placed.add((start, start + len(w)))
-                    keys.update(owners)
-        return merged(placed), keys
+class WordHashes(dict):
+    """Word -> its hash, remembered."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        out = self[word] = xxhash.xxh3_64_intdigest(word)
+        return out
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def joined(ids: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the shingles of so many words, from the words' hashes."""
+    n = len(ids) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    out = ids[:n] ^ np.uint64(size)
+    for k in range(1, size):
+        out = (out ^ out >> np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15) + ids[k : k + n]
+    out = (out ^ out >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    return (out ^ out >> np.uint64(32)).view(np.int64)
+
+
+def in_map(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    at = h.view(np.uint64) % np.uint64(8 * len(bits))
+    return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
+def item_shingles(items: DataFrame, shingle: int) -> DataFrame:
+    """(i, p, h, size): an item's shingles by place; shorter items are one shingle."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for part in pieces(batches, 64):
+            for i, t in zip(part["i"].to_pylist(), part["t"].to_pylist(), strict=True):
+                words = words_of(t)
+                if words:
+                    size = min(shingle, len(words))
+                    h = joined(hashes.of(words), size)
+                    n = len(h)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, i)), pa.array(np.arange(n, dtype=np.int32)), pa.array(h), pa.array(np.full(n, size, np.int32))], names=["i", "p", "h", "size"])
+
+    return items.select("i", "t").mapInArrow(run, "i long, p int, h long, size int")
+
+
+def document_counts(texts: DataFrame, wanted: np.ndarray, sizes: list[int]) -> DataFrame:
+    """(h, n): how many documents hold a shingle that the map has; summed before it is shuffled."""
+    held = texts.sparkSession.sparkContext.broadcast(wanted)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, hashes = held.value, WordHashes()
+        met: list[np.ndarray] = []
+        n = 0
+
+        def put() -> pa.RecordBatch:
+            h, counts = np.unique(np.concatenate(met), return_counts=True)
+            met.clear()
+            return pa.RecordBatch.from_arrays([pa.array(h), pa.array(counts)], names=["h", "n"])
+
+        for part in pieces(batches, 64):
+            for x in part["text"].to_pylist():
+                ids = hashes.of(words_of(x))
+                for size in sizes:
+                    h = joined(ids, size)
+                    if len(found := h[in_map(bits, h)]):
+                        met.append(np.unique(found))
+                        n += len(met[-1])
+            if n > HELD:
+                yield put()
+                n = 0
+        if met:
+            yield put()
+        give_back()
+
+    return texts.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+
+
+def windows(items: DataFrame, shingles: DataFrame, counts: DataFrame, window: int, shingle: int) -> DataFrame:
+    """(h, wid, words, k): each window that may occur, with its prefix, a digest and the item's id."""
+    counted = shingles.join(counts, "h", "left").groupBy("i").agg(F.array_sort(F.collect_list(F.struct("p", "h", F.coalesce("n", F.lit(0)).alias("n")))).alias("s"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.binary(), pa.binary(), pa.string())
+        for part in pieces(batches, 16):
+            for k, t, s in zip(part["k"].to_pylist(), part["t"].to_pylist(), part["s"], strict=True):
+                words = words_of(t)
+                h, n = (s.values.field(c).to_numpy() for c in ("h", "n"))
+                size = min(shingle, len(words))
+                some, out = min(window, len(words)) - size + 1, []
+                for start in range(len(h) - some + 1):
+                    at = start + int(np.lexsort((h[start : start + some], n[start : start + some]))[0])
+                    if n[at]:
+                        text = b" ".join(words[start : start + window])
+                        out.append((int(h[at]), xxhash.xxh3_128_digest(text), text, k))
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], kind) for c, kind in enumerate(kinds)], names=["h", "wid", "words", "k"])
+
+    return items.join(counted, "i").select("k", "t", "s").mapInArrow(run, "h long, wid binary, words binary, k string")
+
+
+def prefixes_met(texts: DataFrame, wanted: np.ndarray, sizes: list[int], window: int) -> DataFrame:
+    """(k1, k2, h, starts, parts): by text and prefix, the stretches of words around its places that a window may reach."""
+    held = texts.sparkSession.sparkContext.broadcast(wanted)
+    names = ["k1", "k2", "h", "starts", "parts"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.binary())]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, hashes = held.value, WordHashes()
+        for part in pieces(batches, 64):
+            out = []
+            for k1, k2, x in zip(part["k1"].to_pylist(), part["k2"].to_pylist(), part["text"].to_pylist(), strict=True):
+                words = words_of(x)
+                ids = hashes.of(words)
+                for size in sizes:
+                    h = joined(ids, size)
+                    places = np.flatnonzero(in_map(bits, h))
+                    if not len(places):
+                        continue
+                    order = places[np.argsort(h[places], kind="stable")]
+                    for at in np.split(order, np.flatnonzero(np.diff(h[order])) + 1):
+                        # Stretches that overlap become one.
+                        low, high = np.maximum(at - (window - size), 0), np.minimum(at + window, len(words))
+                        cut = np.flatnonzero(low[1:] > high[:-1]) + 1
+                        starts, ends = low[np.concatenate([[0], cut])], high[np.concatenate([cut - 1, [len(at) - 1]])]
+                        out.append((k1, k2, int(h[at[0]]), starts.tolist(), [b" ".join(words[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], kind) for c, kind in enumerate(kinds)], names=names)
+        give_back()
+
+    return texts.select("k1", "k2", "text").mapInArrow(run, "k1 long, k2 long, h long, starts array<int>, parts array<binary>")
+
+
+def occurrences(found: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(k1, k2, wid, start, end): where windows occur word by word."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32())
+        for part in pieces(batches):
+            out = []
+            for k1, k2, starts, parts, wid, words in zip(*(part[c].to_pylist() for c in ("k1", "k2", "starts", "parts", "wid", "words")), strict=True):
+                n, asked = words.count(b" ") + 1, b" " + words + b" "
+                for start, stretch in zip(starts, parts, strict=True):
+                    stretch = b" " + stretch + b" "
+                    at, counted, place = stretch.find(asked), 0, start
+                    while at >= 0:
+                        place += stretch.count(b" ", counted, at)
+                        counted = at
+                        out.append((k1, k2, wid, place, place + n))
+                        at = stretch.find(asked, at + 1)
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], kind) for c, kind in enumerate(kinds)], names=["k1", "k2", "wid", "start", "end"])
+
+    return found.join(wanted, "h").select("k1", "k2", "starts", "parts", "wid", "words").mapInArrow(run, "k1 long, k2 long, wid binary, start int, end int")
 
 
 def merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -118,43 +210,54 @@ def merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-SPANS = ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType())]))
-
-
-def blocks_of(items: DataFrame, item_id: str, text: str, block_bytes: int) -> Iterator[list[tuple[str, str]]]:
-    """The items in blocks of a bounded number of bytes, read one after the other."""
-    clean = items.select(quoted(items, item_id).cast("string").alias("k"), quoted(items, text).alias("t")).where("k is not null and t is not null").distinct()
-    total = clean.agg(F.sum(F.octet_length("t") + 64)).first()[0] or 0
-    n = int(-(-total // block_bytes))
-    for i in range(n):
-        part = clean if n == 1 else clean.where(F.pmod(F.xxhash64("k", "t"), F.lit(n)) == i)
-        yield [(r["k"], r["t"]) for r in part.collect()]
+def merged_spans(hits: DataFrame) -> DataFrame:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+        for part in pieces(batches):
+            spans = [[{"start": a, "end": b} for a, b in merged((x["start"], x["end"]) for x in s)] for s in part["hits"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([part["k1"], part["k2"], pa.array(spans, kind)], names=["k1", "k2", "hits"])
+
+    each = hits.select("k1", "k2", "start", "end").distinct().groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end")).alias("hits"))
+    return each.mapInArrow(run, "k1 long, k2 long, hits array<struct<start:int,end:int>>")
+
+
+def found_in(texts: DataFrame, items: DataFrame, window: int, shingle: int) -> DataFrame:
+    """(k1, k2, hits, items) of all texts that hold a window; ``texts`` has k1, k2 and text, ``items`` has k and t."""
+    items = saved(items.where("t is not null").distinct().withColumn("i", F.monotonically_increasing_id()))
+    shingles = saved(item_shingles(items, shingle))
+    sizes = sorted(r["size"] for r in shingles.select("size").distinct().collect())
+    counts = saved(document_counts(texts, bit_map(shingles, "h", MAP_BITS), sizes).join(shingles.select("h").distinct(), "h"))
+    every = saved(windows(items, shingles, counts, window, shingle))
+    for x in (items, shingles, counts):
+        dropped(x)
+    wanted = every.select("h", "wid", "words").distinct()
+    met = prefixes_met(texts, bit_map(every, "h", MAP_BITS), sizes, window)
+    # Copies of a text give the same rows.
+    met = saved(met.groupBy("k1", "k2", "h").agg(F.first("starts").alias("starts"), F.first("parts").alias("parts")))
+    hits = saved(occurrences(met, wanted))
+    dropped(met)
+    owners = hits.select("k1", "k2", "wid").distinct().join(every.select("wid", "k").where("k is not null").distinct(), "wid")
+    listed = owners.select("k1", "k2", "k").distinct().groupBy("k1", "k2").agg(F.array_sort(F.collect_list("k")).alias("items"))
+    out = saved(merged_spans(hits).join(listed, ["k1", "k2"], "left"))
+    dropped(hits)
+    dropped(every)
+    return out
 
 
-def find_overlap(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, shingle: int = SHINGLE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def find_overlap(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
     """Adds n_words, hits (word spans under any item's window) and items (the ids found, as sorted strings)."""
-    made = fields(n_words=LongType(), hits=SPANS, items=ArrayType(StringType()))
-    out, first = docs, True
-    for block in blocks_of(items, item_id, item_text, block_bytes):
-        every = {s for _, t in block for w in windows_of(words_of(t), window) for s in shingles_of(w, shingle)}
-        matcher = Matcher(block, document_counts(docs, text, every), window, shingle)
-
-        def add(_, texts, *before, m=matcher):
-            rows = []
-            for i, x in enumerate(texts):
-                words = words_of(x)
-                spans, keys = m.match(words)
-                if before:
-                    spans = merged([*spans, *((s["start"], s["end"]) for s in before[0][i])])
-                    keys = keys.union(before[1][i])
-                rows.append((len(words), [{"start": a, "end": b} for a, b in spans], sorted(keys)))
-            return rows
-
-        out = map_columns(out, [text] if first else [text, "hits", "items"], made, add)
-        first = False
-    if first:
-        out = map_columns(docs, [text], made, lambda _, texts: [(len(words_of(x)), [], []) for x in texts])
-    return out
+    made = {"n_words", "hits", "items"}
+    kept = [c for c in docs.columns if c.lower() not in made]
+    body = quoted(docs, text)
+    # Two hashes of a text stand for it.
+    k1, k2 = F.xxhash64(body), F.xxhash64(F.lit(1), body)
+    clean = items.select(quoted(items, item_id).cast("string").alias("k"), quoted(items, item_text).alias("t"))
+    found = found_in(docs.select(k1.alias("k1"), k2.alias("k2"), body.alias("text")).where("text is not null"), clean, window, shingle)
+    found = found.withColumnsRenamed({"k1": "__k1", "k2": "__k2", "hits": "__hits", "items": "__items"})
+    rows = docs.select(*[quoted(docs, c) for c in kept], F.coalesce(F.regexp_count(body, F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"), k1.alias("__left1"), k2.alias("__left2"))
+    both = rows.join(found, (rows["__left1"] == found["__k1"]) & (rows["__left2"] == found["__k2"]), "left")
+    hits = F.coalesce("__hits", F.array().cast("array<struct<start:int,end:int>>")).alias("hits")
+    return both.select(*[F.col("`" + c.replace("`", "``") + "`") for c in kept], "n_words", hits, F.coalesce("__items", F.array().cast("array<string>")).alias("items"))
 
 
 def with_verdict(found: DataFrame) -> DataFrame:
@@ -190,7 +293,7 @@ with d as (
   select doc_id, count(*) as n_hit from (select distinct doc_id, unnest(range(i, i + n)) as p from hit) group by doc_id
 ), it as (
   select doc_id, count(*) as n_items, sha256(string_agg(k, ',' order by k)) as items_sha256
-  from (select distinct doc_id, cast(item_id as varchar) as k from hit) group by doc_id
+  from (select distinct doc_id, cast(item_id as varchar) as k from hit where item_id is not null) group by doc_id
 )
 select d.doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items,
   coalesce(items_sha256, sha256('')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated

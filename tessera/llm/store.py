@@ -6,7 +6,9 @@ import gc
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -42,3 +44,16 @@ def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of rounds that are over: it does so when the driver has forgotten them."""
     gc.collect()
     spark._jvm.System.gc()
+
+
+def bit_map(df: DataFrame, column: str, bits: int) -> np.ndarray:
+    """A bit for each value that a column of longs has, modulo ``bits``, a power of two from 32768 on; its size doesn't depend on the data.
+
+    The executors put it together in pieces of 4 KB.
+    """
+    place = F.pmod(F.col(column), F.lit(bits)) + 1  # of a power of two, also for what is unsigned
+    pieces = df.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
+    out = np.zeros(bits // 8, np.uint8)
+    for r in pieces.toLocalIterator():
+        out[(r["k"] - 1) * 4096 : r["k"] * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return out

@@ -316,26 +316,29 @@ def brute_overlap(docs, items):
         for key, text in items:
             w = words(text)
             n = min(13, len(w))
-            if key is None or not n:
+            if not n:
                 continue
             for win in {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}:
                 for i in range(len(d) - n + 1):
                     if tuple(d[i : i + n]) == win:
                         hit |= set(range(i, i + n))
-                        keys.add(str(key))
+                        keys |= set() if key is None else {str(key)}
         out.append((len(d), len(hit), len(keys), hashlib.sha256(",".join(sorted(keys)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(d)))
     return out
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 700])
-def test_overlap_matches_brute_force(spark, clashing, block_bytes):
+@pytest.mark.parametrize("bits", [1 << 27, 1 << 15])
+def test_overlap_matches_brute_force(spark, clashing, monkeypatch, bits):
+    monkeypatch.setattr(decontaminate, "MAP_BITS", bits)
     rng = random.Random(8)
     line = lambda n: " ".join(rng.choice("the of a Élan x1 b c d".split()) for _ in range(n))
     items = [(i, line(rng.choice([1, 5, 12, 13, 14, 30]))) for i in range(14)] + [(3, "the of a"), (20, None), (21, "--"), (None, "a b c"), (1, line(40))]
     docs = [*ODD, "the OF a", *(line(rng.randrange(60)) for _ in range(80))]
     docs += [line(10) + "; " + (items[rng.randrange(14)][1] or "") + "! " + line(rng.choice([3, 300])) for _ in range(40)]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    found = decontaminate.with_verdict(decontaminate.find_overlap(clashing(frame(spark, docs), "n_words", "shingle"), bench, block_bytes=block_bytes))
+    docs += docs[-30:] * 2
+    found = decontaminate.with_verdict(decontaminate.find_overlap(clashing(frame(spark, docs), "n_words", "shingle", "k1", "h", "HITS"), bench))
+    assert found.columns[:5] == ["doc_id", "text", "shingle", "k1", "h"]
     rows = sorted(found.collect(), key=lambda r: r["doc_id"])
     got = [(r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in rows]
     assert got == brute_overlap(docs, items)
