@@ -11,14 +11,19 @@ agree. Two blocks that agree over L bytes before and R bytes from the anchor on
 ``LENGTH``. The best R for every L comes from neighbours in the order of suffixes while the tree of common
 preceding bytes is merged upwards, the smaller part into the larger: no pairs are listed.
 
+A group of more than ``HOT`` distinct blocks (a line that is too short to be a repeat, but frequent) is split: whatever R
+is, it lies in one of a few ranges of ``RANGE`` values, and the two blocks share as many bytes from the anchor on as the
+range begins with and as many before it as are then lacking at least. So blocks meet by range and by these bytes, at
+least ``LENGTH - RANGE`` in all, and every pair that holds a repeat still meets.
+
 Offsets are bytes. Null texts count as empty; texts shorter than ``LENGTH`` keep everything. Rows that share both
-doc_id and text are copies of one another like any other copies.
+doc_id and text are copies of one another like any other copies. Other columns don't enter the result.
 """
 
 from __future__ import annotations
 
 import struct
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -38,6 +43,8 @@ SPAN = LENGTH - GRAM + 1
 SHALLOW = GRAM + 16
 #: Positions of one text that are handled together.
 CHUNK = 1 << 20
+#: Distinct blocks of an anchor beyond which its group is split, and how many lengths of agreement share a part.
+HOT, RANGE = 4096, 24
 
 _rng = np.random.default_rng(20)
 BYTES = _rng.integers(0, 1 << 64, 256, np.uint64)
@@ -165,6 +172,38 @@ def deep_shallow(strings: list[bytes], shallow: int = SHALLOW) -> list[int]:
     return out
 
 
+class Ranks:
+    """A set of numbers in order, in lists of bounded size, so that adding one doesn't move all."""
+
+    MOST = 1024
+
+    def __init__(self, first: int):
+        self.parts, self.firsts, self.n = [[first]], [first], 1
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __iter__(self) -> Iterator[int]:
+        for part in self.parts:
+            yield from part
+
+    def add(self, x: int) -> tuple[int, ...]:
+        """Adds a number that isn't there yet; returns its neighbours."""
+        k = max(0, bisect_right(self.firsts, x) - 1)
+        part = self.parts[k]
+        at = bisect_left(part, x)
+        below = part[at - 1] if at else None
+        above = part[at] if at < len(part) else self.firsts[k + 1] if k + 1 < len(self.parts) else None
+        part.insert(at, x)
+        self.firsts[k] = part[0]
+        self.n += 1
+        if len(part) > self.MOST:
+            half = len(part) // 2
+            self.parts[k : k + 1] = [part[:half], part[half:]]
+            self.firsts[k : k + 1] = [part[0], part[half]]
+        return tuple(q for q in (below, above) if q is not None)
+
+
 def repeats(contents: list[bytes], offsets: list[int], counts: list[int], length: int = LENGTH) -> list[list[tuple[int, int]]]:
     """For each distinct block of a group, the spans in it that repeats cover.
 
@@ -178,9 +217,9 @@ def repeats(contents: list[bytes], offsets: list[int], counts: list[int], length
     by_after, by_before = deep_shallow(after), deep_shallow(before)
     rank = {k: r for r, k in enumerate(by_after)}
     edges = sorted(((common(before[a], before[b]), i) for i, (a, b) in enumerate(zip(by_before, by_before[1:], strict=False))), reverse=True)
-    # Sets of neighbours in by_before, joined from the deepest common bytes up; each is a sorted list of ranks.
+    # Sets of neighbours in by_before, joined from the deepest common bytes up, as ranks in by_after.
     owner = list(range(len(contents)))
-    members = [[rank[k]] for k in by_before]
+    members: list[Ranks | None] = [Ranks(rank[k]) for k in by_before]
 
     def find(i: int) -> int:
         while owner[i] != i:
@@ -198,14 +237,12 @@ def repeats(contents: list[bytes], offsets: list[int], counts: list[int], length
             a, b = b, a
         big, small = members[a], members[b]
         for r in small:
-            at = bisect_left(big, r)
-            for q in big[max(0, at - 1) : at + 1]:
+            for q in big.add(r):
                 right = common(after[by_after[r]], after[by_after[q]])
                 if left + right >= length:
                     note(by_after[r], left, right)
                     note(by_after[q], left, right)
-            big.insert(at, r)
-        owner[b], members[b] = a, []
+        owner[b], members[b] = a, None
     return [merged(x) for x in found]
 
 
@@ -248,25 +285,39 @@ def unpacked(place: int) -> tuple[int, int, int]:
     return place >> 16, place >> 8 & 255, place & 255
 
 
+def parts_of(h: int, content: bytes, offset: int) -> list[int]:
+    """The groups in which a block of a hot anchor meets others: one for each range of lengths that it can agree over."""
+    out = []
+    for r in range(GRAM, LENGTH + RANGE, RANGE):
+        r = min(r, LENGTH)
+        before = max(0, LENGTH + 1 - r - RANGE) if r < LENGTH else 0
+        if r <= len(content) - offset and before <= offset:
+            out.append(xxhash.xxh3_64_intdigest(content[offset - before : offset + r], seed=h & (1 << 64) - 1 ^ r) - (1 << 63))
+        if r == LENGTH:
+            break
+    return out
+
+
 def with_contents(docs: DataFrame, firsts: DataFrame) -> DataFrame:
-    """The bytes of one block of each kind, cut from its document."""
-    wanted = firsts.groupBy(F.col("first.doc_id").alias("doc_id"), F.col("first.th").alias("th")).agg(F.collect_list(F.struct("h", "bh", "n", F.col("first.place").alias("place"))).alias("blocks"))
+    """The bytes of one block of each kind, cut from its document, and the group ``g`` in which it is sorted, or several."""
+    wanted = firsts.groupBy(F.col("first.doc_id").alias("doc_id"), F.col("first.th").alias("th")).agg(F.collect_list(F.struct("h", "bh", "n", "hot", F.col("first.place").alias("place"))).alias("blocks"))
     # Rows that share doc_id and text would give the same blocks again.
     joined = docs.join(wanted.withColumnsRenamed({"doc_id": "d", "th": "t"}), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))).select("text", "blocks")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["h", "bh", "n", "offset", "content"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        names = ["g", "h", "bh", "n", "offset", "content"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
         for part in pieces(batches, 64):
             out = []
             for text, blocks in zip(part["text"].to_pylist(), part["blocks"].to_pylist(), strict=True):
                 data = text.encode()
                 for b in blocks:
                     start, more, offset = unpacked(b["place"])
-                    out.append((b["h"], b["bh"], b["n"], offset, data[start : start + more + LENGTH]))
+                    content = data[start : start + more + LENGTH]
+                    out += [(g, b["h"], b["bh"], b["n"], offset, content) for g in (parts_of(b["h"], content, offset) if b["hot"] else (b["h"],))]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=names)
 
-    return joined.mapInArrow(run, "h long, bh long, n long, offset int, content binary")
+    return joined.mapInArrow(run, "g long, h long, bh long, n long, offset int, content binary")
 
 
 def sorted_groups(contents: DataFrame) -> DataFrame:
@@ -278,7 +329,7 @@ def sorted_groups(contents: DataFrame) -> DataFrame:
         def end() -> None:
             blocks = list(group.items())
             got = repeats([x[2] for _, x in blocks], [x[1] for _, x in blocks], [x[0] for _, x in blocks])
-            out.extend((now, bh, struct.pack(f"<{2 * len(s)}H", *(v for ab in s for v in ab))) for (bh, _), s in zip(blocks, got, strict=True) if s)
+            out.extend((h, bh, struct.pack(f"<{2 * len(s)}H", *(v for ab in s for v in ab))) for ((h, bh, _), _), s in zip(blocks, got, strict=True) if s)
 
         def put() -> pa.RecordBatch:
             made = pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["h", "bh", "spans"])
@@ -286,12 +337,12 @@ def sorted_groups(contents: DataFrame) -> DataFrame:
             return made
 
         for part in pieces(batches, 4096):
-            for h, bh, n, offset, content in zip(*(part[c].to_pylist() for c in ("h", "bh", "n", "offset", "content")), strict=True):
-                if h != now:
+            for g, h, bh, n, offset, content in zip(*(part[c].to_pylist() for c in ("g", "h", "bh", "n", "offset", "content")), strict=True):
+                if g != now:
                     if group:
                         end()
-                    now, group = h, {}
-                group[bh] = (n, offset, content)
+                    now, group = g, {}
+                group[h, bh, offset] = (n, offset, content)
             if out:
                 yield put()
         if group:
@@ -299,7 +350,7 @@ def sorted_groups(contents: DataFrame) -> DataFrame:
         if out:
             yield put()
 
-    return contents.repartition("h").sortWithinPartitions("h").mapInArrow(run, "h long, bh long, spans binary")
+    return contents.repartition("g").sortWithinPartitions("g").mapInArrow(run, "h long, bh long, spans binary")
 
 
 SPANS = ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType())]))
@@ -315,8 +366,12 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     met = saved(blocks.join(shared, "h"))
     dropped(blocks)
     dropped(shared)
-    kinds = met.groupBy("h", "bh").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "place")).alias("first"))
-    covered = saved(sorted_groups(with_contents(docs, kinds)))
+    kinds = saved(met.groupBy("h", "bh").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "place")).alias("first")))
+    hot = saved(kinds.groupBy("h").count().where(F.col("count") > HOT).select("h", F.lit(True).alias("hot")))
+    marked = kinds.join(hot, "h", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    covered = saved(sorted_groups(with_contents(docs, marked)))
+    dropped(kinds)
+    dropped(hot)
 
     def expand(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches, 8192):

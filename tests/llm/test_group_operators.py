@@ -211,7 +211,9 @@ def brute_removed(texts):
     return out
 
 
-def test_repeats_match_brute_force(spark, clashing):
+@pytest.mark.parametrize("hot", [4096, 1])
+def test_repeats_match_brute_force(spark, clashing, monkeypatch, hot):
+    monkeypatch.setattr(suffix, "HOT", hot)
     rng = random.Random(1)
     base = ["".join(rng.choice("ab") for _ in range(rng.choice([50, 199, 200, 201, 500, 1000]))) for _ in range(25)]
     texts = [*ODD, *ODD, "a" * 3000, "xyz" * 300, "z" * 150 + "q" * 300]
@@ -229,6 +231,43 @@ def test_repeats_match_brute_force(spark, clashing):
     assert sorted(r["n_removed"] for r in suffix.with_digests(suffix.remove_repeats(same)).collect()) == [0, 250, 250]
 
 
+def test_ranks_know_their_neighbours(monkeypatch):
+    monkeypatch.setattr(suffix.Ranks, "MOST", 8)
+    rng = random.Random(2)
+    numbers = rng.sample(range(10_000), 700)
+    ranks, plain = suffix.Ranks(numbers[0]), [numbers[0]]
+    for x in numbers[1:]:
+        at = sum(q < x for q in plain)
+        assert ranks.add(x) == tuple(q for q in (plain[at - 1] if at else None, plain[at] if at < len(plain) else None) if q is not None)
+        plain.insert(at, x)
+    assert list(ranks) == plain and len(ranks) == 700
+
+
+def test_parts_of_a_hot_group_lose_no_pair():
+    """Two blocks that agree over 200 bytes around an anchor share a part, however these bytes lie."""
+    rng = random.Random(5)
+    for _ in range(2000):
+        right = rng.randrange(32, 369)
+        left = max(0, 200 - right) if rng.random() < 0.5 else min(168, max(0, 200 - right) + rng.randrange(40))
+        shared = bytes(rng.choice(b"ab") for _ in range(left + right))
+        blocks = []
+        for side in (b"x", b"y"):
+            front, back = rng.randrange(0, 169 - left) if left < 169 else 0, rng.randrange(0, 60)
+            blocks.append((side * front + shared + side * back, front + left))
+        one, other = (set(suffix.parts_of(77, x, o)) for x, o in blocks)
+        assert one & other, (left, right)
+
+
+def test_a_frequent_line_is_split(spark, monkeypatch):
+    monkeypatch.setattr(suffix, "HOT", 50)
+    rng = random.Random(6)
+    noise = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    line = noise(170)
+    texts = [noise(150) + line + noise(150) for _ in range(300)] + [noise(50) + "k" * 3 + line + "tail of some bytes that makes it long enough " + noise(80) for _ in range(40)]
+    rows = sorted(suffix.with_digests(suffix.remove_repeats(frame(spark, texts))).collect(), key=lambda r: r["doc_id"])
+    assert [(r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows] == brute_removed(texts)
+
+
 def test_chunks_of_long_texts(monkeypatch):
     rng = random.Random(9)
     data = bytes(rng.choice(b"ab") for _ in range(5000))
