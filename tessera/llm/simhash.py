@@ -10,7 +10,15 @@ Fingerprints are made distinct before that; anchors where nobody is at home are
 2**24 bits, the number of anchors, whatever the input. Links that the comparison confirms are joined into
 components without passing through the driver.
 
-Null texts and texts without words have fingerprint zero; repeated rows keep a row each.
+The cost for n distinct fingerprints: a replica goes to some 60 anchors at most, of which the map keeps the n / 2**24
+that are taken, as long as n is small against the anchors; each then meets n / 2**24 homes. Beyond ``MANY``
+fingerprints that would grow with the square of n, so the other 18 bits choose the place as well: a replica that is s
+steps off differs in 2 - s of them at most, so of 3 - s parts one is equal. Replicas and homes meet by anchor and
+part, which divides the comparisons by 2**18, 2**9 or 2**6 and finds the same links.
+
+Null texts and texts without words have fingerprint zero; repeated rows keep a row each. Rows without a doc_id link
+others, and have the component's least doc_id, or null where no row of it has one; rows that share a doc_id but no
+text are documents of their own. Other columns don't enter the result.
 """
 
 from __future__ import annotations
@@ -28,7 +36,7 @@ from pyspark.sql.types import LongType
 
 from .arrow import fields, map_columns
 from .components import components
-from .store import saved
+from .store import dropped, saved
 
 SHINGLE, SEED, THRESHOLD = 3, 42, 2
 #: Shingles whose bits are counted together.
@@ -126,6 +134,8 @@ def fingerprints(df: DataFrame, text: str = "text", out: str = "fingerprint", si
 # Links.
 
 ANCHOR_BITS = 2 * FREE
+#: Bits that don't choose the anchor, and the number of distinct fingerprints from which on they choose the place as well.
+REST, MANY = 64 - 2 * LENGTH, 1 << 22
 
 
 def blocks(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -138,8 +148,8 @@ def anchor_of(prints: np.ndarray) -> np.ndarray:
     return homes(a) << FREE | homes(b)
 
 
-def anchors_near(prints: np.ndarray, threshold: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(index of the fingerprint, anchor) for all anchors that are the home of a point within the threshold."""
+def anchors_near(prints: np.ndarray, threshold: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """(index of the fingerprint, anchor, steps) for all anchors that are the home of a point within the threshold."""
     a, b = blocks(prints)
     sa, sb = remainder(a), remainder(b)
     table = visits(threshold)
@@ -149,7 +159,17 @@ def anchors_near(prints: np.ndarray, threshold: int) -> Iterator[tuple[np.ndarra
             x = (a[:, None] ^ ta[sa]) >> LENGTH - FREE
             y = (b[:, None] ^ tb[sb]) >> LENGTH - FREE
             rows, p, q = np.nonzero(ma[sa][:, :, None] & mb[sb][:, None, :])
-            yield rows, x[rows, p] << FREE | y[rows, q]
+            yield rows, x[rows, p] << FREE | y[rows, q], i + j
+
+
+def places(prints: np.ndarray, anchors: np.ndarray, apart: int, fine: bool) -> list[np.ndarray]:
+    """The keys under which fingerprints meet at anchors if they differ in ``apart`` of the other bits at most."""
+    if not fine:
+        return [anchors]
+    rest, edges = prints & (1 << REST) - 1, [REST * k // (apart + 1) for k in range(apart + 2)]
+    part = [rest >> a & (1 << b - a) - 1 for a, b in zip(edges, edges[1:], strict=False)]
+    # The anchor, how far apart, which part, and that part's bits.
+    return [((anchors << 4 | apart) << 4 | k) << REST | bits for k, bits in enumerate(part)]
 
 
 def with_homes(prints: DataFrame) -> DataFrame:
@@ -161,6 +181,19 @@ def with_homes(prints: DataFrame) -> DataFrame:
     return prints.select("fingerprint").mapInArrow(run, "fingerprint long, anchor int")
 
 
+def with_places(at_home: DataFrame, threshold: int, fine: bool) -> DataFrame:
+    """(fingerprint, place): where replicas find a home."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p, anchors = batch["fingerprint"].to_numpy(), batch["anchor"].to_numpy().astype(np.int64)
+            for apart in range(threshold + 1 if fine else 1):
+                for place in places(p, anchors, apart, fine):
+                    yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(place)], names=["fingerprint", "place"])
+
+    return at_home.mapInArrow(run, "fingerprint long, place long")
+
+
 def occupied(at_home: DataFrame) -> np.ndarray:
     """A bit for each anchor: 2 MB at any size, put together by the executors in pieces of 4 KB."""
     got = at_home.groupBy(F.bitmap_bucket_number("anchor").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("anchor")).alias("bits")).collect()
@@ -179,7 +212,7 @@ def positions(anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return bucket * 4096 + bit // 8, bit % 8
 
 
-def with_visits(prints: DataFrame, taken: np.ndarray, threshold: int) -> DataFrame:
+def with_visits(prints: DataFrame, taken: np.ndarray, threshold: int, fine: bool) -> DataFrame:
     held = prints.sparkSession.sparkContext.broadcast(taken)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,33 +221,39 @@ def with_visits(prints: DataFrame, taken: np.ndarray, threshold: int) -> DataFra
             every = batch.column(0).to_numpy()
             for at in range(0, len(every), 2048):
                 p = every[at : at + 2048]
-                for rows, anchors in anchors_near(p, threshold):
+                for rows, anchors, steps in anchors_near(p, threshold):
                     byte, bit = positions(anchors)
                     keep = (bits[byte] >> bit & 1).astype(bool)
-                    yield pa.RecordBatch.from_arrays([pa.array(p[rows[keep]]), pa.array(anchors[keep].astype(np.int32))], names=["other", "anchor"])
+                    others = p[rows[keep]]
+                    for place in places(others, anchors[keep].astype(np.int64), threshold - steps, fine):
+                        yield pa.RecordBatch.from_arrays([pa.array(others), pa.array(place)], names=["other", "place"])
 
-    return prints.select("fingerprint").mapInArrow(run, "other long, anchor int")
+    return prints.select("fingerprint").mapInArrow(run, "other long, place long")
 
 
-def links(prints: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+def links(prints: DataFrame, threshold: int = THRESHOLD, many: int = MANY) -> DataFrame:
     """Pairs (fingerprint, other) of distinct fingerprints that differ in at most ``threshold`` bits, each once.
 
-    ``prints`` has one column of distinct fingerprints and is read three times.
+    ``prints`` has one column of distinct fingerprints and is read a few times.
     """
-    at_home = with_homes(prints)
-    near = with_visits(prints, occupied(at_home), threshold)
+    at_home, fine = with_homes(prints), prints.count() > many
+    near = with_visits(prints, occupied(at_home), threshold, fine)
     # Of two fingerprints the smaller one is compared where it is at home.
     close = (F.col("fingerprint") < F.col("other")) & (F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("other"))) <= threshold)
-    return at_home.join(near, (at_home["anchor"] == near["anchor"]) & close).select("fingerprint", "other")
+    homes_ = with_places(at_home, threshold, fine)
+    found = homes_.join(near, (homes_["place"] == near["place"]) & close).select("fingerprint", "other")
+    return found.distinct() if fine else found
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """(doc_id, fingerprint as 16 hex digits, component_id): the smallest doc_id that links lead to."""
     marked = saved(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", size=size).drop("text"))
     firsts = saved(marked.groupBy("fingerprint").agg(F.min("doc_id").alias("first")))
-    found = links(firsts.select("fingerprint"), threshold)
-    edges = found.join(firsts, "fingerprint").join(firsts.select(F.col("fingerprint").alias("other"), F.col("first").alias("b")), "other").select(F.col("first").alias("a"), "b")
-    stars = components(edges)
-    roots = firsts.join(stars, firsts["first"] == stars["a"], "left").select("fingerprint", F.coalesce("b", "first").alias("component_id"))
-    joined = marked.join(roots, "fingerprint")
-    return joined.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+    stars = components(links(firsts.select("fingerprint"), threshold))
+    # A fingerprint without links is a component of its own.
+    rooted = saved(firsts.join(stars, firsts["fingerprint"] == stars["a"], "left").select("fingerprint", "first", F.coalesce("b", "fingerprint").alias("root")))
+    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    roots = saved(rooted.join(least, "root").select("fingerprint", "component_id"))
+    for x in (firsts, stars, rooted):
+        dropped(x)
+    return marked.join(roots, "fingerprint").select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")

@@ -44,7 +44,7 @@ def test_golay_covering():
     rng = np.random.default_rng(1)
     prints = rng.integers(-(2**63), 2**63 - 1, 400)
     near = collections.defaultdict(set)
-    for rows, anchors in simhash.anchors_near(prints, 2):
+    for rows, anchors, _ in simhash.anchors_near(prints, 2):
         for r, a in zip(rows.tolist(), anchors.tolist(), strict=True):
             assert a not in near[r]
             near[r].add(a)
@@ -63,9 +63,33 @@ def test_simhash_links_match_brute_force(spark):
             p ^= 1 << rng.randrange(64)
         prints.append(p)
     prints = sorted({simhash.signed(p) for p in [*prints, 0, 1, 2**64 - 1]})
-    got = {(r[0], r[1]) for r in simhash.links(spark.createDataFrame([(p,) for p in prints], "fingerprint long")).collect()}
-    want = {(a, b) for i, a in enumerate(prints) for b in prints[i + 1 :] if ((a ^ b) & (2**64 - 1)).bit_count() <= 2}
-    assert got == want and len(want) > 100
+    df = spark.createDataFrame([(p,) for p in prints], "fingerprint long")
+    for threshold in (2, 1):
+        want = sorted((a, b) for i, a in enumerate(prints) for b in prints[i + 1 :] if ((a ^ b) & (2**64 - 1)).bit_count() <= threshold)
+        # By anchors alone, and by parts of the other bits too, as for very many fingerprints.
+        for many in (simhash.MANY, 1):
+            assert sorted((r[0], r[1]) for r in simhash.links(df, threshold, many).collect()) == want and len(want) > 100
+
+
+def test_rows_without_an_id_link_others(spark):
+    words = [f"w{i}" for i in range(400)]
+    texts, k = [" ".join(words)], 0
+    prints = [brute_print(texts[0])]
+    while len(texts) < 3 and k < 400:  # a chain whose middle has no id
+        w = words[:]
+        w[k] = "z"
+        for j in range(1, len(texts)):
+            w = [("y" if x == f"w{399 - j}" else x) for x in w]
+        p, k = brute_print(" ".join(w)), k + 1
+        if 0 < (p ^ prints[-1]).bit_count() <= 2 and (len(prints) < 2 or (p ^ prints[0]).bit_count() > 2):
+            texts.append(" ".join(w))
+            prints.append(p)
+    rows = [(7, texts[0]), (None, texts[1]), (None, "alone here"), (9, "q r s t"), (9, "another text altogether"), (None, "q r s t")]
+    rows += [(3, texts[2])] if len(texts) == 3 else []
+    got = {(r["doc_id"], r["fingerprint"]): r["component_id"] for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    by = lambda i, x: got[i, f"{brute_print(x):016x}"]
+    least = 3 if len(texts) == 3 else 7
+    assert by(7, texts[0]) == by(None, texts[1]) == least and by(None, "alone here") is None and by(None, "q r s t") == 9 and by(9, "another text altogether") == 9
 
 
 def test_near_duplicates_match_brute_force(spark, clashing):
