@@ -1,37 +1,65 @@
 """Approximate nearest neighbours: NN-descent builds a neighbour graph, greedy search walks it.
 
 Equal vectors become one node first, so a vector that a third of the rows share is one node with its smallest ids.
-Every round of NN-descent is a chain of joins: neighbours and reverse neighbours of a node meet at it, every pair
-with a link that is new since the last round is compared there, and what beats a node's worst neighbour is merged
-into its list. A node takes part in a bounded number of groups and a group holds a bounded number of members; the
-lists are approximate by design, but every row is indexed and can be found. Queries start at their own node, expand
-their best unexpanded nodes each round, and keep a bounded pool; the pool's head is ranked again on the original
-vectors in double precision.
+Nodes are numbered along a random tree, so that those of one bucket lie near each other, and the first lists come from
+neighbours in several such trees. A round of NN-descent is a chain of joins: the neighbours and some reverse neighbours
+of a node meet at it (of a hub, each task sends only the nearest ones on), the vectors of all that meet in a bucket are
+joined to it, each one once, pairs with a link that is new since the last round are compared there, and what beats a
+node's worst neighbour is merged into its list, the best proposals of each bucket at a time. Rounds end when few
+entries change.
+
+The lists are approximate by design, but every row is indexed and can be found. Queries start at their own node, expand
+their best unexpanded nodes each round, and keep a bounded pool; they also share the vectors that they fetch by bucket.
+Up to there vectors are held in a byte a component; the pool's head is ranked again on the original vectors in double
+precision, ties by the smaller vec_id. ``exhaustive`` compares each query with every row instead.
 
 Vectors that are null, zero, of another length than most, or hold null or non-finite components take no part, nor
-do rows without an id. Rows
-that repeat an id and its vector count once. Other columns are ignored.
+do rows without an id. Rows that repeat an id and its vector count once. Other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import math
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import grouped
+from .arrow import grouped, pieces
 from .store import dropped, release, saved
 
-#: Neighbours in a list; reverse neighbours that meet at a node; rounds; candidates that a group gives a member.
-DEGREE, REVERSE, ROUNDS, GIVEN = 32, 32, 6, 10
-#: Nodes that lie side by side in a random projection and are compared for the first lists; projections.
-NEAR, PROJECTIONS = 64, 2
-#: A query's pool, the nodes expanded in a round, rounds, and the part of the pool that is ranked exactly.
-POOL, WIDTH, HOPS, EXACT = 192, 48, 7, 64
-SEED = 11
+
+@dataclass(frozen=True)
+class Settings:
+    #: Neighbours in a list, and reverse neighbours that meet at a node beside them.
+    degree: int = 24
+    reverse: int = 20
+    #: Trees, nodes that are compared side by side in one, and how many of these it proposes to each.
+    trees: int = 6
+    near: int = 96
+    first: int = 10
+    #: Rounds at most, candidates that a meeting gives a member, and the part of entries that must change for another round.
+    rounds: int = 4
+    given: int = 10
+    change: float = 0.02
+    #: Nodes of a bucket at most, and bytes that the vectors of its meetings may take.
+    bucket: int = 8192
+    bucket_bytes: int = 64 << 20
+    #: A query's pool, the nodes expanded in a round, rounds, and the part of the pool that is ranked exactly; queries of a bucket.
+    pool: int = 128
+    width: int = 24
+    hops: int = 5
+    exact: int = 64
+    queries: int = 512
+    seed: int = 11
+
+
+USUAL = Settings()
+#: Queries that are compared with all rows at once, where that is asked for.
+BLOCK = 2048
 
 
 def binary(rows: np.ndarray) -> pa.Array:
@@ -42,10 +70,16 @@ def binary(rows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(rows.tobytes())])
 
 
-def matrix(column: pa.Array, kind: type) -> np.ndarray:
-    """The rows of a binary column whose values are equally long and not null."""
-    data = b"".join(column.to_pylist())
-    return np.frombuffer(data, kind).reshape(len(column), -1) if len(column) else np.zeros((0, 0), kind)
+def blobs(flat: np.ndarray, n: np.ndarray) -> pa.Array:
+    """A binary column whose rows are runs of so many values."""
+    offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32) * flat.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(flat).tobytes())])
+
+
+def flat(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a binary column, and how many each row has."""
+    rows = column.to_pylist()
+    return np.frombuffer(b"".join(rows), kind), np.array([len(x) for x in rows], np.int64) // np.dtype(kind).itemsize
 
 
 def nodes_of(df: DataFrame, vec_id: str, embedding: str, kept: int) -> DataFrame:
@@ -72,306 +106,480 @@ def nodes_of(df: DataFrame, vec_id: str, embedding: str, kept: int) -> DataFrame
     return merged.select(F.xxhash64("embedding").alias("node"), "embedding", "members")
 
 
-def unit(embeddings: list[list[float]]) -> np.ndarray:
+# Vectors: a scale, then a byte for each component, of the vector at length one.
+
+
+def packed(embeddings: list[list[float]]) -> np.ndarray:
     e = np.array(embeddings, np.float64)
     e = e / np.abs(e).max(1, keepdims=True)
-    return (e / np.linalg.norm(e, axis=1, keepdims=True)).astype(np.float16)
+    e /= np.linalg.norm(e, axis=1, keepdims=True)
+    scale = np.abs(e).max(1, keepdims=True) / 127
+    return np.concatenate([scale.astype(np.float32).view(np.uint8).reshape(len(e), 4), np.rint(e / scale).astype(np.int8).view(np.uint8)], 1)
 
 
-EMPTY = np.zeros(0)
-#: A node's list is held as three blobs: the neighbours' keys, similarities and whether they came in the last round.
-GRAPH = "node long, vec binary, ids binary, sims binary, fresh binary"
-PROPOSAL = "node long, other long, sim float"
+def unpacked(rows: np.ndarray) -> np.ndarray:
+    return rows[:, 4:].view(np.int8).astype(np.float32) * np.ascontiguousarray(rows[:, :4]).view(np.float32)
 
 
-def with_vectors(nodes: DataFrame) -> DataFrame:
+def vectors_of(column: pa.Array) -> np.ndarray:
+    """The rows of a column of packed vectors."""
+    data = b"".join(column.to_pylist())
+    return np.frombuffer(data, np.uint8).reshape(len(column), -1) if len(column) else np.zeros((0, 4), np.uint8)
+
+
+def centre_of(nodes: DataFrame) -> np.ndarray:
+    """The mean of the packed vectors: sums of partitions, summed again by component."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = None, 0
         for b in batches:
             if b.num_rows:
-                nothing = pa.array([b""] * b.num_rows, pa.binary())
-                yield pa.RecordBatch.from_arrays([b["node"], binary(unit(b["embedding"].to_pylist())), nothing, nothing, nothing], names=["node", "vec", "ids", "sims", "fresh"])
+                part = unpacked(vectors_of(b["vec"])).sum(0, dtype=np.float64)
+                total, n = part if total is None else total + part, n + b.num_rows
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64())), pa.array([n])], names=["total", "n"])
 
-    return nodes.select("node", "embedding").mapInArrow(run, GRAPH)
+    sums = nodes.select("vec").mapInArrow(run, "total array<double>, n long").select("n", F.posexplode("total").alias("i", "x"))
+    got = sums.groupBy("i").agg((F.sum("x") / F.sum("n")).alias("m")).orderBy("i").collect()
+    return np.array([r["m"] for r in got], np.float32)
 
 
-def best(sims: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of each row's n largest entries that aren't -inf."""
-    n = min(n, sims.shape[1])
-    cols = np.argpartition(-sims, n - 1, axis=1)[:, :n] if n < sims.shape[1] else np.broadcast_to(np.arange(n), sims.shape)
-    rows = np.repeat(np.arange(len(sims)), n)
-    cols = cols.ravel()
-    good = sims[rows, cols] > -np.inf
-    return rows[good], cols[good]
+def tree_keys(v: np.ndarray, centre: np.ndarray, depth: int, seed: int) -> np.ndarray:
+    """Places in a random tree: on which side of so many planes a vector lies, then how far along a last direction."""
+    planes = np.random.default_rng(seed).standard_normal((v.shape[1], depth + 1)).astype(np.float32)
+    p = (v - centre) @ planes
+    code = (p[:, :depth] > 0) @ (2.0 ** np.arange(depth - 1, -1, -1)) if depth else np.zeros(len(v))
+    return code + 1 / (1 + np.exp(-8 * np.clip(p[:, depth], -4, 4).astype(np.float64)))
 
 
-def proposals(node: np.ndarray, other: np.ndarray, sim: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(node), pa.array(other), pa.array(sim.astype(np.float32))], names=["node", "other", "sim"])
+def in_tree(rows: DataFrame, centre: np.ndarray, depth: int, seed: int) -> DataFrame:
+    """The rows with ``at``, their place in a tree."""
+    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema.fields)}, at double"
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield b.append_column("at", pa.array(tree_keys(unpacked(vectors_of(b["vec"])), centre, depth, seed)))
 
-def first_lists(graph: DataFrame, k: int) -> DataFrame:
-    """Proposals among nodes that lie side by side in a random projection."""
+    return rows.mapInArrow(run, schema)
 
-    def project(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def with_vectors(nodes: DataFrame) -> DataFrame:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                v = matrix(b["vec"], np.float16).astype(np.float32)
-                r = np.random.default_rng(SEED + k).standard_normal(v.shape[1]).astype(np.float32)
-                yield pa.RecordBatch.from_arrays([b["node"], b["vec"], pa.array(v @ r)], names=["node", "vec", "at"])
+                yield pa.RecordBatch.from_arrays([binary(packed(b["embedding"].to_pylist())), b["embedding"], b["members"]], names=["vec", "embedding", "members"])
 
-    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            v, node = matrix(b["vec"], np.float16).astype(np.float32), b["node"].to_numpy()
-            for a in range(0, len(node), NEAR):
-                s = v[a : a + NEAR] @ v[a : a + NEAR].T
-                np.fill_diagonal(s, -np.inf)
-                i, j = best(s, DEGREE)
-                yield proposals(node[a : a + NEAR][i], node[a : a + NEAR][j], s[i, j])
+    return nodes.mapInArrow(run, "vec binary, embedding array<double>, members array<long>")
 
-    return graph.select("node", "vec").mapInArrow(project, "node long, vec binary, at float").repartitionByRange("at").sortWithinPartitions("at").mapInArrow(compare, PROPOSAL)
 
+#: Bits of a node's number below those of its bucket.
+LOW = 33
 
-def merged(graph: DataFrame, offers: DataFrame) -> DataFrame:
-    """The lists with what the proposals improve."""
-    both = graph.select("*", F.lit(None).cast("long").alias("other"), F.lit(None).cast("float").alias("sim")).unionByName(
-        offers.select("node", *[F.lit(None).cast("binary").alias(c) for c in ("vec", "ids", "sims", "fresh")], "other", "sim")
-    )
 
-    def f(t: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
-        ends = [*starts[1:].tolist(), t.num_rows]
-        own = t["other"].is_null().to_numpy()
-        other, sim = t["other"].fill_null(0).to_numpy(), t["sim"].fill_null(0).to_numpy()
-        node = t["node"].to_numpy()
-        out = []
-        for a, b in zip(starts.tolist(), ends, strict=True):
-            at = a + int(own[a:b].argmax())
-            if not own[at]:
-                continue
-            old, old_sims = np.frombuffer(t["ids"][at].as_py(), np.int64), np.frombuffer(t["sims"][at].as_py(), np.float32)
-            keep = np.ones(b - a, bool)
-            keep[at - a] = False
-            ids, sims = np.concatenate([old, other[a:b][keep]]), np.concatenate([old_sims, sim[a:b][keep]])
-            # Old entries come first among equals, so a repeated neighbour isn't fresh.
-            _, firsts = np.unique(ids, return_index=True)
-            order = firsts[np.lexsort((ids[firsts], -sims[firsts]))][:DEGREE]
-            out.append((int(node[a]), t["vec"][at].as_py(), ids[order].tobytes(), sims[order].tobytes(), (order >= len(old)).tobytes()))
-        kinds = (pa.int64(), *[pa.binary()] * 4)
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["node", "vec", "ids", "sims", "fresh"])
+def numbered(nodes: DataFrame, how: Settings) -> tuple[DataFrame, np.ndarray, int]:
+    """(node, vec, embedding, members): nodes numbered by bucket along a tree; the centre; and the depth of trees."""
+    made = saved(with_vectors(nodes.select("embedding", "members")))
+    n, centre = made.count(), centre_of(made)
+    depth = max(0, min(30, math.ceil(math.log2(max(1, n) / how.near)))) if n > how.near else 0
+    size = max(1, min(how.bucket, how.bucket_bytes // ((how.degree + how.reverse) * (len(centre) + 4))))
+    placed = in_tree(made, centre, depth, how.seed).repartitionByRange(max(1, -(-n // size)), "at").sortWithinPartitions("at").drop("at")
+    out = saved(placed.select(F.monotonically_increasing_id().alias("node"), "vec", "embedding", "members"))
+    dropped(made)
+    return out, centre, depth
 
-    return both.repartition("node").sortWithinPartitions("node").mapInArrow(lambda batches: grouped(batches, "node", f), GRAPH)
 
+def bucket(column: str):
+    return F.shiftright(column, LOW)
 
-MEMBER = "at long, member long, floor float, fresh boolean, reverse boolean, vec binary"
 
+# Lists: neighbours' numbers, similarities and whether they came in the last round, as blobs. Proposals are the same without the last.
 
-def meetings(graph: DataFrame) -> DataFrame:
-    """(at, member, ...): each node goes to its neighbours as a reverse neighbour, and fetches them to itself."""
+LIST = "node long, ids binary, sims binary, fresh binary"
+OFFER = "node long, ids binary, sims binary"
 
-    def out(batches: Iterable[pa.RecordBatch], fetch: bool) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                b = batch.slice(start, 512)
-                ids = [np.frombuffer(x, np.int64) for x in b["ids"].to_pylist()]
-                fresh = np.concatenate([np.frombuffer(x, bool) for x in b["fresh"].to_pylist()]) if ids else EMPTY
-                n = np.array([len(x) for x in ids], np.int64)
-                row = np.repeat(np.arange(len(ids)), n)
-                to, me = np.concatenate(ids) if ids else EMPTY.astype(np.int64), b["node"].to_numpy()[row]
-                if fetch:
-                    yield pa.RecordBatch.from_arrays([pa.array(to), pa.array(me), pa.array(fresh)], names=["node", "at", "fresh"])
-                    continue
-                # A list that isn't full takes anything.
-                floor = np.array([np.frombuffer(x, np.float32)[-1] if len(x) == 4 * DEGREE else -2 for x in b["sims"].to_pylist()], np.float32)
-                vec = b["vec"].take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([pa.array(to), pa.array(me), pa.array(floor[row]), pa.array(fresh), pa.array(np.ones(len(me), bool)), vec], names=["at", "member", "floor", "fresh", "reverse", "vec"])
 
-    reverse = graph.mapInArrow(lambda batches: out(batches, False), MEMBER)
-    asked = graph.mapInArrow(lambda batches: out(batches, True), "node long, at long, fresh boolean")
+def best_by_node(node: np.ndarray, other: np.ndarray, sim: np.ndarray, n: int) -> pa.RecordBatch:
+    """A row for each node with its ``n`` most similar others, repeats left out."""
+    order = np.lexsort((other, -sim, node))
+    node, other, sim = node[order], other[order], sim[order]
+    if len(node):
+        # A repeat has the same similarity, so it stands beside its first.
+        keep = np.concatenate([[True], (node[1:] != node[:-1]) | (other[1:] != other[:-1])])
+        node, other, sim = node[keep], other[keep], sim[keep]
+    starts = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]])) if len(node) else np.zeros(0, np.int64)
+    sizes = np.diff(np.concatenate([starts, [len(node)]]))
+    keep = np.arange(len(node)) - np.repeat(starts, sizes) < n
+    return pa.RecordBatch.from_arrays([pa.array(node[starts]), blobs(other[keep], np.minimum(sizes, n)), blobs(sim[keep].astype(np.float32), np.minimum(sizes, n))], names=["node", "ids", "sims"])
+
+
+def best_pairs(s: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of each row's n largest entries that aren't -inf."""
+    n = min(n, s.shape[1])
+    cols = np.argpartition(-s, n - 1, axis=1)[:, :n] if n < s.shape[1] else np.broadcast_to(np.arange(n), s.shape)
+    rows = np.repeat(np.arange(len(s)), n)
+    cols = cols.ravel()
+    good = s[rows, cols] > -np.inf
+    return rows[good], cols[good]
 
-    def head(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def first_offers(nodes: DataFrame, centre: np.ndarray, depth: int, tree: int, how: Settings) -> DataFrame:
+    """Proposals among nodes that lie side by side in a tree. The first tree is the order in which the nodes are numbered."""
+
+    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            floor = [np.frombuffer(x, np.float32)[-1] if len(x) == 4 * DEGREE else -2 for x in b["sims"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([b["node"], pa.array(floor, pa.float32()), b["vec"]], names=["node", "floor", "vec"])
+            node, rows, out = b["node"].to_numpy(), vectors_of(b["vec"]), []
+            for a in range(0, len(node), how.near):
+                a = max(0, min(a, len(node) - how.near))
+                v = unpacked(rows[a : a + how.near])
+                s = v @ v.T
+                np.fill_diagonal(s, -np.inf)
+                i, j = best_pairs(s, how.first)
+                out.append((node[a + i], node[a + j], s[i, j]))
+            if out:
+                yield best_by_node(*(np.concatenate(x) for x in zip(*out, strict=True)), how.first)
 
-    heads = graph.mapInArrow(head, "node long, floor float, vec binary")
-    forward = asked.join(heads, "node").select("at", F.col("node").alias("member"), "floor", "fresh", F.lit(False).alias("reverse"), "vec")
-    return reverse.unionByName(forward)
+    rows = nodes.select("node", "vec")
+    if tree:
+        rows = in_tree(rows, centre, depth, how.seed + tree).repartitionByRange("at").sortWithinPartitions("at").drop("at")
+    return rows.mapInArrow(compare, OFFER)
 
 
-def compared(members: DataFrame) -> DataFrame:
-    """Proposals from pairs that meet at a node and of which at least one link to it is fresh."""
+def merged(lists: DataFrame, offers: DataFrame, how: Settings) -> DataFrame:
+    """The lists with what the proposals improve."""
+    both = lists.unionByName(offers.withColumn("fresh", F.lit(None).cast("binary")))
 
-    def f(t: pa.Table, starts: np.ndarray) -> pa.RecordBatch | None:
-        v = matrix(t["vec"].combine_chunks(), np.float16)
-        member, floor = t["member"].to_numpy(), t["floor"].to_numpy()
-        fresh, reverse = t["fresh"].to_numpy(), t["reverse"].to_numpy()
-        made: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), t.num_rows], strict=True):
-            if not fresh[a:b].any():
-                continue
-            # Forward links come first, then fresh ones; a member that is both counts once. Reverse ones beyond the bound wait.
-            order = a + np.lexsort((member[a:b], ~fresh[a:b], reverse[a:b]))
-            _, first = np.unique(member[order], return_index=True)
-            order = order[np.sort(first)]
-            order = np.concatenate([order[~reverse[order]], order[reverse[order]][:REVERSE]])
-            if len(order) < 2:
-                continue
-            m = v[order].astype(np.float32)
-            s = m @ m.T
-            np.fill_diagonal(s, -np.inf)
-            f = fresh[order]
-            s[~(f[:, None] | f[None, :]) | (s <= floor[order][:, None])] = -np.inf
-            i, j = best(s, GIVEN)
-            made.append((member[order][i], member[order][j], s[i, j]))
-        return proposals(*(np.concatenate(x) for x in zip(*made, strict=True))) if made else None
-
-    return members.repartition("at").sortWithinPartitions("at").mapInArrow(lambda batches: grouped(batches, "at", f), PROPOSAL)
-
-
-def build_graph(nodes: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """The neighbour graph of a saved table of nodes, saved; earlier rounds are deleted."""
-    graph = with_vectors(nodes)
-    offers = first_lists(graph, 0)
-    for k in range(1, PROJECTIONS):
-        offers = offers.unionByName(first_lists(graph, k))
-    graph = saved(merged(graph, offers))
-    for _ in range(rounds):
-        new = saved(merged(graph, compared(meetings(graph))))
-        dropped(graph)
-        graph = new
-        release(graph.sparkSession)
-    return graph
-
-
-# Search. A query's pool is held as blobs of keys, similarities, and whether each was expanded.
-
-STATE = "node long, vec binary, ids binary, sims binary, open binary"
-
-
-def links(graph: DataFrame) -> DataFrame:
-    """(node, other): neighbours in either direction; reverse ones up to a bound, the most similar first."""
+    def f(t: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        other, n = flat(t["ids"], np.int64)
+        sim, _ = flat(t["sims"], np.float32)
+        node = np.repeat(t["node"].to_numpy(), n)
+        old = np.repeat(t["fresh"].is_valid().to_numpy(), n)
+        # Old entries come first among equals, so a repeated neighbour isn't fresh.
+        order = np.lexsort((~old, other, node))
+        node, other, sim, old = node[order], other[order], sim[order], old[order]
+        keep = np.concatenate([[True], (node[1:] != node[:-1]) | (other[1:] != other[:-1])]) if len(node) else np.zeros(0, bool)
+        node, other, sim, old = node[keep], other[keep], sim[keep], old[keep]
+        order = np.lexsort((other, -sim, node))
+        node, other, sim, old = node[order], other[order], sim[order], old[order]
+        every = t["node"].to_numpy()[starts]
+        first, last = np.searchsorted(node, every), np.searchsorted(node, every, "right")
+        sizes = last - first
+        keep = np.arange(len(node)) - np.repeat(first, sizes) < how.degree
+        sizes = np.minimum(sizes, how.degree)
+        return pa.RecordBatch.from_arrays([pa.array(every), blobs(other[keep], sizes), blobs(sim[keep], sizes), blobs(~old[keep], sizes)], names=["node", "ids", "sims", "fresh"])
+
+    return both.repartition("node").sortWithinPartitions("node").mapInArrow(lambda batches: grouped(batches, "node", f), LIST)
+
+
+ADJACENT = "node long, ids binary, fresh binary"
+
+
+def adjacent(lists: DataFrame, how: Settings) -> DataFrame:
+    """(node, ids, fresh): neighbours and, of those that have the node in their lists, the most similar ones."""
+    edge = "node long, other long, sim float, fresh boolean, back boolean"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = [np.frombuffer(x, np.int64) for x in b["ids"].to_pylist()]
-            if ids:
-                row = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
-                sims = np.concatenate([np.frombuffer(x, np.float32) for x in b["sims"].to_pylist()])
-                yield pa.RecordBatch.from_arrays([pa.array(b["node"].to_numpy()[row]), pa.array(np.concatenate(ids)), pa.array(sims)], names=["node", "other", "sim"])
-
-    edges = graph.mapInArrow(run, PROPOSAL)
+            ids, n = flat(b["ids"], np.int64)
+            sims, _ = flat(b["sims"], np.float32)
+            fresh, _ = flat(b["fresh"], bool)
+            node = np.repeat(b["node"].to_numpy(), n)
+            # Of a hub, a batch sends no more reverse links than are used.
+            order = np.lexsort((node, -sims, ids))
+            to = ids[order]
+            starts = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])) if len(to) else np.zeros(0, np.int64)
+            rank = np.arange(len(to)) - np.repeat(starts, np.diff(np.concatenate([starts, [len(to)]])))
+            back = order[rank < how.reverse]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([node, ids[back]])), pa.array(np.concatenate([ids, node[back]])), pa.array(np.concatenate([sims, sims[back]])), pa.array(np.concatenate([fresh, fresh[back]])), pa.array(np.arange(len(node) + len(back)) >= len(node))],
+                names=["node", "other", "sim", "fresh", "back"],
+            )
 
     def f(t: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
-        node, other, sim, back = t["node"].to_numpy(), t["other"].to_numpy(), t["sim"].to_numpy(), t["back"].to_numpy()
-        out_node, out_lists = [], []
-        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(node)], strict=True):
-            order = a + np.lexsort((other[a:b], -sim[a:b], back[a:b]))
-            order = np.concatenate([order[~back[order]], order[back[order]][:REVERSE]])
-            out_node.append(int(node[a]))
-            out_lists.append(np.unique(other[order]).tobytes())
-        return pa.RecordBatch.from_arrays([pa.array(out_node, pa.int64()), pa.array(out_lists, pa.binary())], names=["node", "others"])
+        node, other, sim, fresh, back = (t[c].to_numpy() for c in ("node", "other", "sim", "fresh", "back"))
+        order = np.lexsort((other, -sim, back, node))
+        node, other, fresh, back = node[order], other[order], fresh[order], back[order]
+        group = np.flatnonzero(np.concatenate([[True], (node[1:] != node[:-1]) | (back[1:] != back[:-1])]))
+        rank = np.arange(len(node)) - np.repeat(group, np.diff(np.concatenate([group, [len(node)]])))
+        keep = ~back | (rank < how.reverse)
+        node, other, fresh = node[keep], other[keep], fresh[keep]
+        # A neighbour both ways counts once, as fresh if either link is.
+        order = np.lexsort((~fresh, other, node))
+        node, other, fresh = node[order], other[order], fresh[order]
+        keep = np.concatenate([[True], (node[1:] != node[:-1]) | (other[1:] != other[:-1])])
+        node, other, fresh = node[keep], other[keep], fresh[keep]
+        starts = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+        n = np.diff(np.concatenate([starts, [len(node)]]))
+        return pa.RecordBatch.from_arrays([pa.array(node[starts]), blobs(other, n), blobs(fresh, n)], names=["node", "ids", "fresh"])
+
+    edges = lists.mapInArrow(run, edge)
+    return edges.repartition("node").sortWithinPartitions("node").mapInArrow(lambda batches: grouped(batches, "node", f), ADJACENT)
+
+
+def asked_for(rows: DataFrame, place: str) -> DataFrame:
+    """(place, node): which vectors are wanted where, each once; ``rows`` has the place and ids as a blob."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, n = flat(b["ids"], np.int64)
+            at = np.repeat(b["place"].to_numpy(), n)
+            order = np.lexsort((ids, at))
+            at, ids = at[order], ids[order]
+            keep = np.concatenate([[True], (at[1:] != at[:-1]) | (ids[1:] != ids[:-1])]) if len(ids) else np.zeros(0, bool)
+            yield pa.RecordBatch.from_arrays([pa.array(at[keep]), pa.array(ids[keep])], names=["place", "node"])
+
+    return rows.select(F.expr(place).cast("long").alias("place"), "ids").mapInArrow(run, "place long, node long").distinct()
+
+
+def by_place(rows: DataFrame, vectors: DataFrame, f: Callable[[np.ndarray, np.ndarray, Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """Runs ``f(nodes, packed vectors, batches of rows)`` for each place: the vectors that its rows need come first.
+
+    ``vectors`` has place, node, vec; ``rows`` has place and other columns.
+    """
+    own = [c for c in rows.columns if c != "place"]
+    kinds = {x.name: x.dataType for x in rows.schema.fields}
+    left = vectors.select("place", F.lit(0).alias("kind"), F.col("node").alias("__node"), F.col("vec").alias("__vec"), *[F.lit(None).cast(kinds[c]).alias(c) for c in own])
+    right = rows.select("place", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("__node"), F.lit(None).cast("binary").alias("__vec"), *own)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, nodes, vecs, held, table = None, [], [], [], (np.zeros(0, np.int64), np.zeros((0, 4), np.uint8))
 
-    both = edges.withColumn("back", F.lit(False)).unionByName(edges.select(F.col("other").alias("node"), F.col("node").alias("other"), "sim", F.lit(True).alias("back")))
-    return both.repartition("node").sortWithinPartitions("node").mapInArrow(lambda batches: grouped(batches, "node", f), "node long, others binary")
+        def ready() -> None:
+            nonlocal table
+            node = np.concatenate(nodes)
+            order = np.argsort(node)
+            table = node[order], np.concatenate(vecs)[order]
+            nodes.clear()
+            vecs.clear()
 
+        def give() -> Iterator[pa.RecordBatch]:
+            if held:
+                yield from f(*table, iter(held))
+                held.clear()
 
-def hop(state: DataFrame, adjacent: DataFrame, vectors: DataFrame) -> DataFrame:
+        for batch in batches:
+            place, kind = batch["place"].to_numpy(), batch["kind"].to_numpy()
+            cuts = np.flatnonzero((place[1:] != place[:-1]) | (kind[1:] != kind[:-1])) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(place)], strict=True):
+                if a == b:
+                    continue
+                part = batch.slice(a, b - a)
+                if place[a] != now:
+                    yield from give()
+                    now, table = place[a], (np.zeros(0, np.int64), np.zeros((0, 4), np.uint8))
+                    nodes.clear()
+                    vecs.clear()
+                if kind[a] == 0:
+                    nodes.append(part["__node"].to_numpy())
+                    vecs.append(vectors_of(part["__vec"]))
+                else:
+                    if nodes:
+                        ready()
+                    held.append(part)
+        yield from give()
+
+    return left.unionByName(right).repartition("place").sortWithinPartitions("place", "kind").mapInArrow(run, schema)
+
+
+def compared(around: DataFrame, nodes: DataFrame, lists: DataFrame, how: Settings) -> DataFrame:
+    """Proposals from pairs that meet at a node and of which at least one link to it is fresh."""
+    meeting = around.where(F.instr(F.hex("fresh"), "01") > 0)
+    # A list that isn't full takes anything; its worst similarity travels with the vector.
+    worst = F.when(F.length("sims") >= 4 * how.degree, F.substring(F.col("sims"), 4 * how.degree - 3, 4)).otherwise(F.lit(np.float32(-2).tobytes()))
+    heads = nodes.select("node", "vec").join(lists.select("node", worst.alias("worst")), "node")
+    vectors = asked_for(meeting, f"shiftright(node, {LOW})").join(heads, "node").select("place", "node", F.concat("worst", "vec").alias("vec"))
+
+    def f(known: np.ndarray, rows: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        floors, n = np.ascontiguousarray(rows[:, :4]).view(np.float32)[:, 0], 0
+        for batch in batches:
+            for ids, fresh in zip(batch["ids"].to_pylist(), batch["fresh"].to_pylist(), strict=True):
+                member, new = np.frombuffer(ids, np.int64), np.frombuffer(fresh, bool)
+                at = np.searchsorted(known, member)
+                m = unpacked(rows[at, 4:])
+                s = m @ m.T
+                np.fill_diagonal(s, -np.inf)
+                s[~(new[:, None] | new[None, :]) | (s <= floors[at][:, None])] = -np.inf
+                i, j = best_pairs(s, how.given)
+                made.append((member[i], member[j], s[i, j]))
+                n += len(i)
+                if n > 1 << 20:
+                    yield best_by_node(*(np.concatenate(x) for x in zip(*made, strict=True)), how.degree)
+                    made, n = [], 0
+        if n:
+            yield best_by_node(*(np.concatenate(x) for x in zip(*made, strict=True)), how.degree)
+
+    return by_place(meeting.select(bucket("node").alias("place"), "ids", "fresh"), vectors, f, OFFER)
+
+
+def build_graph(nodes: DataFrame, centre: np.ndarray, depth: int, how: Settings = USUAL) -> DataFrame:
+    """The lists of a saved table of numbered nodes, saved; those of earlier rounds are deleted."""
+    offers = first_offers(nodes, centre, depth, 0, how)
+    for tree in range(1, how.trees):
+        offers = offers.unionByName(first_offers(nodes, centre, depth, tree, how))
+    nothing = F.lit(b"")
+    lists = saved(merged(nodes.select("node", nothing.alias("ids"), nothing.alias("sims"), nothing.alias("fresh")), offers, how))
+    entries = nodes.count() * how.degree
+    for _ in range(how.rounds):
+        around = saved(adjacent(lists, how))
+        new = saved(merged(lists, compared(around, nodes, lists, how), how))
+        dropped(around)
+        dropped(lists)
+        lists = new
+        release(lists.sparkSession)
+        changed = lists.agg(F.sum(F.length(F.regexp_replace(F.hex("fresh"), "00", "")))).first()[0] or 0
+        if changed / 2 < how.change * entries:
+            break
+    return lists
+
+
+# Search. A query's pool is held as blobs of numbers, similarities, and whether each is still to be expanded.
+
+STATE = "place long, node long, vec binary, ids binary, sims binary, open binary"
+
+
+def hop(state: DataFrame, around: DataFrame, vectors: DataFrame, how: Settings) -> DataFrame:
     """Expands each query's best open nodes and merges what is found there into its pool."""
 
     def frontier(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            q, to = [], []
-            for node, ids, open_ in zip(b["node"].to_pylist(), b["ids"].to_pylist(), b["open"].to_pylist(), strict=True):
-                best_open = np.frombuffer(ids, np.int64)[np.frombuffer(open_, bool)][:WIDTH].tolist()
-                q += [node] * len(best_open)
-                to += best_open
-            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(to, pa.int64())], names=["query", "node"])
-
-    def expand(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            lists = [np.frombuffer(x, np.int64) for x in b["others"].to_pylist()]
-            if lists:
-                row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-                yield pa.RecordBatch.from_arrays([pa.array(b["query"].to_numpy()[row]), pa.array(np.concatenate(lists))], names=["query", "node"])
-
-    reached = state.mapInArrow(frontier, "query long, node long").join(adjacent, "node").select("query", "others").mapInArrow(expand, "query long, node long").distinct()
-    met = reached.join(vectors, "node").select(F.col("query").alias("node"), F.col("node").alias("other"), F.col("vec").alias("other_vec"))
-    both = state.select("*", F.lit(None).cast("long").alias("other"), F.lit(None).cast("binary").alias("other_vec")).unionByName(
-        met.select("node", *[F.lit(None).cast("binary").alias(c) for c in ("vec", "ids", "sims", "open")], "other", "other_vec")
-    )
-
-    def f(t: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
-        own, other = t["other"].is_null().to_numpy(), t["other"].fill_null(0).to_numpy()
-        node, vecs, out = t["node"].to_numpy(), t["other_vec"], []
-        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), t.num_rows], strict=True):
-            at = a + int(own[a:b].argmax())
-            old, old_sims, old_open = (np.frombuffer(t[c][at].as_py(), k) for c, k in (("ids", np.int64), ("sims", np.float32), ("open", bool)))
+            place, q, to = [], [], []
+            for p, node, ids, open_ in zip(*(b[c].to_pylist() for c in ("place", "node", "ids", "open")), strict=True):
+                best = np.frombuffer(ids, np.int64)[np.frombuffer(open_, bool)][: how.width].tolist()
+                place += [p] * len(best)
+                q += [node] * len(best)
+                to += best
+            yield pa.RecordBatch.from_arrays([pa.array(place, pa.int64()), pa.array(q, pa.int64()), pa.array(to, pa.int64())], names=["place", "query", "node"])
+
+    reached = saved(state.mapInArrow(frontier, "place long, query long, node long").join(around.select("node", "ids"), "node").select("place", "query", "ids"))
+    wanted = asked_for(reached, "place").join(vectors, "node").select("place", "node", "vec")
+    empty = F.lit(None).cast("binary")
+    rows = state.withColumn("found", empty).unionByName(reached.select("place", F.col("query").alias("node"), *[empty.alias(c) for c in ("vec", "ids", "sims", "open")], F.col("ids").alias("found")))
+
+    def f(known: np.ndarray, packed_: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pools: dict[int, tuple] = {}
+        found: dict[int, list[np.ndarray]] = {}
+        place = None
+        for batch in batches:
+            place = batch["place"][0].as_py()
+            for node, vec, ids, sims, open_, more in zip(*(batch[c].to_pylist() for c in ("node", "vec", "ids", "sims", "open", "found")), strict=True):
+                if more is None:
+                    pools[node] = vec, np.frombuffer(ids, np.int64), np.frombuffer(sims, np.float32), np.frombuffer(open_, bool).copy()
+                else:
+                    found.setdefault(node, []).append(np.frombuffer(more, np.int64))
+        out = []
+        for node, (vec, ids, sims, open_) in pools.items():
             # What was open and among the best has been expanded now.
-            now_open = old_open.copy()
-            now_open[np.flatnonzero(old_open)[:WIDTH]] = False
-            keep = np.flatnonzero(~own[a:b]) + a
-            ids, sims, opens = old, old_sims, now_open
-            if len(keep):
-                q = np.frombuffer(t["vec"][at].as_py(), np.float16).astype(np.float32)
-                m = matrix(vecs.take(pa.array(keep)).combine_chunks(), np.float16).astype(np.float32)
-                ids, sims, opens = np.concatenate([old, other[keep]]), np.concatenate([old_sims, m @ q]), np.concatenate([now_open, np.ones(len(keep), bool)])
-            _, firsts = np.unique(ids, return_index=True)
-            order = firsts[np.lexsort((ids[firsts], -sims[firsts]))][:POOL]
-            out.append((int(node[a]), t["vec"][at].as_py(), ids[order].tobytes(), sims[order].tobytes(), opens[order].tobytes()))
-        kinds = (pa.int64(), *[pa.binary()] * 4)
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["node", "vec", "ids", "sims", "open"])
-
-    return both.repartition("node").sortWithinPartitions("node").mapInArrow(lambda batches: grouped(batches, "node", f), STATE)
-
-
-def search(graph: DataFrame, wanted: DataFrame, hops: int = HOPS) -> DataFrame:
-    """Pools of the wanted nodes, which are some of the graph's; a walk starts at the node itself."""
-    adjacent, vectors = saved(links(graph)), graph.select("node", "vec")
+            open_[np.flatnonzero(open_)[: how.width]] = False
+            new = np.setdiff1d(np.concatenate(found[node]), ids) if node in found else ids[:0]
+            if len(new):
+                q = unpacked(np.frombuffer(vec, np.uint8)[None])[0]
+                s = unpacked(packed_[np.searchsorted(known, new)]) @ q
+                ids, sims, open_ = np.concatenate([ids, new]), np.concatenate([sims, s]), np.concatenate([open_, np.ones(len(new), bool)])
+            order = np.lexsort((ids, -sims))[: how.pool]
+            out.append((place, node, vec, ids[order].tobytes(), sims[order].tobytes(), open_[order].tobytes()))
+        kinds = (pa.int64(), pa.int64(), *[pa.binary()] * 4)
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["place", "node", "vec", "ids", "sims", "open"])
+
+    out = saved(by_place(rows, wanted, f, STATE))
+    dropped(reached)
+    return out
+
+
+def search(lists: DataFrame, nodes: DataFrame, wanted: DataFrame, how: Settings = USUAL) -> DataFrame:
+    """Pools of the wanted nodes; a walk starts at the node itself. Queries that are numbered one after the other share a place."""
+    around, vectors = saved(adjacent(lists, how)), nodes.select("node", "vec")
 
     def start(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, yes = np.ones(1, np.float32).tobytes(), np.ones(1, bool).tobytes()
         for b in batches:
             n = b.num_rows
             if n:
-                yield pa.RecordBatch.from_arrays([b["node"], b["vec"], binary(b["node"].to_numpy()[:, None]), pa.array([one] * n, pa.binary()), pa.array([yes] * n, pa.binary())], names=["node", "vec", "ids", "sims", "open"])
-
-    state = saved(vectors.join(wanted.select("node").distinct(), "node", "left_semi").mapInArrow(start, STATE))
-    for _ in range(hops):
-        new = saved(hop(state, adjacent, vectors))
+                yield pa.RecordBatch.from_arrays([b["place"], b["node"], b["vec"], binary(b["node"].to_numpy()[:, None]), pa.array([one] * n, pa.binary()), pa.array([yes] * n, pa.binary())], names=["place", "node", "vec", "ids", "sims", "open"])
+
+    asked = saved(wanted.select("node").distinct())
+    places = max(1, -(-asked.count() // how.queries))
+    placed = vectors.join(asked, "node", "left_semi").select(F.pmod(F.xxhash64(F.shiftright("node", LOW)), F.lit(places)).alias("place"), "node", "vec")
+    state = saved(placed.mapInArrow(start, STATE))
+    dropped(asked)
+    for _ in range(how.hops):
+        new = hop(state, around, vectors, how)
         dropped(state)
         state = new
-        release(graph.sparkSession)
+        release(lists.sparkSession)
+    dropped(around)
     return state
 
 
-def nearest(df: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return (x * y).sum(-1) / (np.sqrt((x * x).sum(-1)) * np.sqrt((y * y).sum(-1)))
+
+
+def nearest(df: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding", how: Settings = USUAL, exhaustive: bool = False) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found for each row for which ``is_query(vec_id column)`` holds."""
-    nodes = saved(nodes_of(df, vec_id, embedding, k + 1))
-    keyed = df.select(F.col(vec_id).cast("long").alias("query_id"), F.xxhash64(F.col(embedding).cast("array<double>")).alias("node")).where(is_query(F.col("query_id")))
-    asked = saved(keyed.distinct().join(nodes.select("node"), "node", "left_semi"))
-    graph = build_graph(nodes)
-    pools = search(graph, asked)
+    distinct = nodes_of(df, vec_id, embedding, k + 1)
+    if exhaustive:
+        nodes = saved(distinct.select(F.monotonically_increasing_id().alias("node"), "embedding", "members"))
+    else:
+        nodes, centre, depth = numbered(distinct, how)
+    keyed = df.select(F.col(vec_id).cast("long").alias("query_id"), F.col(embedding).cast("array<double>").alias("embedding")).where(is_query(F.col("query_id"))).distinct()
+    asked = saved(keyed.join(nodes.select("node", "embedding"), "embedding").select("query_id", "node"))
+    if exhaustive:
+        scored = compared_with_all(nodes, asked, k)
+    else:
+        lists = build_graph(nodes, centre, depth, how)
+        pools = search(lists, nodes, asked, how)
+        dropped(lists)
+        scored = ranked_heads(pools, nodes, how)
+    # A node's best k + 1 serve each of its rows, which leave themselves out.
+    item = F.transform("members", lambda m: F.struct((-F.col("score")).alias("far"), m.alias("vec_id")))
+    tops = scored.groupBy("query").agg(F.slice(F.array_sort(F.flatten(F.collect_list(item))), 1, k + 1).alias("top"))
+    mine = asked.join(tops, asked["node"] == tops["query"]).select("query_id", F.slice(F.filter("top", lambda x: x["vec_id"] != F.col("query_id")), 1, k).alias("top"))
+    rows = mine.select("query_id", F.posexplode("top").alias("at", "x"))
+    return rows.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.far")).alias("score"))
+
+
+def ranked_heads(pools: DataFrame, nodes: DataFrame, how: Settings) -> DataFrame:
+    """(query, members, score) of the pools' heads, in double precision on the original vectors."""
 
     def heads(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = [np.frombuffer(x, np.int64)[:EXACT] for x in b["ids"].to_pylist()]
+            ids = [np.frombuffer(x, np.int64)[: how.exact] for x in b["ids"].to_pylist()]
             if ids:
                 row = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
                 yield pa.RecordBatch.from_arrays([pa.array(b["node"].to_numpy()[row]), pa.array(np.concatenate(ids))], names=["query", "node"])
 
     found = pools.select("node", "ids").mapInArrow(heads, "query long, node long").join(nodes, "node")
-    asking = nodes.select(F.col("node").alias("query"), F.col("embedding").alias("own"))
-    pairs = found.join(asking, "query").select("query", "own", "embedding", "members")
+    pairs = found.join(nodes.select(F.col("node").alias("query"), F.col("embedding").alias("own")), "query").select("query", "own", "embedding", "members")
 
     def exact(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches, 4096):
             if b.num_rows:
-                x, y = np.array(b["own"].to_pylist(), np.float64), np.array(b["embedding"].to_pylist(), np.float64)
-                score = (x * y).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum(1)))
+                score = cosines(np.array(b["own"].to_pylist(), np.float64), np.array(b["embedding"].to_pylist(), np.float64))
                 yield pa.RecordBatch.from_arrays([b["query"], b["members"], pa.array(score)], names=["query", "members", "score"])
 
-    scored = pairs.mapInArrow(exact, "query long, members array<long>, score double")
-    # A node's best k + 1 serve each of its rows, which leave themselves out.
-    item = F.transform("members", lambda m: F.struct((-F.col("score")).alias("far"), m.alias("vec_id")))
-    tops = scored.groupBy("query").agg(F.slice(F.array_sort(F.flatten(F.collect_list(item))), 1, k + 1).alias("top"))
-    mine = asked.join(tops, asked["node"] == tops["query"]).select("query_id", F.slice(F.filter("top", lambda x: x["vec_id"] != F.col("query_id")), 1, k).alias("top"))
-    rows = mine.select("query_id", F.posexplode("top").alias("at", "x"))
-    return rows.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.far")).alias("score"))
+    return pairs.mapInArrow(exact, "query long, members array<long>, score double")
+
+
+def compared_with_all(nodes: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """(query, members, score) of each query node's k + 1 nearest nodes in every part of the table: queries in blocks of bounded size."""
+    queries = saved(asked.select("node").distinct().join(nodes, "node").select("node", "embedding", F.monotonically_increasing_id().alias("i")))
+    blocks = max(1, -(-queries.count() // BLOCK))
+    out = None
+    for n in range(blocks):
+        part = queries.where(F.pmod(F.xxhash64("node"), F.lit(blocks)) == n).select("node", "embedding").collect()
+        ids, own = np.array([r["node"] for r in part], np.int64), np.array([r["embedding"] for r in part], np.float64)
+
+        def run(batches: Iterable[pa.RecordBatch], ids=ids, own=own) -> Iterator[pa.RecordBatch]:
+            for b in pieces(batches, 2048):
+                if b.num_rows and len(ids):
+                    e = np.array(b["embedding"].to_pylist(), np.float64)
+                    rough = (own / np.linalg.norm(own, axis=1, keepdims=True)) @ (e / np.linalg.norm(e, axis=1, keepdims=True)).T
+                    # What rounding may put in the wrong order is kept as well.
+                    cut = np.partition(rough, -min(k + 1, rough.shape[1]), axis=1)[:, -min(k + 1, rough.shape[1])]
+                    i, j = np.nonzero(rough >= cut[:, None] - 1e-9)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[i]), b["members"].take(pa.array(j)), pa.array(cosines(own[i], e[j]))], names=["query", "members", "score"])
+
+        found = nodes.select("embedding", "members").mapInArrow(run, "query long, members array<long>, score double")
+        out = found if out is None else out.unionByName(found)
+    return out
