@@ -8,12 +8,21 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
 #: Rows are handed to Python in pieces of at most this many, so that a batch of very long texts stays small.
 ROWS = 256
+#: Spark's batches: a row's columns are held a few times on their way to Python and back, so smaller ones than usual do.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8m")}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches, unless someone has set them."""
+    for name, (usual, ours) in BATCHES.items():
+        if spark.conf.get(name, usual) == usual:
+            spark.conf.set(name, ours)
 
 
 def pieces(batches: Iterable[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
@@ -28,6 +37,7 @@ def map_columns(df: DataFrame, used: list[str], made: StructType, f: Callable[..
     With ``arrow_out``, it gets Arrow arrays and returns one for each made column. A made column replaces one of the
     same name, whatever its case.
     """
+    small_batches(df.sparkSession)
     taken = {x.name.lower() for x in made.fields}
     kept = [x for x in df.schema.fields if x.name.lower() not in taken]
     extra = [x for x in used if x.lower() in taken]

@@ -38,7 +38,7 @@ from .arrow import quoted
 Turn = tuple[str, str]
 Template = Callable[[list[Turn]], str]
 #: Conversations of up to so many turns are rendered by whole prefixes only.
-WHOLE = 128
+WHOLE = 256
 TRAINED = ("assistant",)
 
 

@@ -38,7 +38,7 @@ from pyspark.sql.types import BinaryType
 from .arrow import fields, grouped, map_columns, pieces
 from .components import components
 from .simhash import FREE, LENGTH, THRESHOLD, homes, remainder, shingle_hashes, visits
-from .store import dropped, saved
+from .store import dropped, saved, temporary
 
 SHINGLE, SIMILARITY = 5, 0.8
 WORDS, TABLES = 12, 16
@@ -424,32 +424,33 @@ def duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size
         sets = [shingle_set(x, size) for x in texts]
         return [(sketch(h), xxhash.xxh3_128_digest(h.tobytes()), h.tobytes() if 0 < len(h) <= most else None) for h in sets]
 
-    marked = saved(map_columns(rows, ["text"], fields(sketch=BinaryType(), digest=BinaryType(), few=BinaryType()), marks).drop("text"))
-    firsts = saved(marked.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("sketch").alias("sketch"), F.first("few").alias("few")))
     check = differing(similarity, CHECK_BITS, DEVIATIONS)
     likely, possible = (check, differing(similarity, BITS)), (check, differing(similarity, BITS, MARGIN))
-    homely, crowd = split_crowds(saved(at_home(firsts)))
-    found = linked(partnered(homely, likely), firsts, likely)
-    if crowd is not None:
-        found = found.unionByName(crowd_links(crowd.select("anchor", "id", "chunks"), firsts, likely))
-    links = confirmed(found, rows, size, similarity).unionByName(few_links(firsts.where("few is not null").select("id", "few"), similarity))
-    labelled, stars = label(firsts, links)
-    met = saved(meetings(labelled, occupied(firsts), threshold))
-    some, crowd = split_crowds(met)
-    near = crossing(some, possible)
-    if crowd is not None:
-        near = near.unionByName(crowd.select("anchor", "id", "home"))
-    near = saved(near)
-    dropped(met)
-    links = confirmed(crossed(near, labelled, possible), rows, size, similarity)
-    labelled, _ = label(firsts, stars.unionByName(links))
-    roots = labelled.join(firsts.select("id", "digest"), "id").select("digest", F.col("root").alias("component_id"))
-    return marked.select("doc_id", "digest").join(roots, "digest").where("doc_id <> component_id").select("doc_id", "component_id").distinct()
+    with temporary() as keep:
+        marked = saved(map_columns(rows, ["text"], fields(sketch=BinaryType(), digest=BinaryType(), few=BinaryType()), marks).drop("text"))
+        firsts = saved(marked.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("sketch").alias("sketch"), F.first("few").alias("few")))
+        homely, crowd = split_crowds(saved(at_home(firsts)))
+        found = linked(partnered(homely, likely), firsts, likely)
+        if crowd is not None:
+            found = found.unionByName(crowd_links(crowd.select("anchor", "id", "chunks"), firsts, likely))
+        links = confirmed(found, rows, size, similarity).unionByName(few_links(firsts.where("few is not null").select("id", "few"), similarity))
+        labelled, stars = label(firsts, links)
+        met = saved(meetings(labelled, occupied(firsts), threshold))
+        some, crowd = split_crowds(met)
+        near = crossing(some, possible)
+        if crowd is not None:
+            near = near.unionByName(crowd.select("anchor", "id", "home"))
+        near = saved(near)
+        dropped(met)
+        links = confirmed(crossed(near, labelled, possible), rows, size, similarity)
+        labelled, _ = label(firsts, stars.unionByName(links))
+        roots = labelled.join(firsts.select("id", "digest"), "id").select("digest", F.col("root").alias("component_id"))
+        return keep(saved(marked.select("doc_id", "digest").join(roots, "digest").where("doc_id <> component_id").select("doc_id", "component_id").distinct()))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """The documents without those of ``duplicates``; of rows that repeat a doc_id and text, one stays."""
-    gone = saved(duplicates(docs, doc_id, text, size, similarity).select(F.col("doc_id").alias("__gone")))
+    gone = duplicates(docs, doc_id, text, size, similarity).select(F.col("doc_id").alias("__gone"))
     left = docs.join(gone, docs[doc_id] == gone["__gone"], "left_anti")
     repeated = saved(docs.groupBy(doc_id).count().where(f"count > 1 and `{doc_id}` is not null").select(F.col(doc_id).alias("__twice")))
     if repeated.isEmpty():

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import grouped, pieces
-from .store import dropped, release, saved
+from .store import dropped, release, saved, temporary
 
 
 @dataclass(frozen=True)
@@ -517,20 +517,19 @@ def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def nearest(df: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding", how: Settings = USUAL, exhaustive: bool = False) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found for each row for which ``is_query(vec_id column)`` holds."""
-    distinct = nodes_of(df, vec_id, embedding, k + 1)
-    if exhaustive:
-        nodes = saved(distinct.select(F.monotonically_increasing_id().alias("node"), "embedding", "members"))
-    else:
-        nodes, centre, depth = numbered(distinct, how)
-    keyed = df.select(F.col(vec_id).cast("long").alias("query_id"), F.col(embedding).cast("array<double>").alias("embedding")).where(is_query(F.col("query_id"))).distinct()
-    asked = saved(keyed.join(nodes.select("node", "embedding"), "embedding").select("query_id", "node"))
-    if exhaustive:
-        scored = compared_with_all(nodes, asked, k)
-    else:
-        lists = build_graph(nodes, centre, depth, how)
-        pools = search(lists, nodes, asked, how)
-        dropped(lists)
-        scored = ranked_heads(pools, nodes, how)
+    with temporary() as keep:
+        distinct = nodes_of(df, vec_id, embedding, k + 1)
+        if exhaustive:
+            nodes = keep(saved(distinct.select(F.monotonically_increasing_id().alias("node"), "embedding", "members")))
+        else:
+            nodes, centre, depth = numbered(distinct, how)
+            keep(nodes)
+        keyed = df.select(F.col(vec_id).cast("long").alias("query_id"), F.col(embedding).cast("array<double>").alias("embedding")).where(is_query(F.col("query_id"))).distinct()
+        asked = keep(saved(keyed.join(nodes.select("node", "embedding"), "embedding").select("query_id", "node")))
+        if exhaustive:
+            scored = compared_with_all(nodes, asked, k)
+        else:
+            scored = ranked_heads(keep(search(build_graph(nodes, centre, depth, how), nodes, asked, how)), nodes, how)
     # A node's best k + 1 serve each of its rows, which leave themselves out.
     item = F.transform("members", lambda m: F.struct((-F.col("score")).alias("far"), m.alias("vec_id")))
     tops = scored.groupBy("query").agg(F.slice(F.array_sort(F.flatten(F.collect_list(item))), 1, k + 1).alias("top"))

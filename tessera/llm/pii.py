@@ -542,6 +542,8 @@ def sentence(rng: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
         (lambda: f"{rng.randint(10, 23)}:{rng.randint(10, 59)}:{rng.randint(10, 59)}", "date"),
         (lambda: f"{number(3)}-{rng.randint(0, 9)}-{number(3)}-{number(5)}-{rng.randint(0, 9)}", "ref"),
         (lambda: " ".join(number(rng.randint(1, 5)) for _ in range(rng.randint(2, 6))), "page"),
+        (lambda: rng.choice((" ", " ", ".", "-", "/")).join(number(rng.randint(1, 2)) for _ in range(rng.randint(6, 20))), "page"),
+        (lambda: rng.choice((" ", "-", " (")).join(number(rng.choice((1, 2, 3, 5, 6, 8))) for _ in range(rng.randint(3, 9))), "total"),
         (lambda: f"{number(rng.randint(7, 12))}", "ref"),
         (lambda: f"{number(2)}{rng.choice('%$#')}", "price"),
     )

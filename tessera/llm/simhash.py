@@ -36,7 +36,7 @@ from pyspark.sql.types import LongType
 
 from .arrow import fields, map_columns
 from .components import components
-from .store import dropped, saved
+from .store import saved, temporary
 
 SHINGLE, SEED, THRESHOLD = 3, 42, 2
 #: Shingles whose bits are counted together.
@@ -247,13 +247,12 @@ def links(prints: DataFrame, threshold: int = THRESHOLD, many: int = MANY) -> Da
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """(doc_id, fingerprint as 16 hex digits, component_id): the smallest doc_id that links lead to."""
-    marked = saved(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", size=size).drop("text"))
-    firsts = saved(marked.groupBy("fingerprint").agg(F.min("doc_id").alias("first")))
-    stars = components(links(firsts.select("fingerprint"), threshold))
-    # A fingerprint without links is a component of its own.
-    rooted = saved(firsts.join(stars, firsts["fingerprint"] == stars["a"], "left").select("fingerprint", "first", F.coalesce("b", "fingerprint").alias("root")))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    roots = saved(rooted.join(least, "root").select("fingerprint", "component_id"))
-    for x in (firsts, stars, rooted):
-        dropped(x)
+    with temporary() as keep:
+        marked = keep(saved(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", size=size).drop("text")))
+        firsts = saved(marked.groupBy("fingerprint").agg(F.min("doc_id").alias("first")))
+        stars = components(links(firsts.select("fingerprint"), threshold))
+        # A fingerprint without links is a component of its own.
+        rooted = saved(firsts.join(stars, firsts["fingerprint"] == stars["a"], "left").select("fingerprint", "first", F.coalesce("b", "fingerprint").alias("root")))
+        least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+        roots = keep(saved(rooted.join(least, "root").select("fingerprint", "component_id")))
     return marked.join(roots, "fingerprint").select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")

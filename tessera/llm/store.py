@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -22,22 +25,61 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: The tables that are there, by path, and those that ``temporary`` blocks have made.
+_there: dict[str, DataFrame] = {}
+_blocks: list[list[DataFrame]] = []
+
+
 def saved(df: DataFrame) -> DataFrame:
-    """Writes a table and reads it back: what follows doesn't depend on executors that made it."""
+    """Writes a table and reads it back: what follows doesn't depend on executors that made it.
+
+    It stays until it is dropped, or until the program ends.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._saved_path = path
+    _there[path] = out
+    for block in _blocks:
+        block.append(out)
     return out
 
 
 def dropped(df: DataFrame) -> None:
-    """Deletes a table made by ``saved`` once nothing reads it any more."""
+    """Deletes a table made by ``saved`` once nothing reads it any more; one that is gone already is none."""
     spark, path = df.sparkSession, df._saved_path
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+    if _there.pop(path, None) is not None:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+
+
+@contextmanager
+def temporary() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Drops what was saved within the block, but for the tables that the given function was called with."""
+    made: list[DataFrame] = []
+    kept: set[str] = set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df._saved_path)
+        return df
+
+    _blocks.append(made)
+    try:
+        yield keep
+    finally:
+        _blocks.remove(made)
+        for df in made:
+            if df._saved_path not in kept:
+                dropped(df)
+
+
+@atexit.register
+def clean() -> None:
+    """Drops all that is left when the program ends, if its session is still there."""
+    for df in list(_there.values()):
+        with suppress(Exception):
+            dropped(df)
 
 
 def release(spark: SparkSession) -> None:

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
 from .arrow import fields, map_columns, pieces
-from .store import dropped, saved
+from .store import dropped, saved, temporary
 
 LENGTH, GRAM = 200, 32
 #: Places in a string where a gram fits.
@@ -359,19 +359,18 @@ SPANS = ArrayType(StructType([StructField("start", IntegerType()), StructField("
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_bytes, removed, kept): the byte spans that repeats cover, and the bytes that remain."""
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
-    blocks = saved(all_blocks(docs))
-    # Anchors that begin alike anywhere else; counted in part before the shuffle. Written first, so that the join
-    # deals out both sides anew and Spark can split a hot anchor's rows.
-    shared = saved(blocks.groupBy("h").count().where("count > 1").select("h"))
-    met = saved(blocks.join(shared, "h"))
-    dropped(blocks)
-    dropped(shared)
-    kinds = saved(met.groupBy("h", "bh").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "place")).alias("first")))
-    hot = saved(kinds.groupBy("h").count().where(F.col("count") > HOT).select("h", F.lit(True).alias("hot")))
-    marked = kinds.join(hot, "h", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    covered = saved(sorted_groups(with_contents(docs, marked)))
-    dropped(kinds)
-    dropped(hot)
+    with temporary() as keep:
+        blocks = saved(all_blocks(docs))
+        # Anchors that begin alike anywhere else; counted in part before the shuffle. Written first, so that the join
+        # deals out both sides anew and Spark can split a hot anchor's rows.
+        shared = saved(blocks.groupBy("h").count().where("count > 1").select("h"))
+        met = keep(saved(blocks.join(shared, "h")))
+        dropped(blocks)
+        dropped(shared)
+        kinds = saved(met.groupBy("h", "bh").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "place")).alias("first")))
+        hot = saved(kinds.groupBy("h").count().where(F.col("count") > HOT).select("h", F.lit(True).alias("hot")))
+        marked = kinds.join(hot, "h", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+        covered = keep(saved(sorted_groups(with_contents(docs, marked))))
 
     def expand(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches, 8192):

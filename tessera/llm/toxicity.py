@@ -43,7 +43,7 @@ CHAR_STATE, STATE, ATTENTION = 12, 12, 12
 #: Words with a vector of their own, at most, and the documents that one must be in.
 VOCABULARY, SEEN = 20_000, 4
 #: Words whose projections a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 100_000
+REMEMBERED = 60_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -268,7 +268,8 @@ class Scorer:
             fresh = list({x for words in texts for x in words})
         need = len(self.at) + len(fresh)
         if need > len(self.tables[0]):
-            self.tables = [np.concatenate([x[: len(self.at)], np.zeros((2 * need - len(self.at), 3 * STATE), np.float32)]) for x in self.tables]
+            rows = max(need, min(2 * need, REMEMBERED)) - len(self.at)
+            self.tables = [np.concatenate([x[: len(self.at)], np.zeros((rows, 3 * STATE), np.float32)]) for x in self.tables]
         fresh.sort(key=len)
         for i in range(0, len(fresh), 4096):
             part = fresh[i : i + 4096]

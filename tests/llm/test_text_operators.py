@@ -40,6 +40,15 @@ def test_bpe_is_tiktokens(spark, clashing):
     assert bpe.decode(bpe.encode(frame(spark, []), PATH, public_tokenizers.PATTERN), PATH).count() == 0
 
 
+def test_pieces_decode_as_the_ranks_do():
+    """The model's pieces, mapped back to bytes, are the rank list: for every id."""
+    encoder, decoder = bpe.Encoder(PATH, public_tokenizers.PATTERN), bpe.Decoder(PATH)
+    back = {c: b for b, c in enumerate(bpe.ALPHABET)}
+    n = len(decoder.vocabulary)
+    assert encoder.model.get_piece_size() == n + 1
+    assert [bytes(back[c] for c in encoder.model.id_to_piece(i)) for i in range(n)] == decoder.vocabulary
+
+
 def test_bpe_memory_is_bounded(monkeypatch):
     monkeypatch.setattr(bpe, "REMEMBERED", 50)
     encoder = bpe.Encoder(PATH, public_tokenizers.PATTERN)
