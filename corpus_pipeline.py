@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, decontaminate, neardup, secrets, toxicity
-from tessera.llm.store import saved
+from tessera.llm.store import dropped, saved
 
 #: No SQL: a network, a similarity search and a tokenizer can't be put in SQL. Tests compare with brute force.
 ORACLE_SQL = None
@@ -19,8 +19,10 @@ ORACLE_SQL = None
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored 0.5 or more go."""
-    net = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, net, out="__score").where("__score < 0.5").drop("__score")
+    net, own = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), "score"
+    while own in map(str.lower, docs.columns):
+        own += "_"
+    return toxicity.score(docs, net, out=own).where(F.col(own) < 0.5).drop(own)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +61,10 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES[:-1]:
         docs = saved(stage(spark, docs, sf_dir))
+        if before is not None:
+            dropped(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
