@@ -51,6 +51,8 @@ MARGIN = 3
 FEW = 24
 #: Meetings of more than so many are split into chunks of about so many.
 CROWD = 20_000
+#: Pairs of one document that are confirmed in one place.
+CELL = 128
 #: One bit for each table and anchor, folded into this many.
 MAP_BITS = 1 << 28
 
@@ -76,7 +78,7 @@ def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     n, m = len(a), len(b)
     if min(n, m) < similarity * max(n, m) - 1e-9:
         return False
-    both = n + m - len(np.union1d(a, b))
+    both = len(np.intersect1d(a, b, assume_unique=True))
     return both >= similarity * (n + m - both) - 1e-9
 
 
@@ -335,24 +337,40 @@ def crossed(found: DataFrame, labelled: DataFrame, most: tuple[int, int]) -> Dat
 
 
 def confirmed(pairs: DataFrame, rows: DataFrame, size: int, similarity: float) -> DataFrame:
-    """(a, b): the proposed pairs whose shingle sets have the similarity, by the texts themselves."""
+    """(a, b): the proposed pairs whose shingle sets have the similarity, by these sets themselves.
+
+    The pairs of one ``a`` meet in cells of about ``CELL``, to each of which its set is sent once, so that neither a
+    document with very many partners nor a long text fills a task.
+    """
     pairs = saved(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
     needed = saved(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
-    texts = saved(rows.join(needed, "doc_id", "left_semi").distinct())
-    one, other = (texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
+    # A text's set is made once, however many pairs it is in.
+    made = map_columns(rows.join(needed, "doc_id", "left_semi").distinct(), ["text"], fields(h=BinaryType()), lambda _, texts: [(shingle_set(x, size).tobytes(),) for x in texts])
+    texts = saved(made.select("doc_id", "h"))
+    cells = saved(pairs.groupBy("a").agg(F.ceil(F.count("*") / CELL).alias("cells")))
+    celled = saved(pairs.join(cells, "a").select(F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("cells"))).alias("cell"), "a", "b"))
+    heads = celled.select("cell", "a").distinct().join(texts.withColumnRenamed("doc_id", "a"), "a").select("cell", "a", F.lit(None).cast("long").alias("b"), "h")
+    members = celled.join(texts.withColumnRenamed("doc_id", "b"), "b").select("cell", "a", "b", "h")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, np.zeros(0, np.uint64)
+        now, held = None, {}
         for batch in batches:
-            good = []
+            found = []
             for part in pieces([batch]):
-                for x, y in zip(part["text_a"].to_pylist(), part["text_b"].to_pylist(), strict=True):
-                    if x != last:
-                        last, held = x, shingle_set(x, size)
-                    good.append(alike(held, shingle_set(y, size), similarity))
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    return saved(pairs.join(other, "b").join(one, "a").mapInArrow(run, "a long, b long"))
+                for cell, x, y, data in zip(*(part[c].to_pylist() for c in ("cell", "a", "b", "h")), strict=True):
+                    if cell != now:
+                        now, held = cell, {}
+                    h = np.frombuffer(data, np.uint64)
+                    if y is None:
+                        held.setdefault(x, []).append(h)  # several, where rows share a doc_id
+                    elif any(alike(one, h, similarity) for one in held[x]):
+                        found.append((x, y))
+            k = np.array(found, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(k[:, 0]), pa.array(k[:, 1])], names=["a", "b"])
+
+    # Heads have no b and come first.
+    dealt = heads.unionByName(members).repartition("cell").sortWithinPartitions("cell", F.asc_nulls_first("b"))
+    return saved(dealt.mapInArrow(run, "a long, b long"))
 
 
 def few_links(few: DataFrame, similarity: float) -> DataFrame:

@@ -487,7 +487,7 @@ def hop(state: DataFrame, around: DataFrame, vectors: DataFrame, how: Settings)
 
 
 def search(lists: DataFrame, nodes: DataFrame, wanted: DataFrame, how: Settings = USUAL) -> DataFrame:
-    """Pools of the wanted nodes; a walk starts at the node itself. Queries that are numbered one after the other share a place."""
+    """Pools of the wanted nodes; a walk starts at the node itself. Queries whose numbers lie within a run of 512 share a place, of a bounded size."""
     around, vectors = saved(adjacent(lists, how)), nodes.select("node", "vec")
 
     def start(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -499,7 +499,7 @@ def search(lists: DataFrame, nodes: DataFrame, wanted: DataFrame, how: Settings
 
     asked = saved(wanted.select("node").distinct())
     places = max(1, -(-asked.count() // how.queries))
-    placed = vectors.join(asked, "node", "left_semi").select(F.pmod(F.xxhash64(F.shiftright("node", LOW)), F.lit(places)).alias("place"), "node", "vec")
+    placed = vectors.join(asked, "node", "left_semi").select(F.pmod(F.xxhash64(F.shiftright("node", 9)), F.lit(places)).alias("place"), "node", "vec")
     state = saved(placed.mapInArrow(start, STATE))
     dropped(asked)
     for _ in range(how.hops):
