@@ -344,13 +344,14 @@ def test_neighbours(spark):
     for q, found in whole.items():
         s = d @ d[q] / (norm * norm[q])
         assert [s[v] for _, v in sorted(found)] == pytest.approx(sorted((s[i] for i in range(900) if i != q), reverse=True)[:5])
+    small = neighbours.Settings(trees=1, rounds=1, hops=2)
     # Equally near ones come by their ids.
     tied = spark.createDataFrame([(0, [1.0, 0.0, 0.0]), (9, [1.0, 1.0, 0.0]), (7, [1.0, -1.0, 0.0]), (8, [1.0, 0.0, 1.0]), (3, [2.0, 0.0, 0.0])], "vec_id long, embedding array<float>")
     for exhaustive in (False, True):
-        assert sorted((r["rank"], r["vec_id"]) for r in neighbours.nearest(tied, lambda v: v == 0, 4, exhaustive=exhaustive).collect()) == [(1, 3), (2, 7), (3, 8), (4, 9)]
+        assert sorted((r["rank"], r["vec_id"]) for r in neighbours.nearest(tied, lambda v: v == 0, 4, how=small, exhaustive=exhaustive).collect()) == [(1, 3), (2, 7), (3, 8), (4, 9)]
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0]), (50, [0.0, 2.0])], "vec_id long, embedding array<float>")
-    assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in neighbours.nearest(few, lambda v: v % 50 == 0).collect()) == [(0, 1, 1), (0, 2, 50), (50, 1, 1), (50, 2, 0)]
-    assert neighbours.nearest(few.where("false"), lambda v: v % 50 == 0).count() == 0
+    assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in neighbours.nearest(few, lambda v: v % 50 == 0, how=small).collect()) == [(0, 1, 1), (0, 2, 50), (50, 1, 1), (50, 2, 0)]
+    assert neighbours.nearest(few.where("false"), lambda v: v % 50 == 0, how=small).count() == 0
 
 
 # Chat.
