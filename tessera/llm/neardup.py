@@ -2,15 +2,15 @@
 
 At a Jaccard similarity of 0.8 two 64-bit SimHashes differ in about ten bits, too many for one covering code. A
 document's distinct shingles therefore give 768 bits, of which sixteen tables take 46 each. In a table the anchors
-are the code words of two Golay blocks; a document is at home at the nearest one and visits every anchor that is
-the home of a point within two steps. Pairs that differ by more than that in one table meet in another: all
-sixteen miss a pair of similarity 0.8 in about 2 % of cases, one of 0.9 in about 0.01 %.
+are the code words of two Golay blocks, and a document is at home at the nearest one.
 
 The sketches only propose links; each one is confirmed by the exact Jaccard similarity of the two shingle sets. Those at
-home at the same anchor are proposed first, a spanning forest for each meeting. Then homes and visits are looked at
-for what crosses from one component to another: over 128 bits, who comes close to another component where one of the
-two is at home; and over all 768, every such pair, with a cut three standard deviations beyond the average distance at
-the given similarity. Pairs of one component aren't listed.
+home at the same anchor are proposed first, a spanning forest for each meeting. What that misses shares one of its
+rarest shingles: of n shingles, two similar sets share one of the n - ceil(n * similarity) + 1 that come first in any
+fixed order. So sets that share such a shingle meet there, and are looked at for what crosses from one component to
+another: every such pair over the sketches, with a cut four standard deviations beyond the average distance at the
+given similarity. Pairs of one component aren't listed. A shingle that only one set has brings nobody together; so
+most documents of natural text are in no such meeting, and the work is in proportion to the input.
 
 Meetings of more than ``CROWD`` are split: chunks of bounded size are linked by themselves, then their components'
 first members, and whoever is left outside the largest component is compared with every chunk. That loses no link
@@ -33,28 +33,30 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
+from pyspark.sql.types import BinaryType, IntegerType, LongType
 
-from .arrow import fields, grouped, map_columns, pieces
+from .arrow import fields, give_back, grouped, map_columns, pieces, small_batches
 from .components import components
-from .simhash import FREE, LENGTH, THRESHOLD, homes, remainder, shingle_hashes, visits
+from .simhash import FREE, LENGTH, homes, shingle_hashes
 from .store import dropped, saved, temporary
 
 SHINGLE, SIMILARITY = 5, 0.8
 WORDS, TABLES = 12, 16
 BITS, BYTES = 64 * WORDS, 8 * WORDS
 #: Bits of the first comparison, and how many standard deviations beyond the average it lets pass.
-CHECK_BITS, DEVIATIONS = 128, 4
+CHECK_BITS, DEVIATIONS = 128, 5
 #: The same over all bits, for pairs that the exact sets decide.
-MARGIN = 3
+MARGIN = 4
 #: Sets of up to so many shingles are joined exactly with all others.
 FEW = 24
 #: Meetings of more than so many are split into chunks of about so many.
 CROWD = 20_000
 #: Pairs of one document that are confirmed in one place.
 CELL = 128
-#: One bit for each table and anchor, folded into this many.
-MAP_BITS = 1 << 28
+#: Shingles that one task counts at once, and that a task deals out at once.
+COUNTED, DEALT = 1 << 20, 1 << 20
+#: Bits of a shingle's hash that are kept beside the number of its bucket.
+KEPT_BITS = 48
 
 STEPS = np.random.default_rng(41).integers(0, 1 << 64, WORDS, np.uint64)
 #: Byte -> its bits in eight lanes of a byte each, so that lanes of up to 255 rows can be summed at once.
@@ -110,46 +112,10 @@ def anchors_at_home(bits: np.ndarray, table: int) -> np.ndarray:
     return table << 2 * FREE | homes(a) << FREE | homes(b)
 
 
-def anchors_visited(bits: np.ndarray, table: int, threshold: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(row, anchor) of all anchors that are the home of a point within the threshold, but for one's own home."""
-    a, b = table_blocks(bits, table)
-    sa, sb = remainder(a), remainder(b)
-    steps = visits(threshold)
-    for i in range(threshold + 1):
-        for j in range(threshold + 1 - i):
-            if i or j:
-                (ta, ma), (tb, mb) = steps[i], steps[j]
-                x, y = (a[:, None] ^ ta[sa]) >> LENGTH - FREE, (b[:, None] ^ tb[sb]) >> LENGTH - FREE
-                rows, p, q = np.nonzero(ma[sa][:, :, None] & mb[sb][:, None, :])
-                yield rows, table << 2 * FREE | x[rows, p] << FREE | y[rows, q]
-
-
 def bit_rows(column: pa.Array) -> np.ndarray:
     return np.unpackbits(np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BYTES), axis=1).astype(np.int64)
 
 
-def folded(anchors: np.ndarray) -> np.ndarray:
-    return (mixed(anchors.astype(np.uint64)) % np.uint64(MAP_BITS)).astype(np.int64)
-
-
-def occupied(sketches: DataFrame) -> np.ndarray:
-    """Where someone is at home: 32 MB at any size. The executors put it together in pieces of 4 KB."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                bits = bit_rows(batch["sketch"].slice(at, 2048))
-                every = np.unique(np.concatenate([folded(anchors_at_home(bits, t)) for t in range(TABLES)]))
-                yield pa.RecordBatch.from_arrays([pa.array(every + 1)], names=["p"])
-
-    places = sketches.select("sketch").mapInArrow(run, "p long")
-    pieces = places.groupBy(F.bitmap_bucket_number("p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
-    out = np.zeros(MAP_BITS // 8, np.uint8)
-    for r in pieces.toLocalIterator():
-        out[(r["k"] - 1) * 4096 : r["k"] * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    return out
-
-
 def first_bits():
     return F.substring("sketch", 1, CHECK_BITS // 8).alias("check")
 
@@ -169,30 +135,99 @@ def at_home(sketches: DataFrame) -> DataFrame:
     return sketches.select("id", "sketch", first_bits()).mapInArrow(run, "anchor long, id long, check binary")
 
 
-def meetings(labelled: DataFrame, taken: np.ndarray, threshold: int) -> DataFrame:
-    """(anchor, id, check, root, size, home): a row for everyone at home or visiting where someone is at home."""
-    held = labelled.sparkSession.sparkContext.broadcast(taken)
-    kept = ["id", "check", "root", "size"]
+def identity(h: np.ndarray) -> tuple[bytes, int]:
+    """What stands for a shingle set: a digest, and its first eight bytes."""
+    digest = xxhash.xxh3_128_digest(h.tobytes())
+    return digest, int.from_bytes(digest[:8], "little", signed=True)
+
+
+def dealt_shingles(rows: DataFrame, size: int, bits: int) -> DataFrame:
+    """(bucket, tokens, keys): the texts' distinct shingles, packed by the first ``bits`` bits of their hashes."""
+
+    def packed(sets: list[np.ndarray], keys: list[int]) -> pa.RecordBatch:
+        h, owner = np.concatenate(sets), np.repeat(np.array(keys, np.int64), [len(x) for x in sets])
+        bucket = (h >> np.uint64(64 - bits)).astype(np.uint16)
+        order = np.argsort(bucket, kind="stable")
+        bucket, owner = bucket[order], owner[order]
+        tokens = (h[order] >> np.uint64(64 - bits - KEPT_BITS)).view(np.uint8).reshape(-1, 8)[:, : KEPT_BITS // 8]
+        starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])).tolist()
+        spans = list(zip(starts, [*starts[1:], len(bucket)], strict=True))
+        made = [pa.array(bucket[starts].astype(np.int64)), pa.array([tokens[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([owner[a:b].tobytes() for a, b in spans], pa.binary())]
+        return pa.RecordBatch.from_arrays(made, names=["bucket", "tokens", "keys"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        there = held.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                bits = bit_rows(part["sketch"])
-                for table in range(TABLES):
-                    rows, anchors = [np.arange(len(bits))], [anchors_at_home(bits, table)]
-                    for r, a in anchors_visited(bits, table, threshold):
-                        p = folded(a)
-                        keep = (there[p >> 3] >> (p & 7) & 1).astype(bool)
-                        rows.append(r[keep])
-                        anchors.append(a[keep])
-                    row = pa.array(np.concatenate(rows))
-                    home = pa.array(np.arange(len(row)) < len(bits))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(anchors)), *[part[c].take(row) for c in kept], home], names=["anchor", *kept, "home"])
+        held: dict[int, np.ndarray] = {}
+        n = 0
+        for part in pieces(batches):
+            for text in part["text"].to_pylist():
+                h = shingle_set(text, size)
+                key = identity(h)[1]
+                if len(h) and key not in held:
+                    held[key] = h
+                    n += len(h)
+                if n >= DEALT:
+                    yield packed(list(held.values()), list(held))
+                    held, n = {}, 0
+        if held:
+            yield packed(list(held.values()), list(held))
+        del held
+        give_back()
+
+    return rows.select("text").mapInArrow(run, "bucket long, tokens binary, keys binary")
+
+
+def shared_shingles(dealt: DataFrame) -> DataFrame:
+    """(key, token, n): the shingles that several sets have, for each of these, with their number."""
+
+    def counted(bucket: int, tokens: list[bytes], keys: list[bytes]) -> Iterator[pa.RecordBatch]:
+        short = np.frombuffer(b"".join(tokens), np.uint8).reshape(-1, KEPT_BITS // 8)
+        token = np.zeros((len(short), 8), np.uint8)
+        token[:, : KEPT_BITS // 8] = short
+        token, key = token.view(np.int64)[:, 0], np.frombuffer(b"".join(keys), np.int64)
+        order = np.argsort(token)
+        token, key = token[order], key[order]
+        same = np.concatenate([[False], token[1:] == token[:-1], [False]])
+        some = same[1:] | same[:-1]
+        token, key = token[some], key[some]
+        order = np.lexsort((key, token))
+        token, key = token[order], key[order]
+        # Equal sets count as one.
+        fresh = np.concatenate([[True], (token[1:] != token[:-1]) | (key[1:] != key[:-1])])[: len(token)]
+        token, key = token[fresh], key[fresh]
+        starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])[: len(token)])
+        lengths = np.diff(np.append(starts, len(token)))
+        n = np.repeat(lengths, lengths)
+        token, key, n = token[n > 1] | bucket << KEPT_BITS, key[n > 1], n[n > 1]
+        for at in range(0, len(n), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(x[at : at + (1 << 16)]) for x in (key, token, n)], names=["key", "token", "n"])
 
-    with_check = labelled.select("sketch", "id", first_bits(), "root", "size")
-    return with_check.mapInArrow(run, "anchor long, id long, check binary, root long, size int, home boolean")
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, tokens, keys = None, [], []
+        for batch in batches:
+            for bucket, t, k in zip(*(batch[c].to_pylist() for c in ("bucket", "tokens", "keys")), strict=True):
+                if bucket != now and tokens:
+                    yield from counted(now, tokens, keys)
+                    tokens, keys = [], []
+                now = bucket
+                tokens.append(t)
+                keys.append(k)
+        if tokens:
+            yield from counted(now, tokens, keys)
+        del tokens, keys
+        give_back()
+
+    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "key long, token long, n long")
+
+
+def rarest(rows: DataFrame, firsts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """(anchor, id): the shingles by which every set meets all similar ones, its rarest; those that it alone has are left out."""
+    total = firsts.agg(F.sum("n")).first()[0] or 0
+    bits = min(16, max(4, math.ceil(math.log2(max(1, total) / COUNTED))))
+    shared = shared_shingles(dealt_shingles(rows, size, bits))
+    ordered = shared.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("hs")).join(firsts.select("key", "id", F.col("n").alias("all")), "key")
+    needed = F.col("all") - F.ceil(F.col("all") * F.lit(similarity) - 1e-9).cast("int") + 1
+    heads = ordered.withColumn("some", needed - (F.col("all") - F.size("hs"))).where("some > 0")
+    return heads.select(F.explode(F.slice("hs", F.lit(1), F.col("some"))).alias("x"), "id").select(F.col("x.token").alias("anchor"), "id")
 
 
 def close(rows: np.ndarray, row: np.ndarray, most: tuple[int, int]) -> np.ndarray:
@@ -284,31 +319,31 @@ def crowd_links(crowd: DataFrame, sketches: DataFrame, most: tuple[int, int]) ->
 
 
 def crossing(met: DataFrame, most: tuple[int, int]) -> DataFrame:
-    """(anchor, id) of those who come close to another component, over the check bits, one of the two being at home."""
+    """(anchor, id) of those who come close to another component, over the check bits."""
 
     def f(t: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
-        anchor, ids, roots, home = (t[c].to_numpy() for c in ("anchor", "id", "root", "home"))
+        anchor, ids, roots = (t[c].to_numpy() for c in ("anchor", "id", "root"))
         bits = wide(t["check"], t.num_rows)
         ends = np.concatenate([starts[1:], [t.num_rows]])
         keep = np.zeros(t.num_rows, bool)
         two = starts[ends - starts == 2]
-        near = two[(roots[two] != roots[two + 1]) & (home[two] | home[two + 1]) & close(bits[two], bits[two + 1], most)]
+        near = two[(roots[two] != roots[two + 1]) & close(bits[two], bits[two + 1], most)]
         keep[near] = keep[near + 1] = True
         for a, b in zip(starts[ends - starts > 2].tolist(), ends[ends - starts > 2].tolist(), strict=True):
             own, place, n = np.unique(roots[a:b], return_inverse=True, return_counts=True)
             if len(own) > 1:
                 for i in a + np.flatnonzero(place != n.argmax()):
-                    rest = a + np.flatnonzero((roots[a:b] != roots[i]) & (home[a:b] | home[i]))
+                    rest = a + np.flatnonzero(roots[a:b] != roots[i])
                     found = rest[close(bits[rest], bits[i], most)]
                     keep[found] = True
                     keep[i] |= len(found) > 0
-        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (anchor, ids, home)], names=["anchor", "id", "home"])
+        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (anchor, ids)], names=["anchor", "id"])
 
-    return met.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(lambda batches: grouped(batches, "anchor", f), "anchor long, id long, home boolean")
+    return met.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(lambda batches: grouped(batches, "anchor", f), "anchor long, id long")
 
 
 def crossed(found: DataFrame, labelled: DataFrame, most: tuple[int, int]) -> DataFrame:
-    """(a, b): all pairs of different components that are close over all bits, one of the two being at home, for meetings of any size.
+    """(a, b): all pairs of different components that are close over all bits, for meetings of any size.
 
     Whoever isn't of the largest component of a meeting meets all its chunks.
     """
@@ -316,19 +351,19 @@ def crossed(found: DataFrame, labelled: DataFrame, most: tuple[int, int]) -> Dat
     by_root = rows.groupBy("anchor", "root").count()
     largest = by_root.groupBy("anchor").agg(F.max_by("root", F.struct("count", "root")).alias("largest"), F.ceil(F.sum("count") / CROWD).alias("chunks"))
     rows = rows.join(saved(largest), "anchor")
-    columns = ["cell", "anchor", "id", "sketch", "root", "home"]
+    columns = ["cell", "anchor", "id", "sketch", "root"]
     base = rows.withColumn("cell", F.xxhash64("anchor", F.pmod(F.xxhash64("id"), F.col("chunks"))))
     cells = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), lambda c: F.xxhash64("anchor", c)))
     probes = rows.where("root <> largest").withColumn("cell", cells)
     both = base.select(*columns, F.lit(False).alias("probe")).unionByName(probes.select(*columns, F.lit(True).alias("probe")))
 
     def f(t: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
-        ids, anchors, roots, home, probe = (t[c].to_numpy() for c in ("id", "anchor", "root", "home", "probe"))
+        ids, anchors, roots, probe = (t[c].to_numpy() for c in ("id", "anchor", "root", "probe"))
         bits, out = wide(t["sketch"], t.num_rows), set()
         for a, b in zip(starts.tolist(), [*starts[1:].tolist(), t.num_rows], strict=True):
             there = a + np.flatnonzero(~probe[a:b])
             for i in a + np.flatnonzero(probe[a:b]):
-                rest = there[(roots[there] != roots[i]) & (anchors[there] == anchors[i]) & (home[there] | home[i])]
+                rest = there[(roots[there] != roots[i]) & (anchors[there] == anchors[i])]
                 out.update((min(int(ids[i]), j), max(int(ids[i]), j)) for j in ids[rest[close(bits[rest], bits[i], most)]].tolist())
         k = np.array(sorted(out), np.int64).reshape(-1, 2)
         return pa.RecordBatch.from_arrays([pa.array(k[:, 0]), pa.array(k[:, 1])], names=["a", "b"])
@@ -425,39 +460,41 @@ def split_crowds(met: DataFrame) -> tuple[DataFrame, DataFrame | None]:
 
 
 def label(sketches: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(id, sketch, root, size) by the components of the links, and these as stars."""
+    """(id, sketch, root) by the components of the links, and these as stars."""
     stars = components(links)
-    rooted = sketches.join(stars, sketches["id"] == stars["a"], "left").select("id", "sketch", F.coalesce("b", "id").alias("root"))
-    sizes = stars.groupBy(F.col("b").alias("r")).agg((F.count("*") + 1).cast("int").alias("size"))
-    return saved(rooted.join(sizes, rooted["root"] == sizes["r"], "left").select("id", "sketch", "root", F.coalesce("size", F.lit(1)).alias("size"))), stars
+    return saved(sketches.join(stars, sketches["id"] == stars["a"], "left").select("id", "sketch", F.coalesce("b", "id").alias("root"))), stars
 
 
-def duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, similarity: float = SIMILARITY, threshold: int = THRESHOLD) -> DataFrame:
+def duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, component_id) of all documents that aren't the one with the least doc_id in their group."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
     # A set that is similar to one of FEW has no more than so many shingles.
     most = math.floor(FEW / similarity + 1e-9)
 
     def marks(_: object, texts: list) -> list[tuple]:
         sets = [shingle_set(x, size) for x in texts]
-        return [(sketch(h), xxhash.xxh3_128_digest(h.tobytes()), h.tobytes() if 0 < len(h) <= most else None) for h in sets]
+        return [(sketch(h), *identity(h), len(h), h.tobytes() if 0 < len(h) <= most else None) for h in sets]
 
     check = differing(similarity, CHECK_BITS, DEVIATIONS)
     likely, possible = (check, differing(similarity, BITS)), (check, differing(similarity, BITS, MARGIN))
     with temporary() as keep:
-        marked = saved(map_columns(rows, ["text"], fields(sketch=BinaryType(), digest=BinaryType(), few=BinaryType()), marks).drop("text"))
-        firsts = saved(marked.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("sketch").alias("sketch"), F.first("few").alias("few")))
-        homely, crowd = split_crowds(saved(at_home(firsts)))
+        made = fields(sketch=BinaryType(), digest=BinaryType(), key=LongType(), n=IntegerType(), few=BinaryType())
+        marked = saved(map_columns(rows, ["text"], made, marks).drop("text"))
+        firsts = saved(marked.groupBy("digest").agg(F.min("doc_id").alias("id"), *[F.first(c).alias(c) for c in ("sketch", "key", "n", "few")]))
+        home = saved(at_home(firsts))
+        homely, crowd = split_crowds(home)
         found = linked(partnered(homely, likely), firsts, likely)
         if crowd is not None:
             found = found.unionByName(crowd_links(crowd.select("anchor", "id", "chunks"), firsts, likely))
         links = confirmed(found, rows, size, similarity).unionByName(few_links(firsts.where("few is not null").select("id", "few"), similarity))
         labelled, stars = label(firsts, links)
-        met = saved(meetings(labelled, occupied(firsts), threshold))
+        dropped(home)
+        met = saved(rarest(rows, firsts, size, similarity).join(labelled.select("id", first_bits(), "root"), "id"))
         some, crowd = split_crowds(met)
         near = crossing(some, possible)
         if crowd is not None:
-            near = near.unionByName(crowd.select("anchor", "id", "home"))
+            near = near.unionByName(crowd.select("anchor", "id"))
         near = saved(near)
         dropped(met)
         links = confirmed(crossed(near, labelled, possible), rows, size, similarity)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from .arrow import fields, map_columns
+from .arrow import fields, give_back, map_columns
 
 #: Labelled documents to learn from, at most: toxic ones and clean ones.
 DOCS, CLEAN_DOCS = 1500, 4500
@@ -414,7 +414,10 @@ def fit(docs: DataFrame, labels: DataFrame, toxic: int = DOCS, clean: int = CLEA
     rows = sorted({(r["doc_id"], int(r["toxic"] > 0), r["text"]) for r in rows})
     texts, marks = [r[2] for r in rows], [r[1] for r in rows]
     del rows
-    return learn(texts, marks)
+    net = learn(texts, marks)
+    del texts
+    give_back()  # else the driver holds what training took for as long as it lives
+    return net
 
 
 def score(df: DataFrame, net: Network, text: str = "text", out: str = "score") -> DataFrame:

@@ -171,6 +171,28 @@ def test_similarities_beside_the_limit(spark):
     assert got <= set(range(80, 120)) and len(got) >= 38
 
 
+def test_no_pair_above_the_limit_is_missed(spark):
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    base = [" ".join(word() for _ in range(150)) for _ in range(500)]
+    made = [spread(x, 3, word) for x in base]  # 0.814, of which the tables alone miss some
+    assert sorted(map(tuple, neardup.duplicates(frame(spark, base + made)).collect())) == [(500 + i, i) for i in range(500)]
+
+
+def test_texts_that_share_nothing_do_not_meet(spark, monkeypatch):
+    """Chance meetings would grow with the square of the number of texts."""
+    rng = random.Random(22)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    texts = [" ".join(word() for _ in range(60)) for _ in range(1500)]
+    line = " ".join(word() for _ in range(8))  # four shingles of sixty: too few for any pair to be alike
+    met, split = [], neardup.split_crowds
+    monkeypatch.setattr(neardup, "split_crowds", lambda df: met.append(df.count()) or split(df))
+    df = frame(spark, [*texts, *texts[:20], *(f"{line} {x}" for x in texts[20:40]), spread(texts[50], 1, word), None, ""])
+    found = {r["doc_id"]: r["component_id"] for r in neardup.duplicates(df).collect()}
+    assert found == {**{1500 + i: i for i in range(20)}, **{1520 + i: 20 + i for i in range(20)}, 1540: 50, 1542: 1541}
+    assert met[0] >= 16 * 1500 and met[1] < 1000
+
+
 def test_near_copies_of_short_texts(spark):
     rng = random.Random(12)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
