@@ -7,7 +7,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, replace
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Observation, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -171,11 +171,21 @@ class Egress:
     # Actions.
 
     def result(self) -> list[Row]:
+        """All rows, in the driver's memory; ``write`` has no such bound."""
         with telemetry.span("result"):
             out = self.to_df().collect()
         telemetry.record("rows", n=len(out))
         return out
 
+    def write(self, path: str | None = None, format: str = "parquet") -> int:
+        """Has the executors write all rows, whatever their number, and returns it; ``noop`` makes the rows and keeps none."""
+        seen = Observation()
+        with telemetry.span("result"):
+            self.to_df().observe(seen, F.count(F.lit(1)).alias("rows")).write.format(format).mode("append" if format == "noop" else "error").save(path)
+        n = seen.get.get("rows", 0)
+        telemetry.record("rows", n=n)
+        return n
+
     def first(self) -> Row | None:
         if self.max_rows == 0:
             return None

@@ -308,7 +308,7 @@ def run_report(spark: SparkSession, d: str) -> DataFrame:
     telemetry.clear()
     telemetry.enable()
     try:
-        query(spark, d, "orders").equals("o_orderstatus", "P").out().result()
+        query(spark, d, "orders").equals("o_orderstatus", "P").out().write(format="noop")
         report = telemetry.run_report()
     finally:
         telemetry.enable(False)

@@ -235,6 +235,22 @@ def test_reports(q):
     assert "eq(id)" in telemetry.format_run_report(report)
 
 
+def test_runs_that_leave_their_rows_with_the_executors(spark, q, tmp_path, monkeypatch):
+    from tessera.source_queries import run_report
+
+    asked, path = q.not_equals("id", 1).out().order_by("id", "desc"), str(tmp_path / "rows")
+    want = asked.result()
+    orders = spark.range(0, 5000, 1, 7).selectExpr("id as o_orderkey", "if(id % 3 = 0, 'P', 'F') as o_orderstatus")
+    orders.write.parquet(str(tmp_path / "orders.parquet"))
+    with monkeypatch.context() as m:
+        m.setattr(type(orders), "collect", None)  # as if the rows didn't fit into the driver
+        report = run_report(spark, str(tmp_path))
+    assert tuple(report.first()) == (1667, 1, 1)
+    assert asked.write(path) == len(want) > 1 and asked.write(format="noop") == len(want)
+    assert q.equals("id", 1).equals("id", 2).out().write(format="noop") == 0
+    assert spark.read.parquet(path).count() == len(want)
+
+
 def test_datasets(spark, q):
     d = Dataset.from_schema(spark, SCHEMA, ("id",))
     assert d.is_empty() and d.load(ROWS).length() == 4 and d.load(ROWS).clear().is_empty() and not d.load_from(q.data.df).is_empty()
