@@ -9,8 +9,9 @@ home at the same anchor are proposed first, a spanning forest for each meeting.
 rarest shingles: of n shingles, two similar sets share one of the n - ceil(n * similarity) + 1 that come first in any
 fixed order. So sets that share such a shingle meet there, and are looked at for what crosses from one component to
 another: every such pair over the sketches, with a cut four standard deviations beyond the average distance at the
-given similarity. Pairs of one component aren't listed. A shingle that only one set has brings nobody together; so
-most documents of natural text are in no such meeting, and the work is in proportion to the input.
+given similarity. These pairs aren't listed, as their number grows with the square of a group that is nearly similar;
+a spanning forest of them tells who must meet, and where a group's sets meet all its close pairs are decided exactly.
+A shingle that only one set has brings nobody together; so most documents of natural text are in no such meeting.
 
 Meetings of more than ``CROWD`` are split: chunks of bounded size are linked by themselves, then their components'
 first members, and whoever is left outside the largest component is compared with every chunk. That loses no link
@@ -53,6 +54,9 @@ FEW = 24
 CROWD = 20_000
 #: Pairs of one document that are confirmed in one place.
 CELL = 128
+#: Shingles of one block of a group whose pairs are decided where they meet. Smaller groups are split as well, into
+#: up to ``SPREAD`` blocks of ``LEAST`` shingles, so that several tasks decide them.
+HELD, SPREAD, LEAST = 1 << 19, 8, 1 << 15
 #: Shingles that one task counts at once, and that a task deals out at once.
 COUNTED, DEALT = 1 << 20, 1 << 19
 #: Bits of a shingle's hash that are kept beside the number of its bucket.
@@ -352,7 +356,7 @@ def crossing(met: DataFrame, most: tuple[int, int]) -> DataFrame:
 
 
 def crossed(found: DataFrame, labelled: DataFrame, most: tuple[int, int]) -> DataFrame:
-    """(a, b): all pairs of different components that are close over all bits, for meetings of any size.
+    """(a, b): a spanning forest, for meetings of any size, of all pairs of different components that are close over all bits.
 
     Whoever isn't of the largest component of a meeting meets all its chunks.
     """
@@ -371,13 +375,86 @@ def crossed(found: DataFrame, labelled: DataFrame, most: tuple[int, int]) -> Dat
         bits, out = wide(t["sketch"], t.num_rows), set()
         for a, b in zip(starts.tolist(), [*starts[1:].tolist(), t.num_rows], strict=True):
             there = a + np.flatnonzero(~probe[a:b])
+            part = np.arange(len(there))  # what is connected so far
             for i in a + np.flatnonzero(probe[a:b]):
-                rest = there[(roots[there] != roots[i]) & (anchors[there] == anchors[i])]
-                out.update((min(int(ids[i]), j), max(int(ids[i]), j)) for j in ids[rest[close(bits[rest], bits[i], most)]].tolist())
+                some = np.flatnonzero((roots[there] != roots[i]) & (anchors[there] == anchors[i]))
+                some = some[close(bits[there[some]], bits[i], most)]
+                if len(some):
+                    # Here, a probe is one with its own row if that is in this chunk.
+                    itself = np.flatnonzero((ids[there] == ids[i]) & (anchors[there] == anchors[i]))
+                    own = part[itself[0]] if len(itself) else -1
+                    parts, first = np.unique(part[some], return_index=True)
+                    out.update((min(int(ids[i]), j), max(int(ids[i]), j)) for j in ids[there[some[first[parts != own]]]].tolist())
+                    part[np.isin(part, parts)] = own if len(itself) else parts[0]
         k = np.array(sorted(out), np.int64).reshape(-1, 2)
         return pa.RecordBatch.from_arrays([pa.array(k[:, 0]), pa.array(k[:, 1])], names=["a", "b"])
 
-    return both.repartition("cell").sortWithinPartitions("cell").mapInArrow(lambda batches: grouped(batches, "cell", f, 4096), "a long, b long")
+    # In the order of ids, meetings at several anchors propose the same links.
+    return both.repartition("cell").sortWithinPartitions("cell", "id").mapInArrow(lambda batches: grouped(batches, "cell", f, 4096), "a long, b long")
+
+
+def bridges(sets: list[np.ndarray], bits: np.ndarray, roots: np.ndarray, block: np.ndarray, own: np.ndarray, most: tuple[int, int], similarity: float) -> list[tuple[int, int]]:
+    """Links that connect all components which pairs of close and similar sets connect.
+
+    Rows meet those of other blocks, and where they are their block's ``own`` all of them.
+    """
+    n, part, out = np.array([len(h) for h in sets]), np.unique(roots, return_inverse=True)[1], []
+    ends = np.cumsum(n)
+    place = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    there = np.zeros(len(place), bool)
+    for i in range(len(sets) - 1):
+        after = slice(i + 1, len(sets))
+        fit = np.minimum(n[after], n[i]) >= similarity * np.maximum(n[after], n[i]) - 1e-9
+        rest = i + 1 + np.flatnonzero(fit & (part[after] != part[i]) & ((block[after] != block[i]) | own[i]))
+        rest = rest[close(bits[rest], bits[i], most)]
+        if not len(rest):
+            continue
+        mine, m = place[ends[i] - n[i] : ends[i]], n[rest]
+        there[mine] = True
+        stop = np.cumsum(m)
+        hits = np.concatenate([[0], np.cumsum(there[place[np.repeat(ends[rest] - stop, m) + np.arange(stop[-1])]])])
+        there[mine] = False
+        both = hits[stop] - hits[stop - m]
+        rest = rest[both >= similarity * (n[i] + m - both) - 1e-9]
+        parts, first = np.unique(part[rest], return_index=True)
+        out += [(i, j) for j in rest[first].tolist()]
+        part[np.isin(part, parts)] = part[i]
+    return out
+
+
+def settled(proposed: DataFrame, labelled: DataFrame, rows: DataFrame, size: int, similarity: float, most: tuple[int, int]) -> DataFrame:
+    """(a, b): links that connect all components which similar pairs connect, among those whom the proposed links connect.
+
+    All close pairs of such a group are decided where its sets meet, so that none is a row. A large group is split into
+    blocks, of which any two meet.
+    """
+    stars = components(proposed)
+    groups = stars.select(F.col("a").alias("id"), F.col("b").alias("group")).unionByName(stars.select(F.col("b").alias("id"), F.col("b").alias("group")).distinct())
+    members = saved(groups.join(labelled.select("id", "root").distinct(), "id"))
+
+    def marks(_: object, texts: list) -> list[tuple]:
+        return [(sketch(h), len(h), h.tobytes()) for h in (shingle_set(x, size) for x in texts)]
+
+    some = rows.join(members.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").distinct()
+    made = map_columns(some, ["text"], fields(sketch=BinaryType(), n=IntegerType(), h=BinaryType()), marks)
+    sets = saved(made.select(F.col("doc_id").alias("id"), "sketch", "n", "h"))
+    total = members.join(sets.select("id", "n"), "id").groupBy("group").agg(F.sum("n").alias("n"))
+    blocks = saved(total.select("group", F.greatest(F.lit(1).cast("long"), F.ceil(F.col("n") / HELD), F.least(F.lit(SPREAD).cast("long"), F.ceil(F.col("n") / LEAST))).alias("blocks")))
+    dealt = members.join(blocks, "group").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    cell = F.xxhash64("group", F.least("block", "other"), F.greatest("block", "other"))
+    dealt = dealt.select(cell.alias("cell"), "id", "root", "block", (F.col("block") == F.col("other")).alias("own"))
+
+    def f(t: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        ids, roots, block, own = (t[c].to_numpy() for c in ("id", "root", "block", "own"))
+        bits, sets = wide(t["sketch"], t.num_rows), [np.frombuffer(x, np.uint64) for x in t["h"].to_pylist()]
+        spans = zip(starts.tolist(), [*starts[1:].tolist(), t.num_rows], strict=True)
+        pairs = [(a + i, a + j) for a, b in spans for i, j in bridges(sets[a:b], bits[a:b], roots[a:b], block[a:b], own[a:b], most, similarity)]
+        k = np.array(pairs, np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(ids[k[:, 0]]), pa.array(ids[k[:, 1]])], names=["a", "b"])
+
+    met = dealt.join(sets.select("id", "sketch", "h"), "id").repartition("cell").sortWithinPartitions("cell", "id")
+    return saved(met.select("cell", "id", "root", "block", "own", "sketch", "h").mapInArrow(lambda batches: grouped(batches, "cell", f, 1), "a long, b long"))
 
 
 def confirmed(pairs: DataFrame, rows: DataFrame, size: int, similarity: float) -> DataFrame:
@@ -506,7 +583,7 @@ def duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size
             near = near.unionByName(crowd.select("anchor", "id"))
         near = saved(near)
         dropped(met)
-        links = confirmed(crossed(near, labelled, possible), rows, size, similarity)
+        links = settled(saved(crossed(near, labelled, possible)), labelled, rows, size, similarity, possible)
         labelled, _ = label(firsts, stars.unionByName(links))
         roots = labelled.join(firsts.select("id", "digest"), "id").select("digest", F.col("root").alias("component_id"))
         return keep(saved(marked.select("doc_id", "digest").join(roots, "digest").where("doc_id <> component_id").select("doc_id", "component_id").distinct()))

@@ -193,6 +193,46 @@ def test_texts_that_share_nothing_do_not_meet(spark, monkeypatch):
     assert met[0] >= 16 * 1500 and met[1] < 1000
 
 
+def test_pairs_beside_the_limit_are_no_rows(spark, monkeypatch):
+    """Copies with edits of their own are close and mostly not alike: their pairs grow with the square of the group."""
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    base, texts = [word() for _ in range(300)], []
+    for _ in range(150):
+        w = list(base)
+        for k in rng.sample(range(300), rng.randrange(4, 10)):
+            w[k] = word()
+        texts.append(" ".join(w))
+    sets = [shingles(x) for x in texts]
+    close = [(i, j, len(sets[i] & sets[j]) / len(sets[i] | sets[j])) for i in range(150) for j in range(i)]
+    root = brute_groups(150, [(i, j) for i, j, x in close if x >= 0.8])
+    want = sorted((i, r) for i, r in enumerate(root) if i != r)
+    assert sum(x < 0.8 for *_, x in close) > 5000 and 20 < len(want) < 149
+    counts, crossed = [], neardup.crossed
+    monkeypatch.setattr(neardup, "crossed", lambda found, *a: counts.append((found.count(), crossed(found, *a).count())) or crossed(found, *a))
+    got = lambda: sorted(map(tuple, neardup.duplicates(frame(spark, texts)).collect()))
+    assert got() == want
+    (met, made), *_ = counts
+    assert 0 < made <= met
+    for name, least in (("HELD", 2000), ("CROWD", 20)):  # blocks and chunks lose nothing
+        monkeypatch.setattr(neardup, name, least)
+        assert got() == want
+
+
+def test_sets_decided_where_they_meet():
+    rng = np.random.default_rng(17)
+    pool = rng.integers(0, 1 << 64, 60, np.uint64)
+    sets = [np.unique(rng.choice(pool, int(n))) for n in rng.integers(40, 300, 60)] + [np.zeros(0, np.uint64)]
+    n, block, far = len(sets), rng.integers(0, 2, 61), (neardup.BITS, neardup.BITS)
+    bits, roots = np.zeros((n, neardup.WORDS), np.uint64), np.repeat(np.arange(31), 2)[:n]
+    for own in (True, False):
+        links = neardup.bridges(sets, bits, roots, block, np.full(n, own), far, 0.8)
+        same = [(i, i - 1) for i in range(1, n) if roots[i] == roots[i - 1]]
+        every = [(i, j) for i in range(n) for j in range(i) if (own or block[i] != block[j]) and neardup.alike(sets[i], sets[j], 0.8)]
+        assert brute_groups(n, same + links) == brute_groups(n, same + every)
+        assert 0 < len(links) < 31 and all(neardup.alike(sets[i], sets[j], 0.8) for i, j in links)
+
+
 def test_near_copies_of_short_texts(spark):
     rng = random.Random(12)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
